@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from memoglyph.llm import bpe
+from memoglyph.llm import bpe, near_dedup
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_near_dedup": near_dedup.OP4_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
