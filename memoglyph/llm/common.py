@@ -79,33 +79,38 @@ def is_held_out(column: str, parts: int, which: int):
     return F.coalesce(remainder(column, parts) == which, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, parts: int = 4, held_out: int = 2) -> tuple[list[str], np.ndarray]:
-    """Whole texts and 0/1 labels of at most per_class documents of each class, none of them held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, parts: int = 4, held_out: int = 2) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Whole texts and 0/1 labels of at most per_class documents of each class, none held out, and the weight of each.
 
     Taken by the order of a hash of the id. Only ids travel to choose them, then 2 * per_class rows at most reach the
-    driver. A document with several labels has the largest; of several rows of one id, each counts.
+    driver. The weights give each class its share of all labels that may be learnt from. A document with several labels
+    has the largest; null labels and ids count as none.
     """
-    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id", parts, held_out)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    may = F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id", parts, held_out)
+    one = labels.where(may).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    zero, some = (one.where(F.col("y").cast("int") == y).orderBy(*order).limit(per_class) for y in (0, 1))
+    zero, some = (one.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1))
     chosen = zero.unionByName(some).withColumnRenamed("doc_id", "_id")
-    got = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text").toArrow()
+    got = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text").dropDuplicates(["doc_id"]).toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["text"].to_pylist(), strict=True))
-    return [r[2] for r in rows], np.array([r[1] for r in rows], dtype=np.int64)
+    y = np.array([r[1] for r in rows], dtype=np.int64)
+    shares = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}
+    weight = np.array([shares[k] / max(1, (y == k).sum()) for k in y.tolist()], dtype=float)
+    return [r[2] for r in rows], y, weight / weight.mean() if len(weight) else weight
 
 
-def logistic(features: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60, balanced: bool = False) -> np.ndarray:
+def logistic(features: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 60) -> np.ndarray:
     """Weights, the bias last, of a logistic regression by Newton's method; one class alone gives its smoothed share."""
     n, d = features.shape
     x = np.hstack([features, np.ones((n, 1))])
     w = np.zeros(d + 1)
     if n == 0:
         return w
-    share = (y.sum() + 1) / (n + 2)
+    weight = np.ones(n) if weight is None else weight
+    share = ((weight * y).sum() + 1) / (weight.sum() + 2)
     w[-1] = np.log(share / (1 - share))
     if y.min() == y.max():
         return w
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) if balanced else np.ones(n)
     ridge = np.full(d + 1, l2 * n)
     ridge[-1] = 1e-9 * n
     for _ in range(steps):

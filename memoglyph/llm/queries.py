@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from memoglyph.llm import bpe, near_dedup
+from memoglyph.llm import bpe, html_text, langid, mixing, near_dedup, quality, toxicity
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_quality": quality.op5_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_mixing": mixing.op7_mixing,
+    "op9_language_id": langid.op9_language_id,
+    "op10_html": html_text.op10_html,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_near_dedup": near_dedup.OP4_SQL,
+    "op7_mixing": mixing.OP7_SQL,
 }
