@@ -24,8 +24,8 @@ from memoglyph.llm.common import arrow_columns, checkpointed, mixed, string_buff
 
 #: Base and rate of the registers: sets of 1 to 2**64 elements fall inside 16 bits.
 BASE, RATE, LIMIT = 1.001, 400_000.0, (1 << 16) - 1
-#: Registers; at 25 bands of 5 a pair of similarity 0.85 is missed by all bands with a probability under 1e-6.
-BANDS, ROWS = 25, 5
+#: Registers of a set; and the most that all bands may miss a pair at the threshold, as a probability.
+REGISTERS, MISS = 128, 1e-6
 #: A candidate goes if its likelihood at the threshold is worse than at its best by more than this (5 deviations).
 WORSE = 12.5
 #: Members of a bucket that one task compares with as many others.
@@ -61,11 +61,17 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nda
     return [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def banding(least: float, m: int = REGISTERS) -> tuple[int, int]:
+    """(bands, rows): the longest bands that miss a pair of similarity `least` with a probability of MISS or less."""
+    rows = max((r for r in range(1, m + 1) if (1 - least**r) ** (m // r) <= MISS), default=1)
+    return m // rows, rows
+
+
 def _factors(m: int) -> np.ndarray:
     return np.random.default_rng(20_240_601).integers(0, 1 << 63, m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def registers(sets: list[np.ndarray], m: int = BANDS * ROWS) -> np.ndarray:
+def registers(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
     """m registers a set, uint16; an empty set has zeros. The registers of a union are the maximum of both."""
     out = np.zeros((len(sets), m), np.uint16)
     some = [i for i, s in enumerate(sets) if len(s)]
@@ -127,7 +133,7 @@ def sketches(docs: DataFrame, size: int, keep: list[str], text: str = "text") ->
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([r.tobytes() for r in regs], pa.binary()),
-                pa.array([pack.compress(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
+                pa.array([pack.compress(whole[a:b]) if there else None for a, b, there in zip(offsets[:-1], offsets[1:], texts.is_valid().to_pylist(), strict=True)], pa.binary()),
             ]
 
         return step
@@ -135,10 +141,10 @@ def sketches(docs: DataFrame, size: int, keep: list[str], text: str = "text") ->
     return arrow_columns(docs, [text], fields, make, keep)
 
 
-def _band_keys(nodes: DataFrame) -> DataFrame:
+def _band_keys(nodes: DataFrame, n_bands: int, n_rows: int) -> DataFrame:
     """A row for each node and band: node, band, bucket (a hash of the band's registers)."""
-    width = 2 * ROWS
-    bands = F.array(*(F.xxhash64(F.lit(b), F.substring(F.col("registers"), 1 + b * width, width)) for b in range(BANDS)))
+    width = 2 * n_rows
+    bands = F.array(*(F.xxhash64(F.lit(b), F.substring(F.col("registers"), 1 + b * width, width)) for b in range(n_bands)))
     return nodes.select("node", F.posexplode(bands).alias("band", "bucket"))
 
 
@@ -222,7 +228,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _cross_pairs(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def _cross_pairs(rows: DataFrame, nodes: DataFrame, least: float, n_rows: int) -> DataFrame:
     """Plausible pairs of members of one bucket that are in different components, each from the first band they share.
 
     rows: bucket, band, node, component, size. A bucket of more than BLOCK members is compared by pairs of blocks.
@@ -248,8 +254,8 @@ def _cross_pairs(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             more, less = (regs[i] > regs[js]).sum(1), (regs[i] < regs[js]).sum(1)
             js_ok = likely(more, less, regs.shape[1], np.full(len(js), float(size[i])), size[js].astype(float), least)
             if band:
-                before = regs[:, : band * ROWS]
-                alike = (before[i] == before[js]).reshape(len(js), band, ROWS).all(2).any(1)
+                before = regs[:, : band * n_rows]
+                alike = (before[i] == before[js]).reshape(len(js), band, n_rows).all(2).any(1)
                 js_ok &= ~alike
             for j in js[js_ok]:
                 yield (node[i], node[j])
@@ -284,6 +290,11 @@ def _cross_pairs(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _numbered(docs: DataFrame, size: int, keep: list[str], text: str) -> DataFrame:
+    """sketches(), with a number of each row; one pass over the texts, whose compressed form serves from here on."""
+    return checkpointed(sketches(docs, size, keep, text).withColumn("row", F.monotonically_increasing_id()))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: row (a number of its own), doc_id, n_shingles, component_id, kept, first.
 
@@ -293,9 +304,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     Repeated rows share a component. A null doc_id is reached only by rows that reach no other id. Empty tables give
     empty results; other columns of docs aren't read.
     """
+    return _joined(_numbered(docs, size, [doc_id], text), size, percent, doc_id)
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are the first of their component, with the columns of docs; see near_duplicates()."""
+    own = {"n_shingles", "set_key", "registers", "packed", "row"}
+    names = {c: f"_{i}" if c in own else c for i, c in enumerate(docs.columns) if c != text}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(f"`{text}`"))
+    all_rows = _numbered(renamed, size, list(names.values()), text)
+    first = _joined(all_rows, size, percent, doc_id).where("first").select("row")
+
+    def make():
+        unpack = zstandard.ZstdDecompressor()
+
+        def step(packed):
+            return [pa.array([None if p is None else unpack.decompress(p).decode() for p in packed.to_pylist()], pa.string())]
+
+        return step
+
+    kept = all_rows.join(first, "row", "left_semi")
+    whole = arrow_columns(kept, ["packed"], [T.StructField(text, T.StringType())], make, list(names.values()))
+    return whole.select(*(F.col(f"`{names[c]}`").alias(c) if c != text else F.col(f"`{text}`") for c in docs.columns))
+
+
+def _joined(all_rows: DataFrame, size: int, percent: int, doc_id: str) -> DataFrame:
+    """near_duplicates() of numbered sketches."""
     least = percent / 100
-    # one pass over the texts; their compressed form serves the confirmation, so no text is read again
-    all_rows = checkpointed(sketches(docs, size, [doc_id], text).withColumn("row", F.monotonically_increasing_id()))
     rows = all_rows.select("row", doc_id, "n_shingles", "set_key")
     some = all_rows.where("n_shingles > 0")
     # rows with the same set are one node from here on
@@ -303,7 +338,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     nodes = checkpointed(keys.select("node").join(some.select(F.col("row").alias("node"), "registers", "n_shingles"), "node"))
     packed = some.select(F.col("row").alias("node"), "packed")
 
-    bands = _band_keys(nodes)
+    n_bands, n_rows = banding(least)
+    bands = _band_keys(nodes, n_bands, n_rows)
     sizes = bands.groupBy("band", "bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     shared = checkpointed(bands.join(sizes, ["band", "bucket"]))
     stars = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
@@ -315,7 +351,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     of = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = checkpointed(of.select("band", "bucket", "node", "component", "size"))
     unsettled = of.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "bucket")
-    rest = checkpointed(_cross_pairs(of.join(unsettled, ["band", "bucket"]), nodes, least))
+    rest = checkpointed(_cross_pairs(of.join(unsettled, ["band", "bucket"]), nodes, least, n_rows))
     more = checkpointed(_confirmed(rest, wanted(rest), size, percent))
     joined = reduce(DataFrame.unionByName, [links, more])
     found = checkpointed(components(joined))
