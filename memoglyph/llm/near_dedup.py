@@ -20,7 +20,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from memoglyph.llm.common import arrow_columns, checkpointed, mixed, string_buffers, table, word_hashes
+from memoglyph.llm.common import arrow_columns, checkpointed, mixed, pieces, string_buffers, table, word_hashes
 
 #: Base and rate of the registers: sets of 1 to 2**64 elements fall inside 16 bits.
 BASE, RATE, LIMIT = 1.001, 400_000.0, (1 << 16) - 1
@@ -217,75 +217,111 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("u <> v").distinct()
 
     now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
     while True:
         now = checkpointed(star(star(now, False), True))
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("hung"), F.lit(0).alias("holds")), F.struct(F.col("v").alias("x"), F.lit(0).alias("hung"), F.lit(1).alias("holds")))).alias("e")).select("e.*")
+        # settled: whoever hangs does so once and holds nobody
+        if ends.groupBy("x").agg(F.sum("hung").alias("hung"), F.max("holds").alias("holds")).where("hung > 1 or hung > 0 and holds > 0").isEmpty():
             break
-        mark = tuple(seen)
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _cross_pairs(rows: DataFrame, nodes: DataFrame, least: float, n_rows: int) -> DataFrame:
-    """Plausible pairs of members of one bucket that are in different components, each from the first band they share.
+def _cross_links(rows: DataFrame, members: DataFrame, least: float, n_rows: int, size: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between members of one bucket that are in different components.
 
-    rows: bucket, band, node, component, size. A bucket of more than BLOCK members is compared by pairs of blocks.
+    rows: bucket, band, node, component, size; members: node, registers, n_shingles, packed. A bucket of more than BLOCK
+    members is compared by pairs of blocks. A pair is looked at in the first band it shares, its sketches first, then the
+    full sets, likeliest first; once a task has joined two components, it passes over their other pairs. Only links leave
+    the task.
     """
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
     dealt = (
-        rows.withColumn("n_blocks", n_blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("band", F.xxhash64("band", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "own", "other", "node", "component")
-        .join(nodes.select("node", "registers", "n_shingles"), "node")
+        rows.withColumn("n_blocks", n_blocks).withColumn("own", own)
+        .join(members, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        .select(F.xxhash64("band", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "band", "own", "other", "node", "component", "registers", "n_shingles", "packed")
         .repartition(F.col("task")).sortWithinPartitions("task", "own", "node")
     )
 
-    def pairs(band: int, own, other, node, comp, regs, size):
-        same = own[0] == own[-1] and (other == own).all()
-        left = np.arange(len(node)) if same else np.flatnonzero(own == own.min())
-        right = left if same else np.flatnonzero(own == own.max())
-        for i in left:
-            js = right[right > i] if same else right
-            js = js[comp[js] != comp[i]]
-            if not len(js):
-                continue
-            more, less = (regs[i] > regs[js]).sum(1), (regs[i] < regs[js]).sum(1)
-            js_ok = likely(more, less, regs.shape[1], np.full(len(js), float(size[i])), size[js].astype(float), least)
-            if band:
-                before = regs[:, : band * n_rows]
-                alike = (before[i] == before[js]).reshape(len(js), band, n_rows).all(2).any(1)
-                js_ok &= ~alike
-            for j in js[js_ok]:
-                yield (node[i], node[j])
-
     def run(batches):
         held: pa.Table | None = None
         for batch in batches:
-            new = pa.Table.from_batches([batch])
-            held = new if held is None else pa.concat_tables([held, new])
-            task = held["task"].to_numpy()
-            if not len(task):
-                continue
-            whole = int(np.searchsorted(task, task[-1])) if (task[:-1] <= task[1:]).all() else 0
-            yield from done(held.slice(0, whole))
-            held = held.slice(whole).combine_chunks()
+            for piece in pieces(batch, 4 << 20):
+                new = pa.Table.from_batches([piece])
+                held = new if held is None else pa.concat_tables([held, new])
+                task = held["task"].to_numpy()
+                whole = int(np.searchsorted(task, task[-1]))
+                if whole:
+                    yield from done(held.slice(0, whole))
+                    held = held.slice(whole).combine_chunks()
         if held is not None and held.num_rows:
             yield from done(held)
 
+    def candidates(own, other, comp):
+        """Positions of the pairs of one task that are in different components."""
+        if own[0] == own[-1] and (own == other).all():
+            i, j = np.triu_indices(len(own), 1)
+        else:
+            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(own == own[0]), np.flatnonzero(own != own[0])))
+        apart = comp[i] != comp[j]
+        return i[apart], j[apart]
+
     def done(rows: pa.Table):
-        if not rows.num_rows:
-            return
-        task, band, own, other, node, comp, size = (rows[c].to_numpy() for c in ("task", "band", "own", "other", "node", "component", "n_shingles"))
+        task, band, own, other, node, comp, n = (rows[c].to_numpy() for c in ("task", "band", "own", "other", "node", "component", "n_shingles"))
         regs = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint16).reshape(len(task), -1)
+        m = regs.shape[1]
         edges = np.flatnonzero(np.diff(task)) + 1
-        out = []
+        found = []
         for a, b in zip([0, *edges], [*edges, len(task)], strict=True):
             if b - a > 1 and comp[a:b].min() != comp[a:b].max():
-                out += pairs(int(band[a]), own[a:b], other[a:b], node[a:b], comp[a:b], regs[a:b], size[a:b])
+                i, j = candidates(own[a:b], other[a:b], comp[a:b])
+                found.append((i + a, j + a))
+        if not found:
+            return
+        left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+        kept, alike_of = [], []
+        fewest = m * least - 6 * np.sqrt(m * least * (1 - least))
+        for at in range(0, len(left), 20_000):
+            i, j = left[at : at + 20_000], right[at : at + 20_000]
+            x, y = regs[i], regs[j]
+            same = x == y
+            alike = same.sum(1)
+            bands = same[:, : m // n_rows * n_rows].reshape(len(i), -1, n_rows).all(2)
+            ok = np.flatnonzero((alike >= fewest) & (bands.argmax(1) == band[i]) & bands.any(1))
+            ok = ok[likely((x[ok] > y[ok]).sum(1), (x[ok] < y[ok]).sum(1), m, n[i[ok]].astype(float), n[j[ok]].astype(float), least)]
+            kept.append(at + ok)
+            alike_of.append(alike[ok])
+        kept, alike_of = np.concatenate(kept), np.concatenate(alike_of)
+        unpack = zstandard.ZstdDecompressor()
+        sets: dict[int, np.ndarray] = {}
+        above: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while above.get(c, c) != c:
+                c = above[c]
+            return c
+
+        def of(r: int) -> np.ndarray:
+            if r not in sets:
+                if len(sets) >= 4 * BLOCK:
+                    sets.clear()
+                raw = np.frombuffer(unpack.decompress(rows["packed"][r].as_py()), np.uint8)
+                sets[r] = shingle_sets(raw, np.array([0, len(raw)]), size)[0]
+            return sets[r]
+
+        out = []
+        for k in np.lexsort((kept, -alike_of, task[left[kept]])):
+            i, j = int(left[kept[k]]), int(right[kept[k]])
+            p, q = root(int(comp[i])), root(int(comp[j]))
+            if p == q:
+                continue
+            both = len(np.intersect1d(of(i), of(j), assume_unique=True))
+            if 100 * both >= percent * (n[i] + n[j] - both):
+                above[max(p, q)] = min(p, q)
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -351,8 +387,8 @@ def _joined(all_rows: DataFrame, size: int, percent: int, doc_id: str) -> DataFr
     of = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = checkpointed(of.select("band", "bucket", "node", "component", "size"))
     unsettled = of.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "bucket")
-    rest = checkpointed(_cross_pairs(of.join(unsettled, ["band", "bucket"]), nodes, least, n_rows))
-    more = checkpointed(_confirmed(rest, wanted(rest), size, percent))
+    members = some.select(F.col("row").alias("node"), "registers", "n_shingles", "packed")
+    more = checkpointed(_cross_links(of.join(unsettled, ["band", "bucket"]), members, least, n_rows, size, percent))
     joined = reduce(DataFrame.unionByName, [links, more])
     found = checkpointed(components(joined))
 
