@@ -185,11 +185,20 @@ def token_estimate(x: Column | str) -> Column:
     return F.ceil(cjk * 2 + (F.length(_c(x)) - cjk) * 0.25).cast("long")
 
 
+def _code_point(ch: Column) -> Column:
+    """The code point of one character, from its UTF-8 bytes."""
+    n = F.conv(F.hex(F.encode(ch, "UTF-8")), 16, 10).cast("long")
+    part = lambda shift, bits: F.shiftright(n, shift).bitwiseAND(F.lit((1 << bits) - 1))
+    two = part(8, 5) * 64 + part(0, 6)
+    three = part(16, 4) * 4096 + part(8, 6) * 64 + part(0, 6)
+    four = part(24, 3) * 262144 + part(16, 6) * 4096 + part(8, 6) * 64 + part(0, 6)
+    return F.when(n < 0x80, n).when(n < 0x10000, two).when(n < 0x1000000, three).otherwise(four)
+
+
 def fnv1a32(x: Column | str) -> Column:
     """FNV-1a of 32 bits over code points."""
     points = F.filter(F.split(_c(x), ""), lambda ch: ch != "")
-    code = lambda ch: F.conv(F.hex(F.encode(ch, "UTF-32BE")), 16, 10).cast("long")
-    return F.aggregate(points, F.lit(0x811C9DC5).cast("long"), lambda h, ch: h.bitwiseXOR(code(ch)) * 0x01000193 % (1 << 32))
+    return F.aggregate(points, F.lit(0x811C9DC5).cast("long"), lambda h, ch: h.bitwiseXOR(_code_point(ch)) * 0x01000193 % (1 << 32))
 
 
 def hash_features(x: Column | str) -> Column:

@@ -71,7 +71,8 @@ def _frequencies(entries: DataFrame, wanted: list[str]) -> tuple[DataFrame, Data
 
     One pass: the counts are expressions over the token array, so no token leaves its row and nothing is exploded.
     """
-    counted = entries.select("id", F.size("tokens").alias("n_tokens"), *(F.size(F.filter("tokens", lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(wanted)))
+    times = lambda word: F.size(F.filter("tokens", lambda t: t == word))
+    counted = entries.select("id", F.size("tokens").alias("n_tokens"), *(times(w).alias(f"tf{i}") for i, w in enumerate(wanted)))
     figures = counted.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))))
     return counted, figures
 
