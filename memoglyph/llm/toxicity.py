@@ -10,18 +10,18 @@ sum of its matches, and the document's score is calibrated from its clauses, not
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from memoglyph.llm.common import arrow_columns, is_held_out, labelled_sample, logistic, sigmoid, string_buffers, table, word_hashes
 from memoglyph.llm.near_dedup import registers
 
 #: Labelled documents of each class that a model is fitted on, at most.
-PER_CLASS = 2500
+PER_CLASS = 1200
 #: Words and word beginnings in the learnt lexicon, at most.
 MOST_WORDS, MOST_STEMS, STEM = 4000, 400, 4
 TARGETS = {"you", "your", "yours", "yourself", "ur", "u", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "te", "ton", "ta", "vous", "votre", "tú", "ti", "usted", "ustedes", "vosotros"}
@@ -127,33 +127,53 @@ def families(texts: list[str], alike: float = 0.5) -> np.ndarray:
     return np.array(first, dtype=np.int64)
 
 
-def _telling(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """What stands in toxic texts only, and so often that chance would give less than one such entry; with its log-odds.
+def _telling(toxic: list[np.ndarray], clean: list[np.ndarray]) -> dict[int, float]:
+    """Of the entries (hashes, distinct in each text), those in toxic texts only that chance would hardly give, and their log-odds.
 
     Of the entries that stand in c texts altogether, chance puts all c into toxic ones with the share of toxic texts to
-    the power c.
+    the power c; what stays is so frequent that this gives less than one such entry.
     """
-    share = n_toxic / max(1, n_toxic + n_clean)
-    tiers = Counter(toxic[w] + clean[w] for w in toxic.keys() | clean.keys())
-    floor = np.log(0.5 / (n_clean + 1))
-    return {w: float(np.log((c + 0.5) / (n_toxic + 1)) - floor) for w, c in toxic.items() if c > 1 and not clean[w] and tiers[c] * share**c < 1}
+    share = len(toxic) / max(1, len(toxic) + len(clean))
+    of = lambda x: np.unique(np.concatenate([np.zeros(0, np.uint64), *x]), return_counts=True)
+    (entry, n), (other, _) = of(toxic), of(clean)
+    tiers = np.bincount(of([*toxic, *clean])[1], minlength=2)
+    keep = (n > 1) & ~np.isin(entry, other) & (tiers[n] * share ** n.astype(float) < 1)
+    floor = np.log(0.5 / (len(clean) + 1))
+    odds = np.log((n[keep] + 0.5) / (len(toxic) + 1)) - floor
+    return dict(zip(entry[keep].tolist(), odds.tolist(), strict=True))
+
+
+def _hashed(entries) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(e) for e in entries), np.uint64)
 
 
 def _lexicon(texts: list[str], y: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
-    """Words, and beginnings of words with three words or more, that tell toxic texts, with their weights."""
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    begin: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    n = {0: 0, 1: 0}
-    for i in families(texts):
-        k, own = int(y[i]), set(words(texts[i]))
-        n[k] += 1
-        seen[k].update(own)
-        begin[k].update({w[:m] for w in own for m in range(STEM, min(len(w), STEM + 4))})
+    """Words, and beginnings of words with three words or more, that tell toxic texts, with their weights.
+
+    Counted over hashes, so that the sample's many words don't fill the driver's memory; the strings of the few that are
+    kept are read from the toxic texts again.
+    """
+    begins = lambda own: {w[:m] for w in own for m in range(STEM, min(len(w), STEM + 4))}
+    seen: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    begin: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    first = families(texts)
+    for i in first:
+        own = set(words(texts[i]))
+        seen[int(y[i])].append(_hashed(own))
+        begin[int(y[i])].append(_hashed(begins(own)))
+    word_odds, stem_odds = _telling(seen[1], seen[0]), _telling(begin[1], begin[0])
+    lexicon: dict[str, float] = {}
+    branches: dict[str, set[str]] = {}
+    for i in first[y[first] == 1]:
+        for w in set(words(texts[i])):
+            if (o := word_odds.get(xxhash.xxh3_64_intdigest(w))) is not None:
+                lexicon[w] = o
+            for stem in begins([w]):
+                if xxhash.xxh3_64_intdigest(stem) in stem_odds:
+                    branches.setdefault(stem, set()).add(w)
+    stems = {s: stem_odds[xxhash.xxh3_64_intdigest(s)] for s, found in branches.items() if len(found) >= 3}
     strongest = lambda found, most: dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most])
-    lexicon = strongest(_telling(seen[1], seen[0], n[1], n[0]), MOST_WORDS)
-    branches = Counter(w[:m] for w in seen[1] for m in range(STEM, min(len(w), STEM + 4)))
-    stems = {s: o for s, o in _telling(begin[1], begin[0], n[1], n[0]).items() if branches[s] >= 3}
-    return lexicon, strongest({s: o for s, o in stems.items() if s[:-1] not in stems}, MOST_STEMS)
+    return strongest(lexicon, MOST_WORDS), strongest({s: o for s, o in stems.items() if s[:-1] not in stems}, MOST_STEMS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Grammar:
