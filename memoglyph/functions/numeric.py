@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from memoglyph.functions.text import let
+
 DAY_MS = 86_400_000
 #: Dimension of the hashed embedding.
 HASH_DIMENSIONS = 384
@@ -49,7 +51,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def hash_embedding(features: Column, hashed, dimensions: int = HASH_DIMENSIONS) -> Column:
     """L2-normalised signed counts of hashed features; hashed maps a feature column to its 32-bit hash."""
-    signed = F.transform(features, lambda f: F.struct((hashed(f) % dimensions).cast("int").alias("slot"), F.when((F.shiftright(hashed(f), 1) % 2) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(signed, lambda s: s["slot"] == i), F.lit(0.0), lambda a, s: a + s["sign"]))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, v: a + v * v))
-    return F.when(norm > 0, F.transform(sums, lambda v: F.round(v / norm, 8))).otherwise(sums)
+    slot_of = lambda h: F.struct((h % dimensions).cast("int").alias("slot"), F.when(F.shiftright(h, 1) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
+    signed = F.transform(F.transform(features, hashed), slot_of)
+    sums = let(signed, lambda rows: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(rows, lambda s: s["slot"] == i), F.lit(0.0), lambda a, s: a + s["sign"])))
+    norm_of = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return let(sums, lambda v: let(norm_of(v), lambda norm: F.when(norm > 0, F.transform(v, lambda x: F.round(x / norm, 8))).otherwise(v)))

@@ -13,6 +13,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once even where lambdas use it again and again."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize_spaces(x: Column | str) -> Column:
     """White space runs as one space, trimmed; null is empty."""
     return F.trim(F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"\s+", " "))
@@ -203,19 +208,19 @@ def fnv1a32(x: Column | str) -> Column:
 
 def hash_features(x: Column | str) -> Column:
     """Features of the hashed embedding: words, CJK runs with their pairs and triples, then at most 400 character triples."""
-    text = F.lower(normalize_spaces(x))
-    compact = F.regexp_replace(text, r"\s+", "")
-    words = F.transform(F.regexp_extract_all(text, F.lit(r"([a-z0-9][a-z0-9_\-./:]+)"), 1), lambda w: F.concat(F.lit("w:"), w))
 
-    def grams(prefix, chunk, n):
-        count = F.length(chunk) - (n - 1)
+    def grams(prefix, chunk, n, most=1 << 20):
+        count = F.least(F.length(chunk) - (n - 1), F.lit(most))
         made = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.concat(F.lit(prefix), F.substring(chunk, i, F.lit(n))))
         return F.when(count > 0, made).otherwise(F.array().cast("array<string>"))
 
-    runs = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"([{_CJK}]{{2,}})"), 1), lambda c: F.concat(F.array(F.concat(F.lit("c:"), c)), grams("c2:", c, 2), grams("c3:", c, 3))))
-    triples = F.slice(grams("g3:", compact, 3), 1, 400)
-    found = F.concat(words, runs, triples)
-    return F.when((F.size(found) == 0) & (compact != ""), F.array(F.concat(F.lit("raw:"), compact))).otherwise(found)
+    def of(text, compact):
+        words = F.transform(F.regexp_extract_all(text, F.lit(r"([a-z0-9][a-z0-9_\-./:]+)"), 1), lambda w: F.concat(F.lit("w:"), w))
+        runs = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"([{_CJK}]{{2,}})"), 1), lambda c: F.concat(F.array(F.concat(F.lit("c:"), c)), grams("c2:", c, 2), grams("c3:", c, 3))))
+        found = F.concat(words, runs, grams("g3:", compact, 3, 400))
+        return F.when((F.size(found) == 0) & (compact != ""), F.array(F.concat(F.lit("raw:"), compact))).otherwise(found)
+
+    return let(F.lower(normalize_spaces(x)), lambda text: let(F.substring(F.regexp_replace(text, r"\s+", ""), 1, 402), lambda compact: of(text, compact)))
 
 
 def record_id(tool, t, title, content) -> Column:
