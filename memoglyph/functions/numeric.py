@@ -40,7 +40,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; 0 for unequal lengths, zero norms and results that aren't finite."""
-    value = dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    value = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
     return F.when((F.size(a) == F.size(b)) & value.isNotNull() & ~F.isnan(value) & (F.abs(value) <= 2), value).otherwise(0.0)
 
 

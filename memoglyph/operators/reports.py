@@ -50,7 +50,7 @@ def health(counters: DataFrame, index_ok: bool = False) -> DataFrame:
     """hygiene() with score (0 to 100) and grade."""
     capped = lambda c, each, most: F.least(F.col(c) * each, F.lit(most))
     lost = capped("missing_hash", 5, 20) + capped("missing_title", 5, 10) + capped("invalid_scopes", 5, 15) + F.least(F.least("duplicate_ids", F.lit(12)) * 3, F.lit(15))
-    lost = lost + F.when(F.col("older_than_90_days") / F.col("total") > 0.10, 10).otherwise(0) + F.when(F.col("last_7_days") == 0, 5).otherwise(0)
+    lost = lost + F.when(F.try_divide("older_than_90_days", "total") > 0.10, 10).otherwise(0) + F.when(F.col("last_7_days") == 0, 5).otherwise(0)
     score = F.when(F.col("total") == 0, F.lit(100)).otherwise(F.lit(100) - lost) + (10 if index_ok else 0)
     score = F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int")
     return counters.withColumn("score", score).withColumn("grade", first_case([(score >= 90, "A"), (score >= 75, "B"), (score >= 60, "C"), (score >= 40, "D")], "F"))
@@ -61,7 +61,7 @@ def recommendations(counters: DataFrame) -> DataFrame:
     rules = [
         (F.col("missing_hash") > 0, "medium", "missing-content-hash"), (F.col("missing_title") > 0, "low", "missing-title"), (F.col("missing_scope") > 0, "medium", "missing-scope"),
         (F.col("invalid_scopes") > 0, "medium", "invalid-scope"), (F.col("duplicate_ids") > 0, "high", "duplicate-ids"),
-        ((F.col("total") > 0) & (F.col("older_than_90_days") / F.col("total") > 0.10), "low", "many-old-records"), ((F.col("total") > 0) & (F.col("last_7_days") == 0), "medium", "no-recent-records"),
+        (F.try_divide("older_than_90_days", "total") > 0.10, "low", "many-old-records"), ((F.col("total") > 0) & (F.col("last_7_days") == 0), "medium", "no-recent-records"),
     ]
     return counters.select(F.inline(F.array_compact(F.array(*(F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(i).alias("issue"))) for c, s, i in rules)))))
 

@@ -12,8 +12,9 @@ from memoglyph.schema import RECORD
 
 def read(spark: SparkSession, path: str | list[str], schema: str = RECORD, keep_malformed: bool = False) -> DataFrame:
     """Records of JSON lines, with the file in layer_file. Malformed lines are left out, or kept with _corrupt set."""
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    rows = rows.withColumn("layer_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("layer_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    rows = lines.select(F.from_json("value", schema, options).alias("r"), "layer_file").select("r.*", "layer_file")
     return rows if keep_malformed else rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
