@@ -111,7 +111,7 @@ def latency(df: DataFrame, value: str, shares: dict[str, float], *keys: str) ->
     by_value = df.where(F.col(value).isNotNull()).groupBy(*k, value).agg(F.count("*").alias("c"))
     window = W.partitionBy(*k).orderBy(value)
     upto = by_value.withColumn("_hi", F.sum("c").over(window)).withColumn("_lo", F.col("_hi") - F.col("c"))
-    both = upto.join(F.broadcast(sizes), k) if k else upto.crossJoin(F.broadcast(sizes))
+    both = upto.join(sizes, k) if k else upto.crossJoin(F.broadcast(sizes))
     at = lambda s: F.least(F.floor(F.col("n") * F.lit(s)), F.col("n") - 1)
     return both.groupBy(*k).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *(F.max(F.when((F.col("_lo") <= at(s)) & (F.col("_hi") > at(s)), F.col(value))).alias(name) for name, s in shares.items()))
 
@@ -126,7 +126,8 @@ def cumulative_histogram(df: DataFrame, value: str, bounds: list[float]) -> Data
 def budgeted(df: DataFrame, segment: str, budgets: dict[str, int], *order) -> DataFrame:
     """segment, id, rank, truncated: the first rows of each segment up to its budget, and how many are left out."""
     most = first_case([(F.col(segment) == k, v) for k, v in budgets.items()], 0)
-    sizes = df.groupBy(segment).agg(F.count("*").alias("total"))
+    df = df.where(F.col(segment).isin(list(budgets)))
+    sizes = df.groupBy(segment).agg(F.count("*").alias("total"))  # as many rows as there are budgets
     ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(segment).orderBy(*order))).where(F.col("rank") <= max(budgets.values())).where(F.col("rank") <= most)
     return ranked.join(F.broadcast(sizes), segment).select(segment, "id", "rank", F.greatest(F.col("total") - most, F.lit(0)).cast("long").alias("truncated"))
 

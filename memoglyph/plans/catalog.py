@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None, records: bool = False):
 
 
 def load() -> tuple[dict, dict]:
-    from memoglyph.plans import graph_plans, lifecycle_plans, report_plans, search_plans, text_plans  # noqa: F401
+    from memoglyph.plans import graph_plans, lifecycle_plans, pack_plans, report_plans, search_plans, text_plans  # noqa: F401
 
     return QUERIES, ORACLE_SQL
