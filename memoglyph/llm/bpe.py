@@ -14,6 +14,7 @@ import re
 import unicodedata
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from memoglyph.llm.common import arrow_columns, table
 
 #: Chunks of text between white space of which a task remembers the ids, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 _END = 0xF0000  # a symbol that ends a word is its byte from here
 _NOT_SPACE_HERE = re.compile("[\x1c-\x1f]")  # str.split takes these as white space, the pattern does not
 _NEVER = 1 << 60
@@ -159,20 +160,26 @@ class WordBpe:
 
 
 class _Chunks(dict):
-    """Texts between white space -> (number of ids, ids as text, tokens as text), in two generations of bounded size."""
+    """Texts between white space -> (number of ids, ids as text, tokens as text, ids as int32 bytes), two generations of bounded size.
 
-    def __init__(self, bpe: WordBpe):
+    Only the parts that are asked for are made; the others are empty.
+    """
+
+    def __init__(self, bpe: WordBpe, as_text: bool, as_tokens: bool, as_bytes: bool):
         super().__init__()
-        self.bpe, self.old = bpe, {}
+        self.bpe, self.old, self.wanted = bpe, {}, (as_text, as_tokens, as_bytes)
 
     def __missing__(self, chunk: str):
         found = self.old.get(chunk)
         if found is None:
-            ids = self.bpe.chunk(chunk)
-            found = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
+            found = self.made(self.bpe.chunk(chunk))
         self[chunk] = found
         return found
 
+    def made(self, ids: list[int]):
+        as_text, as_tokens, as_bytes = self.wanted
+        return len(ids), " ".join(map(str, ids)) if as_text else "", self.bpe.decode(ids) if as_tokens else "", np.array(ids, np.int32).tobytes() if as_bytes else b""
+
     def aged(self):
         if len(self) > REMEMBERED:
             self.old = dict(self)
@@ -203,25 +210,25 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
 
     def make():
         bpe = WordBpe(json.loads(spec.value))
-        chunks = _Chunks(bpe)
+        chunks = _Chunks(bpe, digests, bool(decoded or digests), bool(ids))
         at = chunks.__getitem__
 
         def step(texts: pa.Array):
-            count, as_ids, as_text, sha, sha_text = [], [], [], [], []
+            count, as_bytes, as_text, sha, sha_text = [], [], [], [], []
             for value in texts:
-                found: list[tuple[int, str, str]] = []
+                found: list[tuple[int, str, str, bytes]] = []
                 for part, added in bpe.parts_of(value.as_py() or ""):
                     if added is not None:
-                        found.append((1, str(added), bpe.tokens[added]))
+                        found.append(chunks.made([added]))
                         continue
                     part = bpe.normal(part)
                     found += map(at, [part] if _NOT_SPACE_HERE.search(part) else part.split())
                 found = [x for x in found if x[0]]
                 count.append(sum([x[0] for x in found]))
-                id_text = " ".join([x[1] for x in found]) if ids or digests else ""
+                id_text = " ".join([x[1] for x in found]) if digests else ""
                 token_text = " ".join([x[2] for x in found]) if decoded or digests else ""
                 if ids:
-                    as_ids.append([int(x) for x in id_text.split()])
+                    as_bytes += [x[3] for x in found]
                 if decoded:
                     as_text.append(token_text)
                 if digests:
@@ -229,7 +236,9 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
                     sha_text.append(hashlib.sha256(token_text.encode()).hexdigest())
                 chunks.aged()
             out = [pa.array(count, pa.int64())]
-            out += [pa.array(as_ids, pa.list_(pa.int32()))] if ids else []
+            if ids:
+                starts = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(as_bytes), np.int32))))
             out += [pa.array(as_text, pa.string())] if decoded else []
             return out + ([pa.array(sha, pa.string()), pa.array(sha_text, pa.string())] if digests else [])
 

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-#: A piece of an Arrow batch that a pass handles at once, in bytes.
-PIECE_BYTES = 8 << 20
+#: A piece of an Arrow batch that a pass handles at once, in bytes; arrays made of it take a few dozen times as much.
+PIECE_BYTES = 2 << 20
 #: The characters of a word: anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
