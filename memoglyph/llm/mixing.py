@@ -41,11 +41,11 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: int = MO
     out = {s: 0.0 for s in size}
     left, free = float(sum(size.values())), [s for s, _ in order]
     while free:
-        unit = left / sum(weight[s] for s in free)
-        above = [s for s in free if unit * weight[s] > most * size[s]]
+        whole = sum(weight[s] for s in free)
+        above = [s for s in free if left * weight[s] / whole > most * size[s]]
         if not above:
             for s in free:
-                out[s] = unit * weight[s]
+                out[s] = left * weight[s] / whole
             break
         for s in above:
             out[s] = float(most * size[s])
