@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from memoglyph.functions.classify import BLENDS, intent_of, route_weight
 from memoglyph.functions.numeric import cosine, decay
-from memoglyph.functions.text import normalize_spaces, ranking_tokens, search_tokens
+from memoglyph.functions.text import let, normalize_spaces, ranking_tokens, search_tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -66,13 +66,21 @@ def _query_counts(query_tokens: list[str], repeats: bool) -> dict[str, int]:
     return found
 
 
+def _times(tokens, word: str):
+    """How often a word stands in a token array."""
+    return F.size(tokens) - F.size(F.array_remove(tokens, word))
+
+
 def _frequencies(entries: DataFrame, wanted: list[str]) -> tuple[DataFrame, DataFrame]:
     """entries (id, tokens) with n_tokens and the count of each wanted token; and corpus figures in one row.
 
     One pass: the counts are expressions over the token array, so no token leaves its row and nothing is exploded.
     """
-    times = lambda word: F.size(F.filter("tokens", lambda t: t == word))
-    counted = entries.select("id", F.size("tokens").alias("n_tokens"), *(times(w).alias(f"tf{i}") for i, w in enumerate(wanted)))
+    # one struct of all counts, so that an entry's tokens are made once for all terms
+    def counts(t):
+        return F.struct(F.size(t).alias("n_tokens"), *(_times(t, word).alias(f"tf{i}") for i, word in enumerate(wanted)))
+
+    counted = entries.select("id", let(F.col("tokens"), counts).alias("c")).select("id", "c.*")
     figures = counted.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))))
     return counted, figures
 
