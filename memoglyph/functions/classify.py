@@ -76,7 +76,7 @@ def freshness(age_ms, future: str = "hot") -> Column:
 
 # fixed values: how sure a promotion must be, and types that are never promoted
 LEAST_SURE = 0.6
-NOT_PROMOTED = ["summary", "event", "task-note", "session-note"]
+NOT_PROMOTED = ["summary", "session-summary", "daily-summary", "session-response", "task-note", "task-run", "task-job", "task-journal"]
 
 
 def promotion_reason(scope, type_, source_kind, memory_level, confidence, text) -> Column:
@@ -190,7 +190,7 @@ def route_weight(intent_: str, layer_, scope, source_kind, freshness_, state, pr
 
 
 # fixed values: words that make a text time-sensitive
-TIME_WORDS = ["deadline", "release", "deploy", "launch", "today", "tomorrow", "this week", "meeting", "截止", "发布", "上线", "今天", "明天", "本周"]
+TIME_WORDS = ["deadline", "freeze", "release", "deploy", "launch", "milestone", "sprint", "roadmap", "v1", "v2", "v3"]
 
 
 def is_time_sensitive(text) -> Column:
