@@ -3,8 +3,9 @@
 A page is cut into blocks of text with the elements around them. Blocks of elements that never hold an article (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) go by their markup. The rest is aligned, by the longest
 common subsequence of lines, with the page whose URL path is nearest in the order of the host's paths, and lines that both
-share are the host's template and go too. Lines inside a marked article stay, as articles quote the same passages, and a
-neighbour that is a copy of the page says nothing about a template and isn't used.
+share are the host's template and go too. Lines inside a marked article stay, as articles quote the same passages; the rest
+of such a page is differenced. A copy of a page says nothing about a template: equal pages of a host are one, and the search
+for a mate goes past near copies, which share most of the lines that aren't on most pages of the host.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _SPACE = re.compile(r"\s+")
-#: Pages that share more than this part of the shorter one's lines are copies of each other.
-COPY = 0.5
+#: Pages that share more than this part of the shorter one's characters, without the lines on most pages of the host, are copies.
+COPY = 0.8
+#: Distinct pages of a host that a line on most of them is on at least.
+WIDE = 3
 
 
 def _set_aside(name: str, tag: str, inside_article: bool) -> bool:
@@ -58,15 +61,15 @@ def _set_aside(name: str, tag: str, inside_article: bool) -> bool:
     return False
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, inside a marked article, set aside by its markup) of each block of a page, in its order.
+def blocks(page: str | None) -> list[tuple[str, int, bool]]:
+    """(text, 2 inside an article or 1 inside main only or 0, set aside by its markup) of each block of a page, in its order.
 
     Character references are decoded once, white space is one space; a page that isn't HTML is one block.
     """
     page = page or ""
-    out: list[tuple[str, bool, bool]] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, article, aside
-    article = aside = False
+    out: list[tuple[str, int, bool]] = []
+    open_: list[tuple[str, int, bool]] = []  # name, article, aside
+    article, aside = 0, False
     held: list[str] = []
     at, low = 0, None
 
@@ -81,7 +84,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
         nonlocal article, aside
         flush()
         del open_[i:]
-        article, aside = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
+        article, aside = (open_[-1][1], open_[-1][2]) if open_ else (0, False)
 
     while True:
         m = _TOKEN.search(page, at)
@@ -122,8 +125,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
                 break
             if open_[i][0] in BLOCK:
                 break
-        is_article = article or name in ("article", "main")
-        is_aside = aside or name == "head" or _set_aside(name, tag, article)
+        is_article = max(article, {"article": 2, "main": 1}.get(name, 0))
+        is_aside = aside or name == "head" or _set_aside(name, tag, article > 0)
         if (is_article, is_aside) != (article, aside):
             flush()
         if not tag.endswith("/>"):
@@ -157,26 +160,41 @@ def common_lines(a: list, b: list) -> list[bool]:
     return out
 
 
-def gone_lines(own: tuple[list[int], list[int]], mate: tuple[list[int], list[int]]) -> list[int]:
-    """Positions of own's lines that are a template's: in a longest common subsequence with the mate's, unless both are copies.
+def are_copies(a: dict, b: dict) -> bool:
+    """Whether two pages (_lines, _sizes, and _wide, the lines on most pages of their host) share most of what isn't on most pages."""
+    wide = set(a["_wide"] or ())
+    own = [(line, n) for line, n in zip(a["_lines"], a["_sizes"], strict=True) if line not in wide]
+    other = [(line, n) for line, n in zip(b["_lines"], b["_sizes"], strict=True) if line not in wide]
+    there = {line for line, _ in other}
+    return sum(n for line, n in own if line in there) > COPY * min(sum(n for _, n in own), sum(n for _, n in other))
 
-    A page is the hashes and the lengths of its lines.
-    """
-    lines, sizes = own
-    others = set(mate[0])
-    shared = sum(n for line, n in zip(lines, sizes, strict=True) if line in others)
-    if shared > COPY * max(1, min(sum(sizes), sum(mate[1]))):
-        return []
-    return [i for i, hit in enumerate(common_lines(lines, mate[0])) if hit]
+
+def gone_lines(row: dict, before: dict | None, after: dict | None) -> list[int] | None:
+    """Positions of row's lines that the nearer of its neighbours has too, or either one if equally near; None without a mate."""
+    mates = [m for m in (before, after) if m is not None and not are_copies(row, m)]
+    if not mates:
+        return None
+    near = max(_near(m["_path"], row["_path"]) for m in mates)
+    return sorted({i for m in mates if _near(m["_path"], row["_path"]) == near for i, hit in enumerate(common_lines(row["_lines"], m["_lines"])) if hit})
+
+
+def is_open(rest: list[tuple[str, int, bool]]) -> bool:
+    """Whether blocks have text that differencing decides: any outside the marked article."""
+    return any(b[1] < 2 for b in rest) and (any(b[1] == 2 for b in rest) or any(b[1] == 0 for b in rest))
 
 
-def main_text(page: list[tuple[str, bool, bool]], gone: list[int] | None) -> str:
-    """The blocks that aren't set aside; of a page without a marked article, without the lines at the positions in gone."""
+def main_text(page: list[tuple[str, int, bool]], gone: list[int] | None) -> str:
+    """The blocks that aren't set aside, without the lines at the positions in gone.
+
+    The innermost kind of marked article (article, else main) stays whole. Without a mate (gone is None) the markup alone
+    decides: only what is inside article or main is left, if there is any.
+    """
     rest = [b for b in page if not b[2]]
-    if any(b[1] for b in rest):
-        return "\n".join(text for text, article, _ in rest if article)
+    kind = max((b[1] for b in rest), default=0)
     left = set(gone or ())
-    return "\n".join(text for i, (text, _, _) in enumerate(rest) if i not in left)
+    if gone is None:
+        return "\n".join(b[0] for b in rest if b[1] or not kind)
+    return "\n".join(b[0] for i, b in enumerate(rest) if kind and b[1] == kind or i not in left)
 
 
 def path_of(url: str | None) -> tuple[str, str]:
@@ -201,12 +219,13 @@ def _near(a: str, b: str) -> int:
 def extract(pages: DataFrame, page: str = "html", url: str = "url", order: str = "page_id") -> DataFrame:
     """pages without the html, with text and n_chars: the main text of each whole page and its code points.
 
-    First each page becomes the hashes and lengths of its lines, which are all that a neighbour needs. A page's mate is
-    the neighbour in the order of (host, path, page_id) that has the longer common path beginning; equally near ones both are.
-    Pages are dealt by ranges of that order, so a host of any size is spread, and a task holds three pages at a time; the
-    first and last page of a range, whose neighbour is elsewhere, are matched among themselves. Then the positions of
-    template lines join their pages. A null or empty page has the empty text; a null or broken URL belongs to the host "".
-    Repeated pages are copies and don't difference each other away. Columns of pages named text or n_chars are replaced.
+    First each page becomes the hashes and lengths of its lines, which are all that a neighbour needs; hosts on which markup
+    decides everything go no further. Equal pages of a host are one. A page's mates are the nearest pages before and after it
+    in the order of (host, path, page_id) beyond the run of near copies around it; the one with the longer common path
+    beginning counts, equally near ones both do. Pages are dealt by ranges of that order, so a host of any size is spread;
+    runs at the ends of a range, whose neighbours are elsewhere, are matched among themselves. Then the positions of template
+    lines join their pages. A null or empty page has the empty text; a null or broken URL belongs to the host "".
+    Columns of pages named text or n_chars are replaced.
     """
     kept = [c for c in pages.columns if c not in (page, "text", "n_chars")]
     keyed = pages.select(*(F.col(f"`{c}`") for c in [*kept, page])).withColumn("_key", F.xxhash64(order, url, page))
@@ -217,58 +236,63 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", order: str =
             cut = [[b for b in blocks(h.as_py()) if not b[2]] for h in htmls]
             lines = [[xxhash.xxh3_64_intdigest(b[0]) - (1 << 63) for b in c] for c in cut]
             return [
-                pa.array([w[0] for w in where], pa.string()), pa.array([w[1] for w in where], pa.string()), pa.array([any(b[1] for b in c) for c in cut], pa.bool_()),
+                pa.array([w[0] for w in where], pa.string()), pa.array([w[1] for w in where], pa.string()), pa.array([is_open(c) for c in cut], pa.bool_()),
+                pa.array([xxhash.xxh3_64_intdigest(repr([(b[0], b[1]) for b in c]).encode()) - (1 << 63) for c in cut], pa.int64()),
                 pa.array(lines, pa.list_(pa.int64())), pa.array([[len(b[0]) for b in c] for c in cut], pa.list_(pa.int32())),
             ]
 
         return step
 
-    fields = [T.StructField("_host", T.StringType()), T.StructField("_path", T.StringType()), T.StructField("_marked", T.BooleanType()), T.StructField("_lines", T.ArrayType(T.LongType())), T.StructField("_sizes", T.ArrayType(T.IntegerType()))]
+    fields = [T.StructField("_host", T.StringType()), T.StructField("_path", T.StringType()), T.StructField("_open", T.BooleanType()), T.StructField("_same", T.LongType()), T.StructField("_lines", T.ArrayType(T.LongType())), T.StructField("_sizes", T.ArrayType(T.IntegerType()))]
     ids = list(dict.fromkeys([order, "_key"]))
     lined = checkpointed(arrow_columns(keyed, [url, page], fields, make_lines, ids))
-    ordered = lined.repartitionByRange(F.col("_host"), F.col("_path"), F.col(order), F.col("_key")).sortWithinPartitions("_host", "_path", order, "_key")
+    rows = lined.join(lined.where("_open").select("_host").distinct(), "_host", "left_semi")
+    first_of = F.min(F.struct("_path", order, "_key", "_open", "_lines", "_sizes")).alias("x")
+    distinct = checkpointed(rows.groupBy("_host", "_same").agg(first_of).select("_host", "_same", "x.*"))
+    on = distinct.select("_host", F.explode(F.array_distinct("_lines")).alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_n"))
+    hosts = distinct.groupBy("_host").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= WIDE)
+    wide = on.where(F.col("_n") >= WIDE).join(hosts, "_host").where("2 * _n > _pages").groupBy("_host").agg(F.collect_list("_line").alias("_wide"))
+    ordered = distinct.join(wide, "_host", "left").repartitionByRange(F.col("_host"), F.col("_path"), F.col(order), F.col("_key")).sortWithinPartitions("_host", "_path", order, "_key")
     ordered = checkpointed(ordered.withColumn("_at", F.monotonically_increasing_id()))
-    schema = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_gone", T.ArrayType(T.IntegerType())), T.StructField("_at", T.LongType()), T.StructField("_edge", T.BooleanType())])
+    schema = T.StructType([T.StructField("_host", T.StringType()), T.StructField("_same", T.LongType()), T.StructField("_gone", T.ArrayType(T.IntegerType())), T.StructField("_at", T.LongType()), T.StructField("_todo", T.BooleanType()), T.StructField("_edge", T.BooleanType())])
 
     def matched(last_pass: bool):
-        """First all rows but the first and last of a range; in the last pass those, between their neighbours."""
+        """First all runs of near copies but those at the ends of a range; in the last pass those, among their neighbours."""
 
         def run(batches):
-            before = now = None
-
-            def done(row, after):
-                same = [m for m in (before, after) if m is not None and m["_host"] == row["_host"]]
-                if not same or row["_marked"]:
-                    return [row["_key"], [], row["_at"], False]
-                near = max(_near(m["_path"], row["_path"]) for m in same)
-                gone = {i for m in same if _near(m["_path"], row["_path"]) == near for i in gone_lines((row["_lines"], row["_sizes"]), (m["_lines"], m["_sizes"]))}
-                return [row["_key"], sorted(gone), row["_at"], False]
+            before, known, now = None, last_pass, []
 
-            def either(row, after):
-                if last_pass:
-                    return [done(row, after)] if row["_todo"] else []
-                return [[row["_key"], None, row["_at"], True] if before is None or after is None else done(row, after)]
+            def ended(after, after_known):
+                if known and after_known:
+                    todo = [r for r in now if r["_open"] and (not last_pass or r["_todo"])]
+                    return [[r["_host"], r["_same"], gone_lines(r, before, after), r["_at"], False, False] for r in todo]
+                # the run, and the pages next to it that this range has
+                around = [r for r in (before, after) if r is not None]
+                return [[r["_host"], r["_same"], None, r["_at"], r not in around, True] for r in [*now, *around]]
 
             for batch in batches:
                 out = []
                 for row in batch.to_pylist():
-                    if now is not None:
-                        out += either(now, row)
-                    before, now = now, row
+                    same_host = bool(now) and now[-1]["_host"] == row["_host"]
+                    if same_host and are_copies(now[-1], row):
+                        now.append(row)
+                        continue
+                    if now:
+                        out += ended(row if same_host else None, True)
+                        before, known = now[-1] if same_host else None, True
+                    now = [row]
                 if out:
                     yield _batch(out, schema)
-            if now is not None and (out := either(now, None)):
+            if now and (out := ended(None, last_pass)):
                 yield _batch(out, schema)
 
         return run
 
     first = checkpointed(ordered.mapInArrow(matched(False), schema))
-    # three rows for each end of a range, in order: the end, its neighbour there, and the next range's end
-    about = F.explode(F.array(*(F.struct((F.col("_at") + d).alias("_at"), F.lit(d == 0).alias("_todo")) for d in (-1, 0, 1))))
-    edge = first.where("_edge").select(about.alias("x")).groupBy("x._at").agg(F.max("x._todo").alias("_todo"))
+    edge = first.where("_edge").groupBy("_at").agg(F.max("_todo").alias("_todo"))
     among = ordered.join(edge, "_at").select(*ordered.columns, "_todo").coalesce(1).sortWithinPartitions("_at")
-    found = first.where("not _edge").unionByName(among.mapInArrow(matched(True), schema))
-    gone = checkpointed(found.where(F.size("_gone") > 0).select("_key", "_gone").dropDuplicates(["_key"]))
+    found = first.where("not _edge").unionByName(among.mapInArrow(matched(True), schema)).where("_gone IS NOT NULL").select("_host", "_same", "_gone")
+    gone = checkpointed(rows.where("_open").select("_key", "_host", "_same").join(found, ["_host", "_same"]).select("_key", "_gone").dropDuplicates(["_key"]))
 
     def make_text():
         def step(htmls, gone_):

@@ -219,6 +219,28 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_pages_with_long_templates_and_copies(spark):
+    """A template longer than the article goes, also past copies and near copies, and outside a marked article."""
+    template = "<div>" + "slogan " * 30 + "</div><div>{}</div><div>" + "call us " * 25 + "</div>"
+    article = lambda i: f"article {i} " + f"w{i} " * 60
+    near = lambda i: "</div><div>".join([f"w{j} " * 12 for j in range(9)] + [f"edit {i}"])
+    rows = [(1, "http://a.org/x/1", template.format(article(1))), (2, "http://a.org/x/2", template.format(article(2)))]
+    rows += [(3 + i, f"http://b.org/x/{i}", template.format(article(3))) for i in range(4)] + [(7, "http://b.org/z", template.format(article(7)))]
+    rows += [(8 + i, f"http://c.org/x/{i}", template.format(near(i))) for i in range(4)] + [(12 + i, f"http://c.org/y/{i}", template.format(article(12 + i))) for i in range(5)]
+    rows += [(20 + i, f"http://d.org/{i}", f"<div>Slogan</div><p>lead {i}</p><article>quoted<p>{article(i)}</article>") for i in range(2)]
+    rows += [(30, "http://e.org/", "<div>Slogan</div><article>alone</article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: article(i).strip() for i in (1, 2, 7, *range(12, 17))} | {i: article(3).strip() for i in range(3, 7)}
+    want |= {8 + i: "\n".join([f"w{j} " * 11 + f"w{j}" for j in range(9)] + [f"edit {i}"]) for i in range(4)}
+    want |= {20 + i: f"lead {i}\nquoted\n{article(i).strip()}" for i in range(2)} | {30: "alone"}
+    for parts in (1, 3, 11):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == want
+
+
 def test_common_lines_is_longest():
     r = random.Random(3)
 
