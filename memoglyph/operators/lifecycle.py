@@ -84,6 +84,19 @@ def top_per_key(df: DataFrame, keys: list[str], most: int, *order, rank: str = "
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= most)
 
 
+def positions(df: DataFrame, *order, out: str = "position") -> DataFrame:
+    """df with the place of each row in the whole order, from 1; order must tell all rows apart.
+
+    Rows are dealt by ranges of the order and counted from where their range starts, so no task holds them all.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = checkpointed(dealt.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    # a row for each range
+    starts = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_start"))
+    return dealt.join(F.broadcast(starts), "_range").withColumn(out, F.col("_start") + F.col("_at") + 1).drop("_range", "_at", "_start")
+
+
 def within_window_dedup(df: DataFrame, hash_: str, t_ms: str, id_: str, window_ms: int = 30_000) -> DataFrame:
     """Rows without those whose previous row of the same hash is at most window_ms older."""
     before = F.lag(t_ms).over(W.partitionBy(hash_).orderBy(t_ms, id_))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from memoglyph.functions.classify import BLENDS, intent_of, route_weight
 from memoglyph.functions.numeric import cosine, decay
 from memoglyph.functions.text import let, normalize_spaces, ranking_tokens, search_tokens
+from memoglyph.operators.lifecycle import positions
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -148,10 +149,9 @@ def normalized(scores: DataFrame) -> DataFrame:
     return scores.crossJoin(F.broadcast(top)).where("score > 0").select("id", (F.col("score") / F.col("_top")).alias("score"))
 
 
-def rank_map(scores: DataFrame, most: int) -> DataFrame:
-    """id, rank of the `most` best positive scores, ties by id. The limit keeps the ranking off a single partition's sort."""
-    top = scores.where("score > 0").orderBy(F.desc("score"), "id").limit(most)
-    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id"))).select("id", "rank")
+def rank_map(scores: DataFrame) -> DataFrame:
+    """id, rank of all positive scores, ties by id."""
+    return positions(scores.where("score > 0").select("id", "score"), F.desc("score"), F.asc("id"), out="rank").select("id", "rank")
 
 
 def fuse_weighted(sparse: DataFrame, dense_: DataFrame, sparse_weight: float, dense_weight: float) -> DataFrame:
@@ -161,10 +161,10 @@ def fuse_weighted(sparse: DataFrame, dense_: DataFrame, sparse_weight: float, de
     return both.withColumn("score", sparse_weight * F.col("bm25") + dense_weight * F.col("dense"))
 
 
-def fuse_rrf(sparse: DataFrame, dense_: DataFrame, k: int = RRF_K, most: int = 1000) -> DataFrame:
-    """id, score: reciprocal ranks over both rankings, a missing one counting 0."""
+def fuse_rrf(sparse: DataFrame, dense_: DataFrame, k: int = RRF_K) -> DataFrame:
+    """id, score: reciprocal ranks of all positive scores over both rankings, a missing one counting 0."""
     k = k if k > 0 else RRF_K
-    both = rank_map(sparse, most).withColumnRenamed("rank", "a").join(rank_map(dense_, most).withColumnRenamed("rank", "b"), "id", "full_outer")
+    both = rank_map(sparse).withColumnRenamed("rank", "a").join(rank_map(dense_).withColumnRenamed("rank", "b"), "id", "full_outer")
     part = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
     return both.select("id", (part("a") + part("b")).alias("score"))
 

@@ -94,7 +94,7 @@ def rrf(spark, sf):
 @query("rank_map", f"WITH {_BM25} SELECT doc_id, r::INTEGER AS rank FROM (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm25) WHERE r <= 50")
 def ranks(spark, sf):
     sparse = S.bm25(_ranking_entries(spark, sf), QUERY.split()).withColumn("score", F.round("score", 9))
-    return S.rank_map(sparse, 50).select(F.col("id").alias("doc_id"), "rank")
+    return S.rank_map(sparse).select(F.col("id").alias("doc_id"), "rank")
 
 
 @query("search_filter", ", x AS (SELECT scope, count(*)::BIGINT AS n FROM records WHERE contains(project, '3') AND source_kind = 'run' AND contains(workspace, '1') GROUP BY scope) SELECT * FROM x", records=True)

@@ -27,6 +27,19 @@ def test_bm25_prefers_matches(spark):
     assert S.keyword_overlap(rows, ["red"]).where("id = 'b'").first()["score"] == 2.0
 
 
+def test_ranks_have_no_limit(spark):
+    a = spark.range(0, 2600, 1, 7).select("id", (F.col("id") * 37 % 101 - 1.0).alias("score"))
+    b = spark.range(0, 2600, 1, 3).select("id", (F.col("id") % 997 + 0.0).alias("score"))
+
+    def ranks(df):
+        return {i: r for r, (_, i) in enumerate(sorted((-r["score"], r["id"]) for r in df.collect() if r["score"] > 0), 1)}
+
+    assert {r["id"]: r["rank"] for r in S.rank_map(a).collect()} == ranks(a)
+    x, y = ranks(a), ranks(b)
+    got = {r["id"]: r["score"] for r in S.fuse_rrf(a, b).collect()}
+    assert got == {i: pytest.approx((1 / (60 + x[i]) if i in x else 0) + (1 / (60 + y[i]) if i in y else 0)) for i in x.keys() | y.keys()}
+
+
 def test_mmr_differs(spark):
     rows = spark.createDataFrame([("q", 1, 1.0, [1.0, 0.0]), ("q", 2, 0.99, [1.0, 0.0]), ("q", 3, 0.8, [0.0, 1.0]), ("q", 4, 0.1, None)], "query string, id long, score double, embedding array<double>")
     assert [r["id"] for r in S.mmr(rows, 0.5, 3).orderBy("rank").collect()][:2] == [1, 3]
