@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from memoglyph.functions.classify import first_case, freshness, lowered
 from memoglyph.functions.numeric import value_at
+from memoglyph.operators.lifecycle import positions
 from memoglyph.schema import TIER_BUDGETS
 
 DAY_MS = 86_400_000
@@ -209,12 +210,20 @@ def prometheus(metrics: DataFrame) -> DataFrame:
     return metrics.orderBy("name", "label").select(F.concat(F.col("name"), labels, F.lit(" "), F.col("value").cast("string")).alias("line"))
 
 
-def markdown_pages(df: DataFrame, key: str, most: int = 500) -> DataFrame:
-    """key, page: a page for each key with a line for each of its first `most` records (id, title)."""
-    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("id"))).where(F.col("_r") <= most)
+def markdown_pages(df: DataFrame, key: str, lines: int = 500) -> DataFrame:
+    """key, part, page: a line for each record (id, title) of a key, in order of ids, in parts of `lines` lines.
+
+    Places in a key count from its first place in the whole order, so a key of any size is spread.
+    """
+    placed = positions(df.select(key, "id", "title"), F.asc(key), F.asc("id"))
+    begin = placed.groupBy(F.col(key).alias("_of")).agg(F.min("position").alias("_first"))
+    place = F.col("position") - F.col("_first")
+    ranked = placed.join(begin, F.col(key).eqNullSafe(F.col("_of"))).select(key, "id", "title", place.alias("_r"), F.floor(place / lines).alias("_part"))
     line = F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("id"), F.lit(".md)"))
-    pages = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_r", line.alias("line")))).alias("l"))
-    return pages.select(key, F.concat(F.lit("# "), F.col(key), F.lit("\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("page"))
+    pages = ranked.groupBy(key, "_part").agg(F.sort_array(F.collect_list(F.struct("_r", line.alias("line")))).alias("l"))
+    mark = F.when(F.col("_part") > 0, F.concat(F.lit(" ("), (F.col("_part") + 1).cast("string"), F.lit(")"))).otherwise("")
+    page = F.concat(F.lit("# "), F.col(key), mark, F.lit("\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    return pages.select(key, (F.col("_part") + 1).alias("part"), page.alias("page"))
 
 
 def p95(values: Column) -> Column:

@@ -116,6 +116,16 @@ def test_reports(spark):
     assert [x["n"] for x in R.cumulative_histogram(df, "v", [10, 50]).collect()] == [10, 50, 100]
 
 
+def test_pages_hold_every_record(spark):
+    df = spark.range(0, 2801, 1, 7).select(F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("scope"), F.format_string("r%05d", "id").alias("id"), F.lit("t").alias("title"))
+    got = {(r["scope"], r["part"]): r["page"] for r in R.markdown_pages(df, "scope").collect()}
+    assert sorted(got) == [("a", i) for i in range(1, 6)] + [("b", 1), ("b", 2)]
+    for key in "ab":
+        want = [f"- [t](r{i:05d}.md)" for i in range(2801) if (i % 4 == 0) == (key == "b")]
+        assert [line for k in sorted(got) if k[0] == key for line in got[k].split("\n")[2:]] == want
+    assert got["a", 1].startswith("# a\n\n- [") and got["a", 2].startswith("# a (2)\n\n- [")
+
+
 def test_breaker(spark):
     calls = [("s", i, i, False) for i in range(5)] + [("s", 5, 10, True), ("s", 6, 40, True), ("s", 7, 41, True), ("s", 8, 42, True)]
     got = [(r["state"], r["allowed"]) for r in M.breaker(spark.createDataFrame(calls, "service string, seq long, ts_s long, ok boolean")).orderBy("seq").collect()]
