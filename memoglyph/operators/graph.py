@@ -166,7 +166,13 @@ RELATIONS = [
 
 def relations(df: DataFrame, text: str = "content") -> DataFrame:
     """id, subject, predicate, object, confidence (0.7) by the patterns of RELATIONS; ends of three characters or more."""
-    rows = F.flatten(F.array(*(F.transform(F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(p), 1).alias("s"), F.regexp_extract_all(F.col(text), F.lit(p), 2).alias("o")), lambda z, n=name: F.struct(z["s"].alias("subject"), F.lit(n).alias("predicate"), z["o"].alias("object"))) for name, p in RELATIONS)))
+
+    def found(name, p):
+        # a lambda of two parameters would get an element's place as the second
+        ends = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(p), 1).alias("s"), F.regexp_extract_all(F.col(text), F.lit(p), 2).alias("o"))
+        return F.transform(ends, lambda z: F.struct(z["s"].alias("subject"), F.lit(name).alias("predicate"), z["o"].alias("object")))
+
+    rows = F.flatten(F.array(*(found(name, p) for name, p in RELATIONS)))
     ends = df.select("id", F.inline(rows))
     fine = (F.length("subject") >= 3) & (F.length("object") >= 3) & ~F.col("subject").isin(STOPWORDS) & ~F.col("object").isin(STOPWORDS)
     return ends.where(fine).distinct().withColumn("confidence", F.lit(0.7))

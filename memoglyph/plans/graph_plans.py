@@ -123,13 +123,12 @@ def candidates(spark, sf):
 
 @query("entity_relations")
 def relations(spark, sf):
-    text = F.concat(F.initcap("tool"), F.lit(" works on "), F.initcap("project"), F.lit(". "), F.substring("content", 1, 300))
-    return G.relations(records(spark, sf).select("id", text.alias("content")))
+    return G.relations(records(spark, sf).select("id", "content"))
 
 
 @query("entity_types")
 def types(spark, sf):
-    return G.score_types(records(spark, sf).select("id", F.substring("content", 1, 500).alias("content")))
+    return G.score_types(records(spark, sf).select("id", "content"))
 
 
 @query("coreference")

@@ -41,6 +41,25 @@ def test_equals_sql(spark, name):
     assert sorted(repr(tuple(norm(r[c]) for c in columns)) for r in df.collect()) == want
 
 
+@pytest.fixture(scope="session")
+def small(spark, tmp_path_factory):
+    """Tables whose texts have what counts past their first 600 characters."""
+    d = tmp_path_factory.mktemp("small")
+    long = "lorem ipsum " * 50
+    docs = [(1, long + 'Ada said hello. Ada works on Engine. mail ada@mail.example.org password="secret99" end', "en", "web"), (2, "nothing", "en", "web"), (3, "gamma delta epsilon zeta", "en", "web")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(5, "unrelated words here"), (6, "gamma delta epsilon zeta"), (7, "gamma delta other thing"), (8, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    turns = [(1, 0, "user", "a whole text that isn't noise"), (2, 0, "user", "A new session was started just now"), (40, 1, "user", "ok"), (80, 1, "user", "nothing: exec completed is in here"), (5, 1, "user", "Run your Session Startup"), (3, 1, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    return str(d)
+
+
+def test_entities_of_whole_texts(spark, small):
+    queries, _ = load()
+    assert [(r["name"], r["type"], r["frequency"]) for r in queries["entity_types"](spark, small).where("id = 'r1' AND name = 'Ada'").collect()] == [("Ada", "person", 2)]
+    assert [(r["id"], r["subject"], r["predicate"], r["object"]) for r in queries["entity_relations"](spark, small).collect()] == [("r1", "Ada", "works_on", "Engine")]
+
+
 def test_entry_has_rows(spark):
     if not Path(SF).exists():
         pytest.skip("needs the driver's tables")
