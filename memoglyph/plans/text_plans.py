@@ -111,18 +111,14 @@ def redaction_strict(spark, sf):
 
 @query("redaction_outbound", f"SELECT doc_id, {_folded([(p, m.replace('$1', chr(92) + '1')) for p, m in X.OUTBOUND if chr(92) + '2' not in p])} AS text FROM documents")
 def redaction_outbound(spark, sf):
-    # the pattern with a back-reference is left out on both sides here, as RE2 has none; tests cover it
-    out = F.col("text")
-    for p, m in X.OUTBOUND:
-        if "\\2" not in p:
-            out = F.regexp_replace(out, p, m)
-    return table(spark, sf, "documents").select("doc_id", out.alias("text"))
+    # the SQL lacks the pattern with a back-reference, as RE2 has none
+    return table(spark, sf, "documents").select("doc_id", X.redact_outbound("text").alias("text"))
 
 
 @query("redact_record", rf"""SELECT doc_id, {_folded([(p, f'[REDACTED_{n}]') for n, p in X.REDACTIONS]).replace('(text,', '(substr(text, 1, 200),')} AS title, {_folded([(p, f'[REDACTED_{n}]') for n, p in X.REDACTIONS]).replace('(text,', '(source,')} AS fact FROM documents""")
 def redact_record(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("title"), F.array("source").alias("facts"))
-    return X.redact_record(rows).select("doc_id", "title", F.element_at("facts", 1).alias("fact"))
+    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("title"), F.col("text").alias("content"), F.array("source").alias("facts"))
+    return X.redact_record(rows).select("doc_id", "title", "content", F.element_at("facts", 1).alias("fact"))
 
 
 @query("token_estimate", "SELECT conv_id, turn, ceil(length(text) * 0.25)::BIGINT AS tokens FROM conversations")

@@ -60,6 +60,14 @@ def test_entities_of_whole_texts(spark, small):
     assert [(r["id"], r["subject"], r["predicate"], r["object"]) for r in queries["entity_relations"](spark, small).collect()] == [("r1", "Ada", "works_on", "Engine")]
 
 
+def test_redaction_of_whole_records(spark, small):
+    queries, _ = load()
+    content = queries["redact_record"](spark, small).where("doc_id = 1").first()["content"]
+    assert "ada@mail" not in content and "[REDACTED_" in content and content.endswith(" end")
+    text = queries["redaction_outbound"](spark, small).where("doc_id = 1").first()["text"]
+    assert "secret99" not in text and "password=[REDACTED] end" in text
+
+
 def test_entry_has_rows(spark):
     if not Path(SF).exists():
         pytest.skip("needs the driver's tables")
