@@ -18,8 +18,7 @@ def normalize(spark, sf):
 SELECT turn, count(*)::BIGINT AS n, sum(CASE WHEN length(s) < 5 OR regexp_matches(s, '^(?i:Sender\s*\(|System:|Subagent Context|\[Subagent Context\]|Exec completed|Exec failed|A new session was started|\[(Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s|Run your Session Startup)') THEN 1 ELSE 0 END)::BIGINT AS noise
 FROM (SELECT turn, trim(regexp_replace(coalesce(substr(text, 1, 1 + (conv_id * 7 % 40)), ''), '\s+', ' ', 'g')) AS s FROM conversations) GROUP BY turn""")
 def noise(spark, sf):
-    cut = table(spark, sf, "conversations").select("turn", F.expr("substr(text, 1, CAST(1 + (conv_id * 7 % 40) AS INT))").alias("s"))
-    return cut.groupBy("turn").agg(F.count("*").alias("n"), F.count_if(X.is_noise("s")).alias("noise"))
+    return table(spark, sf, "conversations").groupBy("turn").agg(F.count("*").alias("n"), F.count_if(X.is_noise("text")).alias("noise"))
 
 
 @query("search_tokens", r"""

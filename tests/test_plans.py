@@ -68,6 +68,11 @@ def test_redaction_of_whole_records(spark, small):
     assert "secret99" not in text and "password=[REDACTED] end" in text
 
 
+def test_noise_of_whole_texts(spark, small):
+    queries, _ = load()
+    assert sorted(tuple(r) for r in queries["noise_filter"](spark, small).select("turn", "n", "noise").collect()) == [(0, 2, 1), (1, 4, 3)]
+
+
 def test_entry_has_rows(spark):
     if not Path(SF).exists():
         pytest.skip("needs the driver's tables")
