@@ -263,9 +263,18 @@ WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(
 b AS (SELECT list_distinct(list_filter(regexp_split_to_array(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[\s\-_.,;:!?()\[\]{}''"#@$%^&*+=|\\~`]+'), lambda w: length(w) >= 3)[1:18]) AS t FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))
 SELECT doc_id, round(CASE WHEN len(d.t) = 0 OR len(b.t) = 0 THEN 0 ELSE len(list_intersect(d.t, b.t)) / len(list_distinct(list_concat(d.t, b.t))) END, 6)::DOUBLE AS overlap FROM d, b""")
 def jaccards(spark, sf):
-    b = table(spark, sf, "benchmark").orderBy("item_id").limit(1).select(X.fingerprint_tokens("text").alias("b"))
-    d = table(spark, sf, "documents").select("doc_id", X.fingerprint_tokens("text").alias("t"))
-    return d.crossJoin(F.broadcast(b)).select("doc_id", F.round(N.jaccard(F.col("t"), F.col("b")), 6).alias("overlap"))
+    """The best overlap of each document with any benchmark item, and that item (the smallest id of equally good ones; null if none)."""
+    fingerprints = lambda name, *ids: table(spark, sf, name).select(*ids, F.array_distinct(X.fingerprint_tokens("text")).alias("t"))
+    b, d = fingerprints("benchmark", "item_id"), fingerprints("documents", "doc_id")
+    # equal token sets are one on both sides, so copies meet once
+    sets = d.select(F.array_sort("t").alias("t")).where(F.size("t") > 0).distinct().withColumn("n", F.size("t"))
+    items = b.where(F.size("t") > 0).groupBy(F.array_sort("t").alias("t")).agg(F.min("item_id").alias("item_id")).withColumn("m", F.size("t"))
+    met = sets.select("t", "n", F.explode("t").alias("w")).join(items.select("item_id", "m", F.explode("t").alias("w")), "w")
+    shared = met.groupBy("t", "n", "item_id", "m").agg(F.count("*").alias("both"))
+    overlap = F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6)
+    best = shared.groupBy("t").agg(F.max(F.struct(overlap.alias("overlap"), F.negate("item_id").alias("other"))).alias("x"))
+    found = d.select("doc_id", F.array_sort("t").alias("t")).join(best, "t", "left")
+    return found.select("doc_id", F.negate("x.other").alias("item_id"), F.coalesce("x.overlap", F.lit(0.0)).alias("overlap"))
 
 
 @query("json_props", "SELECT (props::JSON ->> 'k')::BIGINT AS k, count(*)::BIGINT AS n FROM events GROUP BY 1")

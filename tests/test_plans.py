@@ -73,6 +73,12 @@ def test_noise_of_whole_texts(spark, small):
     assert sorted(tuple(r) for r in queries["noise_filter"](spark, small).select("turn", "n", "noise").collect()) == [(0, 2, 1), (1, 4, 3)]
 
 
+def test_overlap_with_all_benchmark_items(spark, small):
+    queries, _ = load()
+    got = {r["doc_id"]: (r["item_id"], r["overlap"]) for r in queries["jaccard_to_benchmark"](spark, small).collect()}
+    assert got == {1: (None, 0.0), 2: (None, 0.0), 3: (6, 1.0)}
+
+
 def test_entry_has_rows(spark):
     if not Path(SF).exists():
         pytest.skip("needs the driver's tables")
