@@ -184,6 +184,11 @@ PROJECT = r"\b(?:building|deploying|shipping|project|repo|repository)\s+{n}\b"
 CONCEPT = r"\b{n}\s+(?:is a|is an|means|refers to|is defined as)\b"
 
 
+#: First or last words of names that evidence can stand beside: found in one pass each, so that other names needn't be looked up.
+BEFORE = [re.compile(p) for p in (r"(\w+)(?=\s+(?:said|says|asked|wrote|thinks|told|works|joined|leads|is|means|refers)\b)", r"(\w+)(?=[ -]v?\d+\.\d+)", r"(\w+)(?=\.(?:py|js|ts|go|rs|java)\b)")]
+AFTER = [re.compile(p) for p in (r"@(?=(\w+))", r"\b(?:Dear|Hi|Hello)(?=\s+(\w+))", r"\"(?=\s*,?\s*(?:said\s+)?(\w+))", r"\b(?:building|deploying|shipping|project|repo|repository)(?=\s+(\w+))")]
+
+
 def score_types(df: DataFrame, text: str = "content") -> DataFrame:
     """id, name, type, confidence, frequency of each candidate name, from verbs, addresses, quotes, versions and definitions around it."""
 
@@ -193,7 +198,11 @@ def score_types(df: DataFrame, text: str = "content") -> DataFrame:
             for id_, body in zip(rows["id"], rows[text], strict=True):
                 body = body or ""
                 names = Counter(m for m in re.findall(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,4})\b", body) if m not in STOPWORDS)
+                last, first = ({w for p in ps for w in p.findall(body)} for ps in (BEFORE, AFTER))
                 for name, n in sorted(names.items()):
+                    if name.split(" ")[-1] not in last and name.split(" ")[0] not in first:
+                        out.append((id_, name, "uncertain", min(0.4, n / 30), n))
+                        continue
                     e = re.escape(name)
                     person = 2 * len(re.findall(PERSON.format(n=e), body)) + 3 * len(re.findall(rf"@{e}\b|\b(?:Dear|Hi|Hello)\s+{e}\b", body)) + 3 * len(re.findall(rf"\"[^\"]+\"\s*,?\s*(?:said\s+)?{e}\b", body))
                     project = 2 * len(re.findall(PROJECT.format(n=e), body)) + 3 * len(re.findall(rf"\b{e}[ -]v?\d+\.\d+", body)) + 3 * len(re.findall(rf"\b{e}\.(?:py|js|ts|go|rs|java)\b", body))
