@@ -9,6 +9,7 @@ sum of its matches, and the document's score is calibrated from its clauses, not
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import ahocorasick
@@ -83,21 +84,32 @@ class Grammar:
         """Each clause with a match, as (start, end) -> (state, weight, matched text)."""
         text = text.lower()
         found: dict[tuple[int, int], list[tuple[str, float, str]]] = {}
+        a = b = -1
         for start, end, weight in self.matches(text):
-            a = max((text.rfind(c, 0, start) for c in ".!?;:\n")) + 1
-            stop = _CLAUSE_END.search(text, end)
-            b = stop.start() if stop else len(text)
-            before = words(text[max(a, start - 200) : start])
-            after = words(text[end : min(b, end + 200)])
+            if start >= b:
+                a = max((text.rfind(c, 0, start) for c in ".!?;:\n")) + 1
+                stop = _CLAUSE_END.search(text, end)
+                b = stop.start() if stop else len(text)
+                # the clause's words, once for all of its matches: where they end, and where the first telling ones do
+                spans = [(w.start(), w.end(), w[0]) for w in _WORD.finditer(text, a, b)]
+                ends = [e for _, e, _ in spans]
+                report = next((e for _, e, w in spans if w in REPORTS), b + 1)
+                target = next((e for _, e, w in spans if w in TARGETS), b + 1)
+            i = bisect.bisect_right(ends, start)
+            # a word that goes on into the match, as in l'idiot, counts up to it
+            cut = words(text[spans[i][0] : start]) if i < len(spans) and spans[i][0] < start else []
+            before = [w for _, _, w in spans[max(0, i - REACH) : i]] + cut
+            j = bisect.bisect_left(ends, end)
+            after = words(text[end : spans[min(len(spans) - 1, j + REACH + 1)][1]]) if j < len(spans) else []
             word = text[start:end]
             quoted = text[a:start].count('"') % 2 == 1 or text.rfind("“", a, start) > text.rfind("”", a, start)
-            if quoted or not REPORTS.isdisjoint(before):
+            if quoted or report <= start or not REPORTS.isdisjoint(cut):
                 state = "reported"
             elif not NEGATIONS.isdisjoint(before[-REACH:]):
                 state = "negated"
             elif word in THREATS:
                 state = "threat"
-            elif not TARGETS.isdisjoint(before) or not TARGETS.isdisjoint(after[:REACH]):
+            elif target <= start or not TARGETS.isdisjoint(cut) or not TARGETS.isdisjoint(after[:REACH]):
                 state = "target"
             else:
                 state = "plain"

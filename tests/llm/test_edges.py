@@ -198,6 +198,14 @@ def test_language_of_a_text_alone_and_among_others():
         assert np.allclose(whole[i], langid.logits_of(*string_buffers(pa.array([t])), rows)[0])
 
 
+def test_a_clause_has_no_window():
+    grammar = toxicity.Grammar({"idiot": 1.0}, {}).opened()
+    state = lambda text: [s for found in grammar.clauses(text).values() for s, _, _ in found]
+    far = " " + "word " * 100
+    assert [state(x + far + "idiot " + far + "idiot") for x in ("she said", "you", "a. b")] == [["reported"] * 2, ["target"] * 2, ["plain"] * 2]
+    assert state("not" + far + "idiot") == ["plain"] and state("not an idiot") == ["negated"] and state("said. an idiot") == ["plain"]
+
+
 PAGE = "<html><head><title>t</title><script>var a='</p>';</script></head><body><header>Site</header><nav><a>Home</a></nav>{}<aside>Side</aside><div class='comments'>Nice!</div><form>Mail<input></form><footer>F</footer></body></html>"
 
 
