@@ -60,11 +60,14 @@ def arrow_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField],
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and cut from its lineage in the folder of spark.checkpoint.dir.
 
-    The session's setting is used; where it has none (tests, one machine) a temporary folder is set.
+    The session's setting is used; where it has none, a local master gets a temporary folder, and a cluster an error, as
+    its executors share no local folder.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         set_to = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not set_to and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="memoglyph-"))
     return df.checkpoint(eager=True)
 
@@ -87,11 +90,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     has the largest; null labels and ids count as none.
     """
     may = F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id", parts, held_out)
-    one = labels.where(may).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
+    one = labels.select("doc_id", label).where(may).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     zero, some = (one.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1))
-    chosen = zero.unionByName(some).withColumnRenamed("doc_id", "_id")
-    got = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text").dropDuplicates(["doc_id"]).toArrow()
+    chosen = zero.unionByName(some)
+    own = docs.select("doc_id", "text").where(F.col("text").isNotNull())  # without columns that could clash
+    got = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").dropDuplicates(["doc_id"]).toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["text"].to_pylist(), strict=True))
     y = np.array([r[1] for r in rows], dtype=np.int64)
     shares = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}
@@ -99,11 +103,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return [r[2] for r in rows], y, weight / weight.mean() if len(weight) else weight
 
 
-def logistic(features: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Weights, the bias last, of a logistic regression by Newton's method; one class alone gives its smoothed share."""
+def logistic(features: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 60, prior=0.0) -> np.ndarray:
+    """Weights, the bias last, of a logistic regression by Newton's method; one class alone gives its smoothed share.
+
+    The ridge draws the weights to `prior`, which those of features that never occur keep.
+    """
     n, d = features.shape
     x = np.hstack([features, np.ones((n, 1))])
     w = np.zeros(d + 1)
+    w[:-1] = prior
+    aim = w.copy()
     if n == 0:
         return w
     weight = np.ones(n) if weight is None else weight
@@ -115,7 +124,7 @@ def logistic(features: np.ndarray, y: np.ndarray, weight: np.ndarray | None = No
     ridge[-1] = 1e-9 * n
     for _ in range(steps):
         p = sigmoid(x @ w)
-        slope = x.T @ (weight * (p - y)) + ridge * w
+        slope = x.T @ (weight * (p - y)) + ridge * (w - aim)
         curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(curve, slope)
         step *= min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
@@ -171,21 +180,33 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
     """
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    hashes, starts, _, _ = word_spans(raw, offsets[1:-1], lower)
+    return hashes, np.searchsorted(starts, offsets).astype(np.int64)
+
+
+def word_spans(raw: np.ndarray, edges: np.ndarray | None = None, lower: bool = True):
+    """(hashes, starts, ends, prefix) of the words of UTF-8 bytes; edges are further places where a word ends.
+
+    prefix(starts, k) hashes the first k bytes of the words at starts; of a whole word it is the word's hash.
+    """
     if lower:
         raw = raw + (((raw >= 65) & (raw <= 90)).view(np.uint8) << np.uint8(5))
     inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    first = inside.copy()
+    first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
-    edges = offsets[1:-1]
-    edges = edges[edges < len(raw)]
-    first[edges] |= inside[edges]
-    last = inside.copy()
     last[:-1] &= ~inside[1:]
-    before = edges[edges > 0] - 1
-    last[before] |= inside[before]
+    if edges is not None:
+        edges = edges[edges < len(raw)]
+        first[edges] |= inside[edges]
+        before = edges[edges > 0] - 1
+        last[before] |= inside[before]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers("up", len(raw)), out=sums[1:])
-        words = (sums[ends] - sums[starts]) * _powers("down", len(raw))[starts]
-    return mixed(words), np.searchsorted(starts, offsets).astype(np.int64)
+
+    def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed((sums[b] - sums[a]) * _powers("down", len(raw))[a])
+
+    return between(starts, ends), starts, ends, lambda at, k: between(at, at + k)

@@ -156,6 +156,8 @@ def test_grammar_states():
     assert state('the word "idiot" is rude') == ["reported"]
     assert state("i will kill it") == ["threat"]
     assert state("idiotic") == [] and state("a grobnak") == ["plain"] and state("") == []
+    assert state("you are not. an idiot") == ["plain"] and state("i will kill you") == ["threat"] and state("they kill") == ["plain"]
+    assert state("an idiot and a grobnak") == ["chain"] * 2 and state("you'll be an idiot, you") == ["threat"]
 
 
 def test_mixing(spark, odd):
@@ -202,10 +204,60 @@ def test_a_clause_has_no_window():
     grammar = toxicity.Grammar({"idiot": 1.0}, {}).opened()
     state = lambda text: [s for found in grammar.clauses(text).values() for s, _, _ in found]
     far = " " + "word " * 100
-    assert [state(x + far + "idiot " + far + "idiot") for x in ("she said", "you", "a. b")] == [["reported"] * 2, ["target"] * 2, ["plain"] * 2]
+    assert [state(x + far + "idiot " + far + "idiot") for x in ("she said", "you", "a. b")] == [["reported"] * 2, ["target"] * 2, ["chain"] * 2]
     assert state("not" + far + "idiot") == ["plain"] and state("not an idiot") == ["negated"] and state("said. an idiot") == ["plain"]
 
 
+def test_composition_is_the_best_of_all_paths():
+    """The composed transducer reads every short clause as the best path through the parts, found by enumeration."""
+
+    def paths(machine, symbols):
+        found = [(0.0, machine.start, ())]
+        for x in symbols:
+            found = [(w + w2, to, (*outs, out)) for w, s, outs in found for out, w2, to in machine.arcs.get((s, x), ())]
+        return [(w + machine.final[s], outs) for w, s, outs in found if s in machine.final]
+
+    def slow(symbols):
+        ways = [(0.0, tuple(symbols))]
+        for machine in toxicity.parts():
+            ways = [(w + w2, outs) for w, before in ways for w2, outs in paths(machine, before)]
+        return ways
+
+    whole = toxicity.composed()
+    for n in range(5):
+        for symbols in itertools.product(toxicity.SYMBOLS, repeat=n):
+            ways = slow(symbols)
+            weight, outs = whole.best(symbols)
+            assert ways and abs(weight - max(w for w, _ in ways)) < 1e-9 and any(tuple(outs) == o and abs(w - weight) < 1e-9 for w, o in ways)
+
+
+def test_a_lone_word_scores_nothing():
+    g = toxicity.Grammar({"idiot": 5.0, "kill": 1.0}, {}).opened()
+    assert not any(g.features("a long text. one idiot in it. and more")[:-1]) and not any(g.features("")[:-1])
+    assert any(g.features("one idiot. another idiot")[:-1]) and any(g.features("you idiot")[:-1])
+
+
+def test_grammar_is_linear_in_the_text():
+    import time
+
+    g = toxicity.Grammar({"idiot": 5.0}, {}).opened()
+    began = time.perf_counter()
+    g.features('you "idiot" said ' * 60_000)
+    g.features("idiot. " * 100_000)
+    assert time.perf_counter() - began < 30
+
+
+def test_learnt_words_and_threats():
+    r = random.Random(1)
+    noise = lambda: text(r.random(), 30)
+    toxic = [f"{noise()} you {r.choice(['zorgle', 'killing', 'vrakmu', 'vrakto', 'vrakli'])} {noise()} {r.choice(['vrakno', 'vrakpe'])}" for _ in range(60)]
+    clean = [noise() for _ in range(200)]
+    counts = toxicity._Counts(toxic + clean, np.array([1] * 60 + [0] * 200))
+    g = counts.grammar(np.ones(260, bool))
+    assert "vrak" in g.stems and "killing" in g.lexicon and "killing" in g.threats and "zorgle" in g.lexicon
+    assert not set(WORDS) & set(g.lexicon)
+
+
 PAGE = "<html><head><title>t</title><script>var a='</p>';</script></head><body><header>Site</header><nav><a>Home</a></nav>{}<aside>Side</aside><div class='comments'>Nice!</div><form>Mail<input></form><footer>F</footer></body></html>"
 
 
