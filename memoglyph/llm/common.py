@@ -72,6 +72,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_names(columns: list[str]) -> str:
+    """A beginning that no column name has in any case, for internal names beside them."""
+    start = "_own"
+    while any(c.lower().startswith(start) for c in columns):
+        start += "_"
+    return start + "_"
+
+
+#: Rows up to which a table of a few short columns is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def joined_small(df: DataFrame, found: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """df joined with a checkpointed table of short rows: broadcast up to BROADCAST_ROWS rows, else shuffled by the keys."""
+    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    return df.join(found, on, how)
+
+
 def remainder(column: str, parts: int):
     """crc32 of an id as text, modulo parts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
