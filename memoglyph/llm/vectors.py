@@ -8,23 +8,26 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from memoglyph.llm.common import checkpointed, table
+from memoglyph.llm.common import checkpointed, joined_small, table
 
-#: Vectors that thresholds and bounds are read from, at most.
+#: Vectors that a forest is fitted on, at most; and those that the first round of an exact search compares.
 SAMPLE = 16_384
-#: Trees; rows of a leaf; levels of leaves that one task holds; queries of one task.
-TREES, LEAF_ROWS, TASK_LEVELS, TASK_QUERIES = 12, 128, 5, 4096
-#: Leaves that a query visits over all trees: this share of one tree's leaves, and at least so many.
-VISIT_SHARE, LEAST_VISITS = 0.65, 160
+#: Trees; rows of a leaf; levels of leaves that one task holds; vectors and queries of one task.
+TREES, LEAF_ROWS, TASK_LEVELS, TASK_ROWS, TASK_QUERIES = 12, 128, 5, 8192, 4096
+#: Leaves that a query visits over all trees, times the square root of one tree's leaves.
+VISITS = 9
 #: Sampled vectors below which a node's threshold isn't read from it but from an ancestor.
 NODE_SAMPLE = 16
-#: Vectors whose sorted lists one task holds, and the queries it runs against them.
-LIST_ROWS, LIST_QUERIES = 8192, 1024
+#: Vectors whose sorted lists a task holds at once, and the queries that one round runs against all of them.
+LIST_ROWS, ROUND_QUERIES = 16_384, 16_384
+#: Entries of each list that a query reads before it asks how deep it has to go.
+FIRST_DEPTH = 8
 
 
 def _usable(vector: str, zero: bool):
@@ -71,7 +74,7 @@ class Forest:
     """Random-projection trees: each level of a tree has one direction, each node the median of its sample along it.
 
     Nodes with a small sample, and all below, take the medians of their last ancestor with enough, so the depth isn't
-    bounded by the sample.
+    bounded by the sample. A node also has the means of both sides, from which a query reads what a leaf promises.
     """
 
     def __init__(self, sample: np.ndarray, rows: int, seed: int = 5):
@@ -79,25 +82,33 @@ class Forest:
         self.depth = max(0, math.ceil(math.log2(max(1, rows / LEAF_ROWS))))
         sampled = max(0, int(math.log2(max(1, len(sample) / NODE_SAMPLE))))
         rng = np.random.default_rng(seed)
-        self.directions, self.thresholds = [], []
+        self.directions, self.thresholds, self.means = [], [], []
         for _ in range(TREES):
             r = rng.normal(size=(d, self.depth))
             for a in range(0, self.depth, d):  # orthogonal as far as there is room
                 r[:, a : a + d] = np.linalg.qr(r[:, a : a + d])[0]
             projected = sample @ r
             node = np.zeros(len(sample), np.int64)
-            levels = []
+            levels, means = [], []
             for j in range(self.depth):
+                n_nodes = 1 << min(j, sampled)
                 order = np.lexsort((projected[:, j], node))
-                starts = np.searchsorted(node[order], np.arange((1 << min(j, sampled)) + 1))
+                starts = np.searchsorted(node[order], np.arange(n_nodes + 1))
                 middle = np.minimum((starts[:-1] + starts[1:]) // 2, len(order) - 1)
                 low = np.maximum(middle - 1, 0)
-                at = (projected[order[low], j] + projected[order[middle], j]) / 2 if len(order) else np.zeros(1 << min(j, sampled))
-                levels.append(np.where(starts[1:] > starts[:-1], at, 0.0))
+                at = (projected[order[low], j] + projected[order[middle], j]) / 2 if len(order) else np.zeros(n_nodes)
+                at = np.where(starts[1:] > starts[:-1], at, 0.0)
+                side = node * 2 + (projected[:, j] > at[node])
+                count = np.bincount(side, minlength=2 * n_nodes)
+                total = np.bincount(side, projected[:, j], 2 * n_nodes)
+                mean = np.where(count > 0, total / np.maximum(count, 1), np.repeat(at, 2)).reshape(-1, 2)
+                levels.append(at)
+                means.append(mean)
                 if j < sampled:
-                    node = node * 2 + (projected[:, j] > levels[j][node])
+                    node = side
             self.directions.append(r)
             self.thresholds.append(levels)
+            self.means.append(means)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row in each tree."""
@@ -116,33 +127,50 @@ class Forest:
         return node >> max(0, level - (known.bit_length() - 1))
 
     def visits(self) -> int:
-        return max(LEAST_VISITS, math.ceil(VISIT_SHARE * (1 << self.depth)))
+        return min(TREES << self.depth, math.ceil(VISITS * 2 ** (self.depth / 2)))
 
-    def search(self, x: np.ndarray) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order in which one priority queue over all trees reaches them.
+    def search(self, x: np.ndarray, most: int) -> list[tuple[int, int]]:
+        """The first `most` (tree, leaf) in the order in which one priority queue over all trees reaches them.
 
-        The queue holds the sides of splits that the query isn't on, by the summed squares of the margins on the way.
+        The queue holds the sides of splits that haven't been taken, by the inner product that the means of the sides on
+        the way, and the better mean of each level below, promise.
         """
-        projected = [(x @ r).tolist() for r in self.directions]
-        known = self.thresholds_as_lists()
-        queue = [(0.0, t, 0, 0) for t in range(TREES)]
-        found, most = [], min(self.visits(), TREES << self.depth)
+        known = self._as_lists()
+        paths, queue = [], []
+        for t in range(TREES):
+            p = (x @ self.directions[t]).tolist()
+            below = [0.0] * (self.depth + 1)
+            for j in range(self.depth - 1, -1, -1):
+                low, high = known[t][j][1]
+                below[j] = below[j + 1] + max(p[j] * low, p[j] * high)
+            paths.append((p, below))
+            queue.append((-below[0], t, 0, 0, 0.0))
+        heapq.heapify(queue)
+        found, depth = [], self.depth
+        push, pop = heapq.heappush, heapq.heappop
         while queue and len(found) < most:
-            far, t, level, node = heapq.heappop(queue)
-            p, at = projected[t], known[t]
-            while level < self.depth:
-                here = at[level]
-                margin = p[level] - here[self._of(node, level, len(here))]
-                side = margin > 0
-                heapq.heappush(queue, (far + margin * margin, t, level + 1, node * 2 + (not side)))
-                node = node * 2 + side
+            _, t, level, node, sure = pop(queue)
+            p, below = paths[t]
+            tree = known[t]
+            while level < depth:
+                means, _, drop = tree[level]
+                low, high = means[node >> max(0, level - drop)]
+                low, high = p[level] * low, p[level] * high
                 level += 1
+                if high > low:
+                    push(queue, (-(sure + low + below[level]), t, level, node * 2, sure + low))
+                    sure += high
+                    node = node * 2 + 1
+                else:
+                    push(queue, (-(sure + high + below[level]), t, level, node * 2 + 1, sure + high))
+                    sure += low
+                    node = node * 2
             found.append((t, node))
         return found
 
-    def thresholds_as_lists(self):
+    def _as_lists(self):
         if not hasattr(self, "_lists"):
-            self._lists = [[level.tolist() for level in tree] for tree in self.thresholds]
+            self._lists = [[(m.tolist(), m.mean(axis=0).tolist(), len(m).bit_length() - 1) for m in tree] for tree in self.means]
         return self._lists
 
 
@@ -167,25 +195,37 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, the k other rows of the largest inner product found.
 
     A forest is fitted on SAMPLE vectors at most and routes every vector to one leaf of each tree. A query's visits, over
-    all trees by one priority queue, are dealt to tasks of neighbouring leaves, where candidates are scored exactly in
-    double precision. What is below the 3 * (k + 1)th best of the sample is no result unless leaves hold less, and
-    isn't sent on. Tasks
-    hold bounded numbers of vectors and queries. Ties go to the smaller id. Vectors null, empty, zero, with null or
-    non-finite components or of another than the commonest length take no part; with repeated ids, an id appears once for
-    each different vector it has. Empty tables and tables of one row give empty results.
+    all trees by one priority queue, go to the tasks of neighbouring leaves, where all candidates are scored exactly in
+    double precision and the k + 1 best of each query stay. A vector travels once for each tree; only where a range of
+    leaves has many vectors or queries are its members dealt to several tasks, and to as many again as its queries need.
+    A query whose leaves hold less than k others visits eight times as many, until it has k or has visited all. Ties go to
+    the smaller id. Vectors null, empty, zero, with null
+    or non-finite components or of another than the commonest length take no part; with repeated ids, an id appears once
+    for each different vector it has. Empty tables and tables of one row give empty results; other columns aren't read.
     """
     rows = _one_length(vectors.select(F.col(vec_id).alias("id"), F.col(vector).alias("v")).where(_usable("v", zero=False)))
     groups = checkpointed(groups_of(rows, k + 1))
     queries = checkpointed(_queries(rows, groups, every))
-    n, n_asked = groups.count(), max(1, queries.select("q").distinct().count())
     sample = _sample(groups)
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n = groups.count()
     forest = Forest(sample, n)
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(forest)
-    bounds = spark.sparkContext.broadcast(sample)
-    deals = math.ceil(n_asked / TASK_QUERIES)
+    shared, most = vectors.sparkSession.sparkContext.broadcast(forest), forest.visits()
+    out = _visited(groups, queries, forest, shared, most, k)
+    while most < TREES << forest.depth and n > k:
+        out = checkpointed(out)
+        short = queries.join(out.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti").select("query_id", "q")
+        if short.isEmpty():
+            break
+        most = min(8 * most, TREES << forest.depth)
+        short = checkpointed(short)
+        out = out.join(short, "query_id", "left_anti").unionByName(_visited(groups, short, forest, shared, most, k))
+    return out
+
+
+def _visited(groups: DataFrame, queries: DataFrame, forest: Forest, shared, most: int, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score from the `most` leaves that each query visits first."""
     shift = min(forest.depth, TASK_LEVELS)
 
     def place(batches):
@@ -193,75 +233,74 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
             x = _matrix(batch["v"])
             leaves = shared.value.leaves(x)
             for t in range(TREES):
-                task = (t << 40) + (leaves[:, t] >> shift)
-                for deal in range(deals):
-                    yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(np.full(len(x), deal)), pa.array(leaves[:, t]), batch["gid"], batch["v"]], names=["task", "deal", "leaf", "gid", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array((t << 40) + (leaves[:, t] >> shift)), pa.array(leaves[:, t]), batch["gid"], batch["v"]], names=["task", "leaf", "gid", "v"])
 
     def ask(batches):
         for batch in batches:
             x = _matrix(batch["v"])
             for a in range(0, len(x), 256):
-                part = x[a : a + 256]
-                scores = part @ bounds.value.T
-                cut = len(bounds.value) - 3 * (k + 1)
-                least = np.partition(scores, cut, axis=1)[:, cut] - 1e-9 if cut > 0 else np.full(len(part), -np.inf)
                 out = []
-                for i in range(len(part)):
+                for i in range(a, min(len(x), a + 256)):
                     by: dict[int, list[int]] = {}
-                    for t, leaf in shared.value.search(part[i]):
+                    for t, leaf in shared.value.search(x[i], most):
                         by.setdefault((t << 40) + (leaf >> shift), []).append(leaf)
-                    out += [(task, a + i, leaves, least[i]) for task, leaves in by.items()]
+                    out += [(task, i, leaves) for task, leaves in by.items()]
                 at = pa.array([o[1] for o in out])
-                gid = batch["gid"].take(at)
-                deal = pa.array(np.array([hash_deal(g, deals) for g in gid.to_pylist()], dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), deal, gid, batch["v"].take(at), pa.array([o[2] for o in out], pa.list_(pa.int64())), pa.array([o[3] for o in out], pa.float64())], names=["task", "deal", "q", "v", "leaves", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), batch["gid"].take(at), batch["v"].take(at), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["task", "q", "v", "leaves"])
 
     kind = groups.schema["v"].dataType.simpleString()
-    placed = groups.select("gid", "v").mapInArrow(place, f"task long, deal long, leaf long, gid long, v {kind}")
+    placed = groups.select("gid", "v").mapInArrow(place, f"task long, leaf long, gid long, v {kind}")
     asked = groups.join(queries.select(F.col("q").alias("gid")).distinct(), "gid", "left_semi").select("gid", "v")
-    visits = asked.mapInArrow(ask, f"task long, deal long, q long, v {kind}, leaves array<bigint>, least double")
+    visits = checkpointed(asked.mapInArrow(ask, f"task long, q long, v {kind}, leaves array<bigint>"))
+    # ranges with many vectors or queries, and the parts they are dealt in
+    load = visits.groupBy("task").agg(F.count("*").alias("asking")).join(placed.groupBy("task").agg(F.count("*").alias("held")), "task")
+    load = load.select("task", F.ceil(F.col("held") / TASK_ROWS).cast("int").alias("parts"), F.ceil(F.col("asking") / TASK_QUERIES).cast("int").alias("deals"))
+    load = checkpointed(load.where("parts > 1 or deals > 1"))
+    one_of = lambda column, n: F.pmod(F.xxhash64(column), F.coalesce(n, F.lit(1))).cast("int")
+    each_of = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    members = joined_small(placed, load, ["task"]).withColumn("part", one_of("gid", F.col("parts"))).withColumn("deal", each_of(F.col("deals"))).drop("parts", "deals")
+    asking = joined_small(visits, load, ["task"]).withColumn("deal", one_of("q", F.col("deals"))).withColumn("part", each_of(F.col("parts"))).drop("parts", "deals")
     empty = pa.table({"q": pa.array([], pa.int64()), "gid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-    def meet(members: pa.Table, asking: pa.Table) -> pa.Table:
-        if not members.num_rows or not asking.num_rows:
+    def meet(held: pa.Table, some: pa.Table) -> pa.Table:
+        if not held.num_rows or not some.num_rows:
             return empty
-        leaf = members["leaf"].to_numpy()
+        leaf = held["leaf"].to_numpy()
         order = np.argsort(leaf, kind="stable")
-        leaf, x, gid = leaf[order], _matrix(members["v"])[order], members["gid"].to_numpy()[order]
-        y, q, least = _matrix(asking["v"]), asking["q"].to_numpy(), asking["least"].to_numpy()
-        lists = asking["leaves"].combine_chunks()
+        leaf, x, gid = leaf[order], _matrix(held["v"])[order], held["gid"].to_numpy()[order]
+        y, q = _matrix(some["v"]), some["q"].to_numpy()
+        lists = some["leaves"].combine_chunks()
         wanted, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
         by = np.argsort(wanted, kind="stable")
         wanted, who = wanted[by], who[by]
-        left, right, value = [], [], []
+        left, right = [], []
         edges = np.flatnonzero(np.diff(leaf)) + 1
         for a, b in zip([0, *edges], [*edges, len(leaf)], strict=True):
             own = who[np.searchsorted(wanted, leaf[a]) : np.searchsorted(wanted, leaf[a], "right")]
-            for c in range(0, len(own), 1024):
-                some = own[c : c + 1024]
-                i, j = np.nonzero(y[some] @ x[a:b].T >= least[some, None])
-                left.append(some[i])
+            step = max(1, (1 << 21) // (b - a))
+            for c in range(0, len(own), step):
+                i, j = _best_of(y[own[c : c + step]] @ x[a:b].T, k + 1)
+                left.append(own[c : c + step][i])
                 right.append(a + j)
-                value.append(_products(y[some[i]], x[a + j]))
         if not left:
             return empty
-        left, right, value = np.concatenate(left), np.concatenate(right), np.concatenate(value)
+        left, right = np.concatenate(left), np.concatenate(right)
+        value = np.concatenate([_products(y[left[c : c + 65_536]], x[right[c : c + 65_536]]) for c in range(0, max(1, len(left)), 65_536)])
         order = np.lexsort((gid[right], -value, left))  # of each query the k + 1 best of this task
         left, right, value = left[order], right[order], value[order]
-        starts = np.searchsorted(left, left)
-        keep = np.arange(len(left)) - starts <= k
+        keep = np.arange(len(left)) - np.searchsorted(left, left) <= k
         return pa.table({"q": q[left[keep]], "gid": gid[right[keep]], "score": value[keep]})
 
-    pairs = placed.groupBy("task", "deal").cogroup(visits.groupBy("task", "deal")).applyInArrow(meet, "q long, gid long, score double")
+    pairs = members.groupBy("task", "part", "deal").cogroup(asking.groupBy("task", "part", "deal")).applyInArrow(meet, "q long, gid long, score double")
     return _ranked(pairs, groups, queries, k)
 
 
-def hash_deal(gid: int, deals: int) -> int:
-    return (gid * 0x9E3779B97F4A7C15 >> 17) % deals
-
-
-def _bucketed(column: str, parts: int):
-    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+def _best_of(scores: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of each row's k largest scores and whatever equals the last of them but for rounding; of those only from `least` on."""
+    n = scores.shape[1]
+    last = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    last = last - 1e-9 * np.maximum(1, np.abs(np.where(np.isfinite(last), last, 0)))
+    return np.nonzero(scores >= (last if least is None else np.maximum(last, least))[:, None])
 
 
 def threshold_search(lists: np.ndarray, order: np.ndarray, query: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -297,55 +336,128 @@ def threshold_search(lists: np.ndarray, order: np.ndarray, query: np.ndarray, k:
     return np.concatenate(rows), np.concatenate(scores)
 
 
+class SortedLists:
+    """The vectors of one block, sorted by each component, for Fagin's threshold algorithm on many queries."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, n = rows, len(rows)
+        self.values = np.sort(rows, axis=0)[::-1]
+        #: depths at which the bound of what a query hasn't met is known for all queries at once
+        self.depths = np.unique(np.minimum(n, FIRST_DEPTH * 2 ** np.arange(0, max(1, math.ceil(math.log2(max(1, n / FIRST_DEPTH)))) + 1)))
+        self.order: np.ndarray | None = None
+
+    def best(self, queries: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) with each query's k best inner products of at least its `least`, and what ties with them.
+
+        Each list is read from the end where its products with the query are largest. After the first entries the kth best
+        score says how deep all lists have to be read until what they leave can't reach it. Where that is more entries than
+        the block has rows, every row is met, and all are scored together; otherwise those met are scored by themselves.
+        """
+        n = len(self.rows)
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        bound = up @ self.values[self.depths - 1].T + down @ self.values[n - self.depths].T
+        least = least.copy()
+        head = min(n, FIRST_DEPTH)
+        if self.order is None:
+            self.order = np.argsort(-self.rows, axis=0, kind="stable").astype(np.int32)
+        if n > k:
+            for i, q in enumerate(queries):
+                met = np.unique(np.concatenate([self.order[:head, q > 0].ravel(), self.order[n - head :, q < 0].ravel()]))
+                if len(met) >= k:
+                    scores = self.rows[met] @ q
+                    least[i] = max(least[i], np.partition(scores, len(met) - k)[len(met) - k])
+        deep = np.argmax(np.concatenate([bound < least[:, None], np.ones((len(queries), 1), bool)], axis=1), axis=1)
+        reads = np.concatenate([self.depths, [n]])[deep] * (queries != 0).sum(axis=1)
+        out = []
+        dense = np.flatnonzero(reads >= n)
+        step = max(1, (1 << 22) // n)
+        for a in range(0, len(dense), step):
+            some = dense[a : a + step]
+            scores = queries[some] @ self.rows.T
+            i, j = _best_of(scores, k, least[some])
+            out.append((some[i], j, scores[i, j]))
+        for i in np.flatnonzero(reads < n):
+            j, scores = threshold_search(self.rows, self.order, queries[i], k, least[i])
+            out.append((np.full(len(j), i), j, scores))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
 def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of floor(scale * component) vectors, exactly.
 
-    Queries are the rows whose id is divisible by `every`, against all rows but themselves, in blocks: a task holds the
-    sorted lists of LIST_ROWS distinct vectors and runs the threshold algorithm for LIST_QUERIES queries. Each query
-    brings its (k + 1)th best score over a bounded sample, below which a block's reading stops at once. Ties go to the
-    smaller id. Vectors null, empty, with null or non-finite components or of another than the commonest length take no
-    part; with repeated ids, an id appears once for each different vector it has. Empty tables give empty results.
+    Queries are the rows whose id is divisible by `every`, against all rows but themselves. The vectors stay where they
+    are, LIST_ROWS of them at a time as sorted lists; ROUND_QUERIES queries at a time are broadcast and run the threshold
+    algorithm on every block. A round looks first at about SAMPLE vectors; the (k + 1)th best score that each query found
+    there goes to all other blocks, which then stop earlier. Ties go to the smaller id. Vectors null, empty, with null or
+    non-finite components or of another than the commonest length take no part; with repeated ids, an id appears once for
+    each different vector it has. Empty tables give empty results; other columns aren't read.
     """
     whole = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
     rows = vectors.select(F.col(vec_id).alias("id"), F.col(vector)).where(_usable(vector, zero=True)).select("id", whole.alias("v"))
     rows = _one_length(rows)
     groups = checkpointed(groups_of(rows, k + 1))
     queries = checkpointed(_queries(rows, groups, every))
-    n, n_asked = groups.count(), max(1, queries.select("q").distinct().count())
-    sample = _sample(groups)
-    spark = vectors.sparkSession
-    if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    bounds = spark.sparkContext.broadcast(sample[: SAMPLE // 4])
-    blocks, deals = math.ceil(n / LIST_ROWS), math.ceil(n_asked / LIST_QUERIES)
-    every_of = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    members = groups.select("gid", "v", _bucketed("gid", blocks).alias("block"), every_of(deals).alias("deal"))
-    asked = groups.join(queries.select(F.col("q").alias("gid")).distinct(), "gid", "left_semi")
-    asking = asked.select(F.col("gid").alias("q"), F.col("v").alias("w"), _bucketed("gid", deals).alias("deal"), every_of(blocks).alias("block"))
-    empty = pa.table({"q": pa.array([], pa.int64()), "gid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    n, n_asked = groups.count(), queries.select("q").distinct().count()
+    asked = groups.join(queries.select(F.col("q").alias("gid")).distinct(), "gid", "left_semi").select("gid", "v")
+    rounds = math.ceil(n_asked / ROUND_QUERIES)
+    if rounds > 1:
+        asked = checkpointed(asked)
+    draw = F.pmod(F.xxhash64("gid", F.lit(7)), F.lit(1 << 30))
+    cut = min(1 << 30, math.ceil(SAMPLE / max(1, n) * (1 << 30)))
+    found = []
+    for r in range(rounds):
+        block = asked.where(F.pmod(F.xxhash64("gid"), F.lit(rounds)) == r).toArrow()
+        if not block.num_rows:
+            continue
+        q, y = block["gid"].to_numpy(), _matrix(block["v"])
+        parts = [_searched(groups.where(draw < cut), q, y, np.full(len(q), -np.inf), k)]
+        if cut < 1 << 30:
+            parts[0] = checkpointed(parts[0])
+            last = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "gid"))
+            known = dict(map(tuple, parts[0].withColumn("_r", last).where(F.col("_r") == k + 1).select("q", "score").collect()))
+            parts.append(_searched(groups.where(draw >= cut), q, y, np.array([known.get(x, -np.inf) for x in q.tolist()]), k))
+        pairs = reduce(DataFrame.unionByName, parts)
+        if rounds > 1:
+            best = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "gid"))
+            pairs = checkpointed(pairs.withColumn("_r", best).where(F.col("_r") <= k + 1).drop("_r"))
+        found.append(pairs)
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return _ranked(reduce(DataFrame.unionByName, found), groups, queries, k).withColumn("score", F.col("score").cast("long"))
+
+
+def _searched(groups: DataFrame, q: np.ndarray, y: np.ndarray, least: np.ndarray, k: int) -> DataFrame:
+    """(q, gid, score): of each block of groups, the k + 1 best of each query that reach its `least`. No shuffle."""
+    shared = groups.sparkSession.sparkContext.broadcast((q, y, least))
+
+    def run(batches):
+        held, n = [], 0
+
+        def done():
+            whole = pa.Table.from_batches(held)
+            gid, x = whole["gid"].to_numpy(), _matrix(whole["v"])
+            by = np.argsort(gid)
+            gid, lists = gid[by], SortedLists(np.ascontiguousarray(x[by]))
+            q, y, least = shared.value
+            for a in range(0, len(q), 1024):
+                i, j, score = lists.best(y[a : a + 1024], k + 1, least[a : a + 1024])
+                order = np.lexsort((gid[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) <= k
+                yield pa.RecordBatch.from_arrays([pa.array(q[a + i[keep]]), pa.array(gid[j[keep]]), pa.array(score[keep])], names=["q", "gid", "score"])
 
-    def meet(block: pa.Table, some: pa.Table) -> pa.Table:
-        if not block.num_rows or not some.num_rows:
-            return empty
-        lists, gid = _matrix(block["v"]), block["gid"].to_numpy()
-        by = np.argsort(gid)
-        lists, gid = np.ascontiguousarray(lists[by]), gid[by]
-        order = np.argsort(-lists, axis=0, kind="stable")
-        y, q = _matrix(some["w"]), some["q"].to_numpy()
-        known = bounds.value
-        out = []
-        for a in range(0, len(y), 256):
-            sampled = y[a : a + 256] @ known.T
-            least = np.partition(sampled, len(known) - k - 1, axis=1)[:, len(known) - k - 1] if len(known) > k else np.full(len(sampled), -np.inf)
-            for i, floor in enumerate(least, a):
-                row, score = threshold_search(lists, order, y[i], k + 1, floor)
-                best = np.lexsort((gid[row], -score))[: k + 1]
-                out.append((np.full(len(best), q[i]), gid[row[best]], score[best]))
-        parts = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pa.table({"q": parts[0], "gid": parts[1], "score": parts[2]})
-
-    pairs = members.groupBy("block", "deal").cogroup(asking.groupBy("block", "deal")).applyInArrow(meet, "q long, gid long, score double")
-    return _ranked(pairs, groups, queries, k).withColumn("score", F.col("score").cast("long"))
+        for batch in batches:
+            for start in range(0, batch.num_rows, LIST_ROWS):
+                piece = batch.slice(start, LIST_ROWS)
+                held.append(piece)
+                n += piece.num_rows
+                if n >= LIST_ROWS:
+                    yield from done()
+                    held, n = [], 0
+        if n:
+            yield from done()
+
+    return groups.select("gid", "v").mapInArrow(run, "q long, gid long, score double")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

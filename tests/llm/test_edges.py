@@ -351,6 +351,60 @@ def test_searches_against_brute_force(spark):
     assert vectors.nearest(vecs(spark, [])).count() == 0 and vectors.exact_top_k(vecs(spark, [(50, [1.0, 2.0])])).count() == 0
 
 
+def test_searches_over_many_tasks_and_rounds(spark, monkeypatch):
+    """Hot ranges of leaves, several parts and deals, several blocks and rounds, and few visits, held against brute force."""
+    for name, value in (("TASK_ROWS", 300), ("TASK_QUERIES", 60), ("LIST_ROWS", 700), ("ROUND_QUERIES", 60), ("SAMPLE", 4096)):
+        monkeypatch.setattr(vectors, name, value)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(9000, 24))
+    x[:3000] = x[0] + 0.01 * x[:3000]  # a third of all rows in one place
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    forest = vectors.Forest(x[:4096].astype(float), len(x))
+    assert forest.depth >= 6 and forest.visits() < (vectors.TREES << forest.depth) / 3
+    df = vecs(spark, [(i, [float(v) for v in row]) for i, row in enumerate(x)])
+    found = vectors.nearest(df, k=20, every=40).toPandas()
+    exact = vectors.exact_top_k(df, k=5, every=50).toPandas()
+    hits = []
+    for q in range(0, 9000, 40):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -1e9
+        own = found[found["query_id"] == q].sort_values("rank")
+        assert list(own["rank"]) == list(range(1, 21))
+        assert np.allclose(own["score"], s[own["vec_id"]])
+        hits.append(len(set(np.argsort(-s)[:20]) & set(own["vec_id"])) / 20)
+    assert np.mean(hits) >= 0.9, np.mean(hits)
+    w = np.floor(256 * x.astype(float))
+    for q in range(0, 9000, 50):
+        s = w @ w[q]
+        s[q] = -1e18
+        want = np.lexsort((np.arange(len(x)), -s))[:5]
+        assert list(exact[exact["query_id"] == q].sort_values("rank")["vec_id"]) == list(want)
+
+
+def test_queries_with_small_leaves_still_get_all(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LEAF_ROWS", 4)
+    monkeypatch.setattr(vectors, "VISITS", 0.1)
+    r = np.random.default_rng(3)
+    df = vecs(spark, [(i, [float(v) for v in r.normal(size=6)]) for i in range(200)])
+    counts = {x["query_id"]: x["count"] for x in vectors.nearest(df).groupBy("query_id").count().collect()}
+    assert counts == {i: 20 for i in range(0, 200, 20)}
+
+
+def test_sorted_lists_are_exact_and_stop_early(monkeypatch):
+    r = np.random.default_rng(6)
+    for skew, size in ((1, (900, 8)), (4, (3000, 4)), (1, (3, 5))):
+        x = np.floor(256 * r.normal(size=size) ** skew)
+        calls = []
+        slow = vectors.threshold_search
+        monkeypatch.setattr(vectors, "threshold_search", lambda *a, slow=slow, calls=calls: calls.append(len(slow(*a)[0])) or slow(*a))
+        i, j, score = vectors.SortedLists(x).best(x[:40], 6, np.full(min(40, len(x)), -np.inf))
+        for k in range(min(40, len(x))):
+            best = np.sort(x @ x[k])[::-1][:6]
+            assert (np.sort(score[i == k])[::-1][: len(best)] == best).all() and (x[j[i == k]] @ x[k] == score[i == k]).all()
+        assert skew == 1 or calls and max(calls) < len(x)
+        monkeypatch.undo()
+
+
 def test_threshold_search_stops_early_and_is_exact():
     r = np.random.default_rng(5)
     x = np.floor(256 * r.exponential(size=(3000, 4)) ** 3)
