@@ -80,15 +80,35 @@ def free_names(columns: list[str]) -> str:
     return start + "_"
 
 
-#: Rows up to which a table of a few short columns is broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows up to which a table of a few short columns is broadcast; copies of a larger one that a key's rows are dealt to.
+BROADCAST_ROWS, SALTS = 100_000, 16
+#: Rows of one key beyond which they don't go to one task.
+HOT = 1000
 
 
-def joined_small(df: DataFrame, found: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """df joined with a checkpointed table of short rows: broadcast up to BROADCAST_ROWS rows, else shuffled by the keys."""
-    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
-    return df.join(found, on, how)
+def joined_small(df: DataFrame, found: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
+    """df joined (inner or left) with a checkpointed table of short rows, without bringing all rows of a key to one task.
+
+    Up to `most` rows are broadcast; a larger table is copied SALTS times, and the rows of a key are dealt to the copies.
+    """
+    if found.limit(most + 1).count() <= most:
+        return df.join(F.broadcast(found), on, how)
+    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def joined_hot(df: DataFrame, found: DataFrame, key: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df joined (inner) with found, which has a row for each key at most; a key of more than HOT rows isn't one task's.
+
+    Both are read more than once, so they should be checkpointed.
+    """
+    hot = checkpointed(df.groupBy(key).count().where(F.col("count") > HOT).select(key))
+    if hot.isEmpty():
+        return df.join(found, key)
+    marked = joined_small(df, hot.withColumn("_hot", F.lit(True)), [key])
+    some = joined_small(marked.where("_hot").drop("_hot"), checkpointed(found.join(hot, key)), [key], "inner", most)
+    return marked.where("_hot IS NULL").drop("_hot").join(found, key).unionByName(some)
 
 
 def remainder(column: str, parts: int):

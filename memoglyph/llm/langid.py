@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from memoglyph.llm.common import arrow_columns, is_held_out, string_buffers, table
+from memoglyph.llm.common import arrow_columns, checkpointed, is_held_out, joined_small, string_buffers, table
 
 #: Documents of each language that a model is trained on, and segments of them in an epoch, at most.
 PER_LANGUAGE = 300
@@ -90,11 +90,19 @@ class Model:
 
 
 def sample(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """(lang, whole text) of at most per_language documents of each language that may be learnt from, by hash order."""
-    may = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id", 3, 1)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = docs.where(may).select(F.col("doc_id").alias("_id"), "lang").withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("_id").distinct()
-    rows = docs.where(may & F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "lang", "text").toArrow()
+    """(lang, whole text) of at most per_language documents of each language that may be learnt from, by hash order.
+
+    Counts of the languages first give each one a hash below which about twice as many lie, so that few rows are ranked and
+    no task gets a language whole. Of rows of one id the smallest by language and text counts; other columns aren't read.
+    """
+    own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id", 3, 1))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    counts = own.groupBy("lang").count()
+    below = checkpointed(counts.select("lang", F.ceil(F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("count"))).alias("below")))
+    ids = joined_small(own.select("doc_id", "lang", draw.alias("draw")), below, ["lang"], "inner").where(F.col("draw") < F.col("below")).groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("draw").alias("draw"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id"))
+    chosen = checkpointed(ids.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id"))
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("doc_id", "x.lang", "x.text").toArrow()
     return [(x[1], x[2]) for x in sorted(zip(*(rows[c].to_pylist() for c in ("doc_id", "lang", "text")), strict=True))]
 
 

@@ -8,9 +8,9 @@ nest in those of larger ones, and a rerun takes the same documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from memoglyph.llm.common import WORD, checkpointed, table
+from memoglyph.llm.common import WORD, checkpointed, free_names, joined_small, table
 
 #: Bits of a document's hash, and bits that one histogram resolves.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -54,78 +54,115 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: int = MO
     return out
 
 
-def mix(docs: DataFrame, sources: str = "source", doc_id: str = "doc_id", text: str = "text", weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+def mix(docs: DataFrame, sources: str = "source", doc_id: str = "doc_id", text: str = "text", weights=WEIGHTS, most: int = MOST_REPEATS, size: str | None = None) -> DataFrame:
     """docs with size, source_size, target and taken: words of the text, of its source, the source's target, words taken.
 
     A source takes each document floor(target / source_size) times, and those below its hash threshold once more; the
     threshold comes as near to the target as whole documents allow (of two equally near, the smaller). Rows of one hash,
     such as repeated rows, go together. A null or empty text has size 0 and is taken for 0 words; a null source is a
-    source; an empty table gives an empty result. The table of sources (one short row each) reaches the driver; the
-    texts are read once, for their sizes, and once to be returned.
+    source; an empty table gives an empty result. Sources stay a table, whatever their number; a hot one is never one
+    task's. Words are counted once for the thresholds and once for the rows that are returned, or not at all where `size`
+    names a column that has them. Columns of docs with the names of new ones are replaced, all others stay.
     """
-    new = {"size", "source_size", "target", "taken"}
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new))
-    small = checkpointed(docs.select(F.col(sources).alias("s"), hash_of(doc_id).alias("h"), size_of(text).alias("n")).groupBy("s", "h").agg(F.sum("n").alias("n")))
-    size = {r["s"]: r["n"] for r in small.groupBy("s").agg(F.sum("n").alias("n")).collect()}
-    target = targets(list(size.items()), weights, most)
-    repeats = {s: int(min(most, target[s] // n)) if n else 0 for s, n in size.items()}
-    budget = {s: target[s] - repeats[s] * n if repeats[s] < most else 0.0 for s, n in size.items()}
-    threshold = thresholds(small, budget)
-
-    spark = docs.sparkSession
-    schema = T.StructType([T.StructField("_s", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_repeats", T.IntegerType()), T.StructField("_below", T.LongType())])
-    plan = spark.createDataFrame([(s, n, target[s], repeats[s], threshold[s]) for s, n in size.items()], schema)
-    out = docs.withColumn("size", size_of(text)).join(F.broadcast(plan), F.col(sources).eqNullSafe(F.col("_s")), "left")
-    taken = F.col("size") * (F.col("_repeats") + (hash_of(doc_id) < F.col("_below")).cast("int"))
-    return out.withColumn("taken", taken.cast("long")).drop("_s", "_repeats", "_below")
-
-
-def thresholds(small: DataFrame, budget: dict[str | None, float]) -> dict[str | None, int]:
-    """For each source the hash below which its documents sum nearest to the budget. small: s, h, n."""
-    spark = small.sparkSession
-    low = {s: 0 for s in budget}  # all hashes below are taken
-    left = {s: b for s, b in budget.items()}
-    live = [s for s, b in budget.items() if b > 0]
-    bits = HASH_BITS
-    while live and bits:
+    new = ["size", "source_size", "target", "taken"]
+    kept = [c for c in docs.columns if c not in new]
+    own = free_names([*docs.columns, *new])
+    names = {c: f"{own}{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    s = F.col(names[sources])
+    keyed = rows.select(
+        "*", F.when(s.isNull(), F.lit("")).otherwise(F.concat(F.lit("+"), s.cast("string"))).alias("key"), s.cast("string").alias("s"), hash_of(names[doc_id]).alias("h"),
+        (F.coalesce(F.col(names[size]).cast("long"), F.lit(0)) if size else size_of(names[text])).alias("n"),
+    )
+    small = checkpointed(keyed.select("key", "s", "h", "n"))
+    sizes = checkpointed(small.groupBy("key", "s").agg(F.sum("n").alias("size")))
+    plan = target_table(sizes, weights, most)
+    share = F.when(F.col("size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("size")))).otherwise(0).cast("int")
+    plan = checkpointed(plan.select("key", F.col("size").alias("source_size"), "target", share.alias("repeats")))
+    budget = F.when((F.col("source_size") > 0) & (F.col("repeats") < most), F.col("target") - F.col("repeats") * F.col("source_size")).otherwise(F.lit(0.0))
+    below = thresholds(small, plan.select("key", budget.alias("budget")))
+    plan = checkpointed(plan.join(below, "key"))
+    out = joined_small(keyed, plan, ["key"])
+    taken = F.col("n") * (F.col("repeats") + (F.col("h") < F.col("below")).cast("int"))
+    return out.select(*(F.col(names[c]).alias(c) for c in kept), F.col("n").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def target_table(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """targets() of a table of sources: key, s, size, target.
+
+    Weights follow the code points of the sources: ranks are counted in ranges of that order, so no task sees all. What
+    one word of weight gives grows until no further source is above its limit; only sums reach the driver.
+    """
+    order = (F.col("s").isNull(), F.encode(F.col("s"), "UTF-8"), F.col("key"))
+    placed = checkpointed(sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    counts = {r["p"]: r["count"] for r in placed.groupBy(part.alias("p")).count().collect()}  # one row a range
+    before, start = [], 0
+    for p in sorted(counts):
+        before.append((p, start))
+        start += counts[p]
+    if not before:
+        return sizes.withColumn("target", F.lit(0.0))
+    offsets = sizes.sparkSession.createDataFrame(before, "p long, start long")
+    rank = F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)
+    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    ranked = checkpointed(placed.withColumn("p", part).join(F.broadcast(offsets), "p").select("key", "s", "size", weight.alias("w")))
+    total = ranked.agg(F.sum("size")).first()[0]
+    left, whole = float(total), None
+    capped = F.lit(False)
+    while True:
+        free = ranked.where(~capped).agg(F.sum("w").alias("w")).first()["w"]
+        left = float(total - most * (ranked.where(capped).agg(F.sum("size")).first()[0] or 0))
+        if not free or whole == free:
+            break
+        whole = free
+        capped = F.lit(left) * F.col("w") / F.lit(whole) > F.lit(most) * F.col("size")
+    target = F.when(capped, (F.lit(most) * F.col("size")).cast("double"))
+    return ranked.select("key", "s", "size", (target if not free else target.otherwise(F.lit(left) * F.col("w") / F.lit(whole))).alias("target"))
+
+
+def thresholds(small: DataFrame, budgets: DataFrame) -> DataFrame:
+    """key, below: for each source the hash below which its documents sum nearest to the budget.
+
+    small: key, h, n; budgets: key, budget. Each level sums the words of 2**LEVEL_BITS hash buckets a source, of which the
+    one that the budget ends in is resolved by the next level.
+    """
+    budgets = checkpointed(budgets.select("key", F.lit(0).cast("long").alias("low"), F.col("budget").alias("left"), (F.col("budget") > 0).alias("live")))
+    state, bits = budgets, HASH_BITS
+    while bits and not state.where("live").isEmpty():
         bits -= LEVEL_BITS
-        schema = T.StructType([T.StructField("_s", T.StringType()), T.StructField("_low", T.LongType())])
-        at = F.broadcast(spark.createDataFrame([(s, low[s]) for s in live], schema))
         width = 1 << (bits + LEVEL_BITS)
-        inside = small.join(at, F.col("s").eqNullSafe(F.col("_s")) & (F.col("h") >= F.col("_low")) & (F.col("h") < F.col("_low") + F.lit(width)))
-        histogram: dict[str | None, list[tuple[int, int]]] = {s: [] for s in live}
-        # at most 2**LEVEL_BITS rows for a source
-        for r in inside.groupBy("s", F.shiftright("h", bits).alias("b")).agg(F.sum("n").alias("n")).collect():
-            histogram[r["s"]].append((r["b"], r["n"]))
-        going = []
-        for s in live:
-            boundary = None
-            for b, n in sorted(histogram[s]):
-                if n > left[s]:
-                    boundary = (b, n)
-                    break
-                left[s] -= n
-                low[s] = (b + 1) << bits
-            if boundary is not None:
-                low[s] = boundary[0] << bits
-                if bits:
-                    going.append(s)
-                elif boundary[1] - left[s] < left[s]:
-                    low[s] += 1  # the last document overshoots by less than it would miss
-        live = going
-    return low
+        live = state.where("live")
+        inside = small if bits + LEVEL_BITS == HASH_BITS else joined_small(small, live.select("key", "low"), ["key"], "inner").where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + F.lit(width)))
+        histogram = inside.groupBy("key", F.shiftright("h", bits).alias("b")).agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(W.partitionBy("key").orderBy("b").rowsBetween(W.unboundedPreceding, 0))  # 2**LEVEL_BITS rows at most
+        over = histogram.withColumn("upto", upto).join(live.select("key", "left"), "key")
+        passed = F.col("upto") > F.col("left")
+        ends = over.groupBy("key").agg(F.min(F.when(passed, F.struct("b", "n", "upto"))).alias("edge"), F.max("b").alias("last"))
+        edge = F.col("edge.b")
+        rest = F.col("left") - (F.col("edge.upto") - F.col("edge.n"))
+        nearer = F.lit(0) if bits else (F.col("edge.n") - rest < rest).cast("long")  # the last document overshoots by less than it would miss
+        low = F.when(edge.isNotNull(), F.shiftleft(edge, bits) + nearer).otherwise(F.shiftleft(F.col("last") + 1, bits))
+        now = live.join(ends, "key", "left").select("key", F.coalesce(low, F.col("low")).alias("low"), F.coalesce(rest, F.lit(0.0)).alias("left"), (edge.isNotNull() & F.lit(bits > 0)).alias("live"))
+        state = checkpointed(state.where("not live").unionByName(now))
+    return state.select("key", F.col("low").alias("below"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights of their sources: doc_id, size, source_size, target, taken."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    sized = checkpointed(docs.select("doc_id", "source", size_of().alias("size")))
+    return mix(sized, size="size").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def taken_rows(mixed: DataFrame) -> DataFrame:
-    """The rows of mix(), each as often as it is taken (a document without words never)."""
+    """The rows of mix(), each as often as it is taken; a document without words, as of a null or empty text, never.
+
+    Repeated rows are taken each; an empty table gives an empty result; columns of any names stay.
+    """
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return mixed.withColumn("_time", F.explode(F.expr("sequence(1, 3)"))).where(F.col("_time") <= times).drop("_time")
+    time = free_names(mixed.columns)
+    return mixed.withColumn(time, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).drop(time)
 
 
 OP7_SQL = """

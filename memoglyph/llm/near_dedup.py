@@ -20,7 +20,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from memoglyph.llm.common import arrow_columns, checkpointed, mixed, pieces, string_buffers, table, word_hashes
+from memoglyph.llm.common import arrow_columns, checkpointed, free_names, joined_hot, mixed, pieces, string_buffers, table, word_hashes
 
 #: Base and rate of the registers: sets of 1 to 2**64 elements fall inside 16 bits.
 BASE, RATE, LIMIT = 1.001, 400_000.0, (1 << 16) - 1
@@ -151,7 +151,7 @@ def _band_keys(nodes: DataFrame, n_bands: int, n_rows: int) -> DataFrame:
 def _plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sketches allow the threshold."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("registers").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
-    wide = pairs.join(side("a"), "a").join(side("b"), "b")
+    wide = joined_hot(pairs, side("a"), "a").join(side("b"), "b")
 
     def make():
         def step(a, b, ra, rb, na, nb):
@@ -166,7 +166,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
     side = lambda x: texts.select(F.col("node").alias(x), F.col("packed").alias(f"p{x}"))
-    wide = pairs.join(side("a"), "a").join(side("b"), "b")
+    wide = joined_hot(pairs, side("a"), "a", most=0).join(side("b"), "b")
 
     def make():
         unpack = zstandard.ZstdDecompressor()
@@ -231,20 +231,22 @@ def _cross_links(rows: DataFrame, members: DataFrame, least: float, n_rows: int,
     """Confirmed links (a, b) between members of one bucket that are in different components.
 
     rows: bucket, band, node, component, size; members: node, registers, n_shingles, packed. A bucket of more than BLOCK
-    members is compared by pairs of blocks. A pair is looked at in the first band it shares, its sketches first, then the
-    full sets, likeliest first; once a task has joined two components, it passes over their other pairs. Only links leave
-    the task.
+    members is compared by pairs of blocks. A pair is looked at in the first band it shares. First only sketches travel, and
+    the members of a task that have a plausible partner there stay; these come again with their texts and are confirmed on
+    the full sets, likeliest first; once a task has joined two components, it passes over their other pairs. Only links
+    leave the task.
     """
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
     dealt = (
         rows.withColumn("n_blocks", n_blocks).withColumn("own", own)
-        .join(members, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select(F.xxhash64("band", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "band", "own", "other", "node", "component", "registers", "n_shingles", "packed")
-        .repartition(F.col("task")).sortWithinPartitions("task", "own", "node")
+        .join(members.select("node", "registers", "n_shingles"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        .select(F.xxhash64("band", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "band", "own", "other", "node", "component", "registers", "n_shingles")
     )
+    by_task = lambda x: x.repartition(F.col("task")).sortWithinPartitions("task", "own", "node")
+    texts = members.select("node", "packed")
 
-    def run(batches):
+    def run(batches, finish):
         held: pa.Table | None = None
         for batch in batches:
             for piece in pieces(batch, 4 << 20):
@@ -253,10 +255,10 @@ def _cross_links(rows: DataFrame, members: DataFrame, least: float, n_rows: int,
                 task = held["task"].to_numpy()
                 whole = int(np.searchsorted(task, task[-1]))
                 if whole:
-                    yield from done(held.slice(0, whole))
+                    yield from finish(held.slice(0, whole))
                     held = held.slice(whole).combine_chunks()
         if held is not None and held.num_rows:
-            yield from done(held)
+            yield from finish(held)
 
     def candidates(own, other, comp):
         """Positions of the pairs of one task that are in different components."""
@@ -267,7 +269,8 @@ def _cross_links(rows: DataFrame, members: DataFrame, least: float, n_rows: int,
         apart = comp[i] != comp[j]
         return i[apart], j[apart]
 
-    def done(rows: pa.Table):
+    def plausible(rows: pa.Table):
+        """(positions of pairs that their sketches allow, registers in which they agree) of whole tasks."""
         task, band, own, other, node, comp, n = (rows[c].to_numpy() for c in ("task", "band", "own", "other", "node", "component", "n_shingles"))
         regs = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint16).reshape(len(task), -1)
         m = regs.shape[1]
@@ -278,7 +281,7 @@ def _cross_links(rows: DataFrame, members: DataFrame, least: float, n_rows: int,
                 i, j = candidates(own[a:b], other[a:b], comp[a:b])
                 found.append((i + a, j + a))
         if not found:
-            return
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         left, right = (np.concatenate(x) for x in zip(*found, strict=True))
         kept, alike_of = [], []
         fewest = m * least - 6 * np.sqrt(m * least * (1 - least))
@@ -292,7 +295,20 @@ def _cross_links(rows: DataFrame, members: DataFrame, least: float, n_rows: int,
             ok = ok[likely((x[ok] > y[ok]).sum(1), (x[ok] < y[ok]).sum(1), m, n[i[ok]].astype(float), n[j[ok]].astype(float), least)]
             kept.append(at + ok)
             alike_of.append(alike[ok])
-        kept, alike_of = np.concatenate(kept), np.concatenate(alike_of)
+        kept = np.concatenate(kept)
+        return left[kept], right[kept], np.concatenate(alike_of)
+
+    def survivors(rows: pa.Table):
+        left, right, _ = plausible(rows)
+        if len(left):
+            at = pa.array(np.unique(np.concatenate([left, right])))
+            yield pa.RecordBatch.from_arrays([rows[c].combine_chunks().take(at) for c in ("task", "node")], names=["task", "node"])
+
+    def done(rows: pa.Table):
+        left, right, alike_of = plausible(rows)
+        if not len(left):
+            return
+        task, node, comp, n = (rows[c].to_numpy() for c in ("task", "node", "component", "n_shingles"))
         unpack = zstandard.ZstdDecompressor()
         sets: dict[int, np.ndarray] = {}
         above: dict[int, int] = {}
@@ -311,8 +327,8 @@ def _cross_links(rows: DataFrame, members: DataFrame, least: float, n_rows: int,
             return sets[r]
 
         out = []
-        for k in np.lexsort((kept, -alike_of, task[left[kept]])):
-            i, j = int(left[kept[k]]), int(right[kept[k]])
+        for k in np.lexsort((np.arange(len(left)), -alike_of, task[left])):
+            i, j = int(left[k]), int(right[k])
             p, q = root(int(comp[i])), root(int(comp[j]))
             if p == q:
                 continue
@@ -323,7 +339,9 @@ def _cross_links(rows: DataFrame, members: DataFrame, least: float, n_rows: int,
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    lasting = checkpointed(by_task(dealt).mapInArrow(lambda batches: run(batches, survivors), "task long, node long").distinct())
+    again = by_task(dealt.join(lasting, ["task", "node"]).join(texts, "node"))
+    return again.mapInArrow(lambda batches: run(batches, done), "a long, b long")
 
 
 def _numbered(docs: DataFrame, size: int, keep: list[str], text: str) -> DataFrame:
@@ -340,16 +358,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     Repeated rows share a component. A null doc_id is reached only by rows that reach no other id. Empty tables give
     empty results; other columns of docs aren't read.
     """
-    return _joined(_numbered(docs, size, [doc_id], text), size, percent, doc_id)
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return _joined(_numbered(own, size, ["doc_id"], "text"), size, percent, "doc_id").withColumnRenamed("doc_id", doc_id)
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their component, with the columns of docs; see near_duplicates()."""
-    own = {"n_shingles", "set_key", "registers", "packed", "row"}
-    names = {c: f"_{i}" if c in own else c for i, c in enumerate(docs.columns) if c != text}
-    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(f"`{text}`"))
-    all_rows = _numbered(renamed, size, list(names.values()), text)
-    first = _joined(all_rows, size, percent, doc_id).where("first").select("row")
+    """The rows of docs that are the first of their component, with the columns of docs, whatever their names.
+
+    Which rows are linked says near_duplicates(); rows without words all stay.
+    """
+    own = free_names(docs.columns)
+    names = {c: f"{own}{i}" for i, c in enumerate(docs.columns) if c != text}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(f"`{text}`").alias(own))
+    all_rows = _numbered(renamed, size, list(names.values()), own)
+    first = _joined(all_rows.withColumnRenamed(names[doc_id], "doc_id"), size, percent, "doc_id").where("first").select("row")
 
     def make():
         unpack = zstandard.ZstdDecompressor()
@@ -360,8 +382,8 @@ def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, d
         return step
 
     kept = all_rows.join(first, "row", "left_semi")
-    whole = arrow_columns(kept, ["packed"], [T.StructField(text, T.StringType())], make, list(names.values()))
-    return whole.select(*(F.col(f"`{names[c]}`").alias(c) if c != text else F.col(f"`{text}`") for c in docs.columns))
+    whole = arrow_columns(kept, ["packed"], [T.StructField(own, T.StringType())], make, list(names.values()))
+    return whole.select(*(F.col(names.get(c, own)).alias(c) for c in docs.columns))
 
 
 def _joined(all_rows: DataFrame, size: int, percent: int, doc_id: str) -> DataFrame:
@@ -396,7 +418,7 @@ def _joined(all_rows: DataFrame, size: int, percent: int, doc_id: str) -> DataFr
     placed = rows.join(node_of, "set_key", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("row")))
     placed = checkpointed(placed.select("row", doc_id, "n_shingles", "component"))
     best = placed.groupBy("component").agg(F.min(doc_id).alias("component_id"), F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("row").alias("first_row")))["first_row"].alias("first_row"))
-    return placed.join(best, "component").select(
+    return joined_hot(placed, best, "component").select(
         "row", doc_id, "n_shingles", "component_id", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(False)).alias("kept"), (F.col("row") == F.col("first_row")).alias("first")
     )
 

@@ -46,15 +46,17 @@ def place(df: DataFrame, shards: list[str], key: str = "doc_id", slots: int = SL
     Rows of equal keys share a shard; a null key counts as the empty text. The broadcast table has `slots` rows, whatever
     the data. Columns of df named slot or shard are replaced; an empty df gives an empty result.
     """
-    spark = df.sparkSession
-    found = spark.createDataFrame(list(enumerate(shards[i] for i in lookup(shards, slots))), "_slot int, shard string")
-    rest = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")))
-    slotted = rest.withColumn("slot", F.pmod(hash_of(key), F.lit(slots)).cast("int"))
-    return slotted.join(F.broadcast(found), F.col("slot") == F.col("_slot")).drop("_slot")
+    found = df.sparkSession.createDataFrame(list(enumerate(shards[i] for i in lookup(shards, slots))), "slot int, shard string")
+    slot = F.pmod(hash_of(f"`{key}`"), F.lit(slots)).cast("int").alias("slot")
+    slotted = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")), slot)
+    return slotted.join(F.broadcast(found), "slot")
 
 
 def write(placed: DataFrame, path: str, splits: int = 16) -> None:
-    """Rows of place() as Parquet under path/shard=name, each shard in up to `splits` files so that none is one task's."""
+    """Rows of place() as Parquet under path/shard=name, each shard in up to `splits` files so that none is one task's.
+
+    Nulls, empty and long texts are written as they are, equal rows into one file; an empty table writes no file.
+    """
     salt = F.pmod(F.xxhash64(*placed.columns), F.lit(splits))
     placed.repartition(F.col("shard"), salt).write.partitionBy("shard").mode("overwrite").parquet(path)
 

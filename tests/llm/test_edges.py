@@ -432,6 +432,35 @@ def test_sharding(spark, odd):
             sharding.lookup(*bad)
 
 
+CLASHING = ["y", "_id", "_s", "_low", "_repeats", "_below", "_size", "_slot", "_key", "_host", "_gone", "_5", "row", "key", "h", "n", "s", "size", "node", "registers", "packed", "component", "slot", "v", "id", "q", "_salt", "_hot", "_own", "_own_0", "_at", "draw", "lang_pred", "x"]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "quality", "near", "near_first", "mix", "place", "language", "bpe", "pages", "nearest", "top_k", *(f"stage {i}" for i in range(5))])
+def test_columns_of_any_name_stay(spark, tmp_path, name):
+    """Every operator and stage takes a table whose further columns have the names of internal ones, and an empty one."""
+    import corpus_pipeline
+
+    rows = [(i, text(i) + (" you stupid grobnak idiot" if i % 3 == 0 else ""), "en" if i % 2 else "xx", "a" if i % 4 else "b") for i in range(60)]
+    plain = spark.createDataFrame([(*r, f"http://h.org/{r[0] % 5}/{r[0]}", [float(r[0] % 7), 1.0, float(r[0])]) for r in rows], "doc_id long, text string, lang string, source string, url string, embedding array<double>")
+    df = plain.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING))
+    y = labels(spark, [(i, i % 2, int(i % 3 == 0)) for i in range(60)])
+    y.write.parquet(f"{tmp_path}/labels.parquet")
+    made = {
+        "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, y)), "quality": lambda d: quality.score(d, quality.fit(d, y)), "near": near_dedup.near_duplicates, "near_first": near_dedup.without_near_duplicates,
+        "mix": mixing.mix, "place": lambda d: sharding.place(d, ["a", "b"], slots=101), "language": lambda d: langid.predict(d, langid.fit(d)), "bpe": bpe.encode,
+        "pages": lambda d: html_text.extract(d.withColumnRenamed("text", "html"), order="doc_id"), "nearest": lambda d: vectors.nearest(d, vec_id="doc_id"), "top_k": lambda d: vectors.exact_top_k(d, vec_id="doc_id"),
+    } | {f"stage {i}": (lambda d, f=f: f(spark, d, str(tmp_path))) for i, (_, f) in enumerate(corpus_pipeline.STAGES)}
+    got = made[name](df)
+    found = got.collect()
+    assert found and got.columns == made[name](df.limit(0)).columns and not made[name](df.limit(0)).collect()
+    assert [f.dataType for f in got.schema] == [f.dataType for f in made[name](df.limit(0)).schema]
+    if name.startswith("stage") and name != "stage 4":
+        assert got.columns == df.columns
+    for c in set(CLASHING) & set(got.columns):
+        if (name, c) not in {("mix", "size"), ("place", "slot"), ("language", "lang_pred"), ("near", "row")}:
+            assert all(r[c] == f"{c}{r['doc_id']}" for r in found), c
+
+
 def test_common_pieces():
     import pyarrow as pa
 
