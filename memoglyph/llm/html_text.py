@@ -444,8 +444,8 @@ def template_lines(keyed: DataFrame) -> DataFrame:
     distinct = checkpointed(lined.groupBy("_host", "_same").agg(first_of).select("_host", "_same", "x.*"))
     on = distinct.select("_host", F.explode(F.array_distinct("_lines")).alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= WIDE)
     hosts = distinct.groupBy("_host").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= WIDE)
-    wide = on.join(hosts, "_host").where("2 * _n > _pages").groupBy("_host").agg(F.collect_list("_line").alias("_wide"))
-    ordered = distinct.join(wide, "_host", "left").repartitionByRange(F.col("_host"), F.col("_path"), F.col("order"), F.col("_key")).sortWithinPartitions("_host", "_path", "order", "_key")
+    wide = joined_small(on, checkpointed(hosts), ["_host"], "inner").where("2 * _n > _pages").groupBy("_host").agg(F.collect_list("_line").alias("_wide"))
+    ordered = joined_small(distinct, checkpointed(wide), ["_host"]).repartitionByRange(F.col("_host"), F.col("_path"), F.col("order"), F.col("_key")).sortWithinPartitions("_host", "_path", "order", "_key")
     ordered = checkpointed(ordered.select(*_PAGE, F.monotonically_increasing_id().alias("_at")))
     found = _differenced(ordered).where(F.col("_open") | (F.size("_gone") > 0)).select("_host", "_same", "_gone")
     return checkpointed(joined_small(lined.select("_key", "_host", "_same"), checkpointed(found), ["_host", "_same"], "inner").select("_key", "_gone").dropDuplicates(["_key"]))
