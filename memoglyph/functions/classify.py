@@ -131,15 +131,17 @@ def intent_of(query: str, **filters) -> str:
 
 
 # fixed values: technical words and question words of the query analysis
-TECHNICAL = (
-    "python javascript typescript java cpp golang rust sql html css regex api cli gui orm devops json yaml toml xml markdown useeffect usememo usestate usecontext useref usecallback "
-    "context reducer middleware websocket restful graphql grpc npm pip maven gradle docker kubernetes ansible terraform http https tcp udp dns cache redis memcached postgres mysql mongodb "
-    "async await promise callback closure decorator class function method interface type enum struct trait generic inheritance polymorphism encapsulation abstraction monad functor lambda curry "
-    "higher.order git commit push pull merge rebase branch tag diff patch ci cd pipeline jenkins github gitlab bitbucket oop fp tdd bdd ddd cqrs event.sourcing microservice monolith serverless "
-    "faas paas saas jwt oauth ssl tls ssh gpg rsa aes kernel thread process goroutine channel actor virtual.dom reconcile scheduler fiber hook effect ref mcp protocol schema endpoint route handler "
-    "index shard partition replica leader follower splitbrain llm embedding vector token rag rerank bm25 dense crud create read update delete upsert"
-).split()
-TECHNICAL_PATTERN = r"(?i)\b(" + "|".join(TECHNICAL) + r"|[a-z]{2,}[_][a-z]{2,})\b"
+TECHNICAL_PATTERN = (
+    r"(?i)\b("
+    r"python|javascript|typescript|java|cpp|golang|rust|sql|html|css|regex|api|cli|gui|orm|devops|json|yaml|toml|xml|markdown|useeffect|usememo|usestate|usecontext|useref|usecallback|"
+    r"context|reducer|middleware|websocket|restful|graphql|grpc|npm|pip|maven|gradle|docker|kubernetes|ansible|terraform|http|https|tcp|udp|dns|cache|redis|memcached|postgres|mysql|"
+    r"mongodb|async|await|promise|callback|closure|decorator|class|function|method|interface|type|enum|struct|trait|generic|inheritance|polymorphism|encapsulation|abstraction|monad|"
+    r"functor|lambda|curry|higher.order|git|commit|push|pull|merge|rebase|branch|tag|diff|patch|ci|cd|pipeline|jenkins|github|gitlab|bitbucket|oop|fp|tdd|bdd|ddd|cqrs|event.sourcing|"
+    r"microservice|monolith|serverless|faas|paas|saas|jwt|oauth|ssl|tls|ssh|gpg|rsa|aes|kernel|thread|process|goroutine|channel|actor|virtual.dom|reconcile|scheduler|fiber|hook|effect|"
+    r"ref|mcp|protocol|schema|endpoint|route|handler|index|shard|partition|replica|leader|follower|splitbrain|llm|embedding|vector|token|rag|rerank|bm25|dense|crud|create|read|update|"
+    r"delete|upsert"
+    r"|[a-z]{2,}[_][a-z]{2,})\b"
+)
 SEMANTIC_PATTERN = r"(?i)(怎么|如何|为什么|什么|哪个|哪些|何时|哪里|怎样|多少|why|how|what|which|when|where|can i|could i|should i|explain|describe|compare|contrast|difference between|的最佳实践|最佳方案|推荐|建议|思路|方案|告诉我|教我|帮我|给我|概念|原理)"
 SYMBOL_PATTERN = r"[`\[\]{}()=+\-*/<>!&|^%$#@~]"
 BLENDS = {"keyword_heavy": (0.72, 0.28), "semantic_heavy": (0.28, 0.72), "balanced": (0.55, 0.45)}
@@ -204,10 +206,23 @@ def drift_risk(*signals: Column) -> Column:
     return first_case([(n == 0, "low"), (n == 1, "medium")], "high")
 
 
+# fixed values: files that hold records of another one by design
+DERIVED_FROM = {
+    "session-memory.jsonl": ["claude-code.jsonl", "openclaw.jsonl"],
+    "task-memory.jsonl": ["openclaw-blackboard.jsonl", "openclaw-runs.jsonl", "openclaw-jobs.jsonl", "openclaw-journal.jsonl"],
+}
+
+
 def is_expected_pair(first: Column, second: Column) -> Column:
-    """Whether two layer files hold the same record by design: a canonical file and one derived from it."""
-    derived = ["shared-inbox.jsonl", "session-memory.jsonl", "task-memory.jsonl", "shared-events.jsonl"]
-    return (first != second) & (first.isin(derived) != second.isin(derived))
+    """Whether two layer files hold the same record by design: one of DERIVED_FROM and one of its sources.
+
+    A pair with session-memory.jsonl is judged by that file alone.
+    """
+    a, b = normalize_spaces(first), normalize_spaces(second)
+    session, task = DERIVED_FROM
+    has = lambda name: (a == name) | (b == name)
+    any_of = lambda name: a.isin(DERIVED_FROM[name]) | b.isin(DERIVED_FROM[name])
+    return F.when(has(session), any_of(session)).otherwise(has(task) & any_of(task))
 
 
 def artifact_state(signature: Column, stored_signature: Column, digest: Column, stored_digest: Column, written_ms: Column, newest_ms: Column) -> Column:

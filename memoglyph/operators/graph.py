@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from memoglyph.functions.classify import first_case
@@ -134,115 +132,3 @@ def fact_triples(records: DataFrame) -> DataFrame:
         F.when(full, F.col("object")).otherwise(F.col("entity_type")).alias("object"), F.coalesce("confidence", F.when(full, 1.0).otherwise(0.7)).alias("confidence"),
     )
     return rows.withColumn("subject", entity_id("subject")).withColumn("object", entity_id("object"))
-
-
-# fixed values: capitalised words that begin sentences and aren't names
-STOPWORDS = ["The", "This", "That", "These", "Those", "And", "But", "For", "With", "From", "When", "Where", "What", "Why", "How", "Then", "There", "Here", "It", "In", "On", "At", "To", "Of", "A", "An", "Is", "Are", "Was", "Be", "By", "As", "Or", "If", "We", "You", "He", "She", "They", "I"]
-
-
-def candidates(df: DataFrame, text: str = "content", least: int = 1) -> DataFrame:
-    """id, name, frequency: phrases of one to five capitalised words, stop words aside."""
-    found = F.regexp_extract_all(F.col(text), F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,4})\b"), 1)
-    return df.select("id", F.explode(found).alias("name")).where(~F.col("name").isin(STOPWORDS) & (F.length("name") >= 2)).groupBy("id", "name").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
-
-
-# fixed values: relations between two names in running text
-RELATIONS = [
-    ("works_at", r"([A-Z]\w+(?: [A-Z]\w+)*) works (?:at|for) ([A-Z]\w+(?: [A-Z]\w+)*)"),
-    ("works_on", r"([A-Z]\w+(?: [A-Z]\w+)*) works on ([A-Z]\w+(?: [A-Z]\w+)*)"),
-    ("uses", r"([A-Z]\w+(?: [A-Z]\w+)*) uses ([A-Z]\w+(?: [A-Z]\w+)*)"),
-    ("depends_on", r"([A-Z]\w+(?: [A-Z]\w+)*) depends on ([A-Z]\w+(?: [A-Z]\w+)*)"),
-    ("created", r"([A-Z]\w+(?: [A-Z]\w+)*) (?:created|wrote|built) ([A-Z]\w+(?: [A-Z]\w+)*)"),
-    ("is_a", r"([A-Z]\w+(?: [A-Z]\w+)*) is an? ([A-Za-z]\w+)"),
-    ("part_of", r"([A-Z]\w+(?: [A-Z]\w+)*) is part of ([A-Z]\w+(?: [A-Z]\w+)*)"),
-    ("manages", r"([A-Z]\w+(?: [A-Z]\w+)*) manages ([A-Z]\w+(?: [A-Z]\w+)*)"),
-    ("reports_to", r"([A-Z]\w+(?: [A-Z]\w+)*) reports to ([A-Z]\w+(?: [A-Z]\w+)*)"),
-    ("located_in", r"([A-Z]\w+(?: [A-Z]\w+)*) is (?:located|based) in ([A-Z]\w+(?: [A-Z]\w+)*)"),
-    ("replaces", r"([A-Z]\w+(?: [A-Z]\w+)*) replaces ([A-Z]\w+(?: [A-Z]\w+)*)"),
-    ("implements", r"([A-Z]\w+(?: [A-Z]\w+)*) implements ([A-Z]\w+(?: [A-Z]\w+)*)"),
-    ("maintains", r"([A-Z]\w+(?: [A-Z]\w+)*) maintains ([A-Z]\w+(?: [A-Z]\w+)*)"),
-]
-
-
-def relations(df: DataFrame, text: str = "content") -> DataFrame:
-    """id, subject, predicate, object, confidence (0.7) by the patterns of RELATIONS; ends of three characters or more."""
-
-    def found(name, p):
-        # a lambda of two parameters would get an element's place as the second
-        ends = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(p), 1).alias("s"), F.regexp_extract_all(F.col(text), F.lit(p), 2).alias("o"))
-        return F.transform(ends, lambda z: F.struct(z["s"].alias("subject"), F.lit(name).alias("predicate"), z["o"].alias("object")))
-
-    rows = F.flatten(F.array(*(found(name, p) for name, p in RELATIONS)))
-    ends = df.select("id", F.inline(rows))
-    fine = (F.length("subject") >= 3) & (F.length("object") >= 3) & ~F.col("subject").isin(STOPWORDS) & ~F.col("object").isin(STOPWORDS)
-    return ends.where(fine).distinct().withColumn("confidence", F.lit(0.7))
-
-
-# fixed values: verbs and marks by which the type of a name is told
-PERSON = r"\b{n}\s+(?:said|says|asked|wrote|thinks|told|works|joined|leads)\b"
-PROJECT = r"\b(?:building|deploying|shipping|project|repo|repository)\s+{n}\b"
-CONCEPT = r"\b{n}\s+(?:is a|is an|means|refers to|is defined as)\b"
-
-
-#: First or last words of names that evidence can stand beside: found in one pass each, so that other names needn't be looked up.
-BEFORE = [re.compile(p) for p in (r"(\w+)(?=\s+(?:said|says|asked|wrote|thinks|told|works|joined|leads|is|means|refers)\b)", r"(\w+)(?=[ -]v?\d+\.\d+)", r"(\w+)(?=\.(?:py|js|ts|go|rs|java)\b)")]
-AFTER = [re.compile(p) for p in (r"@(?=(\w+))", r"\b(?:Dear|Hi|Hello)(?=\s+(\w+))", r"\"(?=\s*,?\s*(?:said\s+)?(\w+))", r"\b(?:building|deploying|shipping|project|repo|repository)(?=\s+(\w+))")]
-
-
-def score_types(df: DataFrame, text: str = "content") -> DataFrame:
-    """id, name, type, confidence, frequency of each candidate name, from verbs, addresses, quotes, versions and definitions around it."""
-
-    def run(batches):
-        for rows in batches:
-            out = []
-            for id_, body in zip(rows["id"], rows[text], strict=True):
-                body = body or ""
-                names = Counter(m for m in re.findall(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,4})\b", body) if m not in STOPWORDS)
-                last, first = ({w for p in ps for w in p.findall(body)} for ps in (BEFORE, AFTER))
-                for name, n in sorted(names.items()):
-                    if name.split(" ")[-1] not in last and name.split(" ")[0] not in first:
-                        out.append((id_, name, "uncertain", min(0.4, n / 30), n))
-                        continue
-                    e = re.escape(name)
-                    person = 2 * len(re.findall(PERSON.format(n=e), body)) + 3 * len(re.findall(rf"@{e}\b|\b(?:Dear|Hi|Hello)\s+{e}\b", body)) + 3 * len(re.findall(rf"\"[^\"]+\"\s*,?\s*(?:said\s+)?{e}\b", body))
-                    project = 2 * len(re.findall(PROJECT.format(n=e), body)) + 3 * len(re.findall(rf"\b{e}[ -]v?\d+\.\d+", body)) + 3 * len(re.findall(rf"\b{e}\.(?:py|js|ts|go|rs|java)\b", body))
-                    concept = 4 * len(re.findall(CONCEPT.format(n=e), body))
-                    best = max(person, project, concept)
-                    if not person + project + concept:
-                        kind, sure = "uncertain", min(0.4, n / 30)
-                    elif best >= 2:
-                        kind, sure = next(k for k, v in (("person", person), ("project", project), ("concept", concept)) if v == best), 0.85
-                    else:
-                        kind, sure = "uncertain", 0.3
-                    out.append((id_, name, kind, sure, n))
-            yield pd.DataFrame(out, columns=["id", "name", "type", "confidence", "frequency"])
-
-    kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", text).mapInPandas(run, f"id {kind}, name string, type string, confidence double, frequency long")
-
-
-def resolve_pronouns(df: DataFrame, text: str = "content", reach: int = 2) -> DataFrame:
-    """id, sentence, name: for a sentence that begins with a pronoun, the most frequent name within `reach` sentences."""
-
-    def run(batches):
-        for rows in batches:
-            out = []
-            for id_, body in zip(rows["id"], rows[text], strict=True):
-                parts = re.split(r"(?<=[.!?])\s+", body or "")
-                for i, part in enumerate(parts):
-                    if re.match(r"(?:He|She|They|It)\b", part):
-                        near = Counter(m for p in parts[max(0, i - reach) : i + reach + 1] for m in re.findall(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,4})\b", p) if m not in STOPWORDS)
-                        if near:
-                            out.append((id_, i, min(near, key=lambda m: (-near[m], m))))
-            yield pd.DataFrame(out, columns=["id", "sentence", "name"])
-
-    kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", text).mapInPandas(run, f"id {kind}, sentence int, name string")
-
-
-def extract(df: DataFrame, text: str = "content", most_facts: int = 10, most_concepts: int = 5) -> DataFrame:
-    """id, facts, concepts: relations and concept names of a record, values once, the first ones by position of sorting."""
-    facts = relations(df, text).select("id", F.concat_ws(" ", "subject", "predicate", "object").alias("v")).groupBy("id").agg(F.slice(F.array_sort(F.collect_set("v")), 1, most_facts).alias("facts"))
-    concepts = candidates(df, text).withColumn("_r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("frequency"), "name"))).where(F.col("_r") <= most_concepts).groupBy("id").agg(F.array_sort(F.collect_list("name")).alias("concepts"))
-    empty = F.array().cast("array<string>")
-    return df.select("id").join(facts, "id", "left").join(concepts, "id", "left").select("id", F.coalesce("facts", empty).alias("facts"), F.coalesce("concepts", empty).alias("concepts"))

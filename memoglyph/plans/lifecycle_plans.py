@@ -283,9 +283,20 @@ def backpressure(spark, sf):
     return table(spark, sf, "events").groupBy(M.backpressure((F.col("event_id") % 100) / 100.0).alias("factor")).agg(F.count("*").alias("n"))
 
 
-@query("circuit_breaker")
+@query("circuit_breaker", """
+WITH RECURSIVE c AS (SELECT 'u' || user_id % 20 AS service, event_id AS seq, floor(epoch(ts))::BIGINT AS ts_s, event_type <> 'error' AS ok, (event_id % 23 = 0)::INT * 6.0::DOUBLE AS seconds, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i FROM events),
+r(service, i, seq, ts_s, ok, state, allowed, failed, since) AS (
+  SELECT DISTINCT service, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BOOLEAN, 'closed', true, 0, 0.0::DOUBLE FROM c
+  UNION ALL
+  SELECT service, i, seq, ts_s, ok,
+    CASE WHEN was = 'open' THEN 'open' WHEN NOT ok THEN CASE WHEN was = 'half-open' OR failed + 1 >= 5 THEN 'open' ELSE 'closed' END WHEN was = 'half-open' THEN 'closed' WHEN seconds >= 5 THEN 'open' ELSE 'closed' END,
+    was <> 'open',
+    CASE WHEN was = 'open' THEN failed WHEN NOT ok THEN CASE WHEN was = 'half-open' OR failed + 1 >= 5 THEN 0 ELSE failed + 1 END ELSE 0 END,
+    CASE WHEN was = 'open' THEN since WHEN NOT ok OR (was = 'closed' AND seconds >= 5) THEN ts_s + seconds ELSE since END
+  FROM (SELECT c.*, r.failed, r.since, CASE WHEN r.state = 'open' AND c.ts_s - r.since >= 30 THEN 'half-open' ELSE r.state END AS was FROM r JOIN c ON c.service = r.service AND c.i = r.i + 1))
+SELECT service, seq, ts_s, ok, state, allowed FROM r WHERE i > 0""")
 def breaker(spark, sf):
-    calls = table(spark, sf, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("service"), F.col("event_id").alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts_s"), (F.col("event_type") != "error").alias("ok"))
+    calls = table(spark, sf, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("service"), F.col("event_id").alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts_s"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_id") % 23 == 0, 6).otherwise(0).alias("seconds"))
     return M.breaker(calls)
 
 

@@ -130,11 +130,16 @@ def boost(spark, sf):
     return records(spark, sf).select("id", F.round(P.summary_boost(F.col("confidence"), F.col("scope"), F.col("source_kind")), 6).alias("score"))
 
 
-@query("expected_pairs", ", x AS (SELECT CASE num % 4 WHEN 0 THEN 'shared-inbox.jsonl' WHEN 1 THEN 'session-memory.jsonl' WHEN 2 THEN 'claude-code.jsonl' ELSE 'openclaw.jsonl' END AS a, CASE num % 3 WHEN 0 THEN 'shared-inbox.jsonl' WHEN 1 THEN 'task-memory.jsonl' ELSE 'openclaw.jsonl' END AS b FROM records) SELECT a, b, bool_or(a <> b AND (a IN ('shared-inbox.jsonl', 'session-memory.jsonl')) <> (b IN ('shared-inbox.jsonl', 'task-memory.jsonl'))) AS expected FROM x GROUP BY a, b", records=True)
+_FILES = ["shared-inbox.jsonl", "session-memory.jsonl", "task-memory.jsonl", "claude-code.jsonl", "openclaw.jsonl", "openclaw-blackboard.jsonl", "openclaw-runs.jsonl", "openclaw-jobs.jsonl", "openclaw-journal.jsonl"]
+
+
+@query("expected_pairs", f""", x AS (SELECT DISTINCT ['{"', '".join(_FILES)}'][num % 9 + 1] AS a, ['{"', '".join(_FILES)}'][num // 9 % 9 + 1] AS b FROM records)
+SELECT a, b, (a = 'session-memory.jsonl' AND b IN ('claude-code.jsonl', 'openclaw.jsonl')) OR (b = 'session-memory.jsonl' AND a IN ('claude-code.jsonl', 'openclaw.jsonl'))
+  OR (a = 'task-memory.jsonl' AND b IN ('openclaw-blackboard.jsonl', 'openclaw-runs.jsonl', 'openclaw-jobs.jsonl', 'openclaw-journal.jsonl')) OR (b = 'task-memory.jsonl' AND a IN ('openclaw-blackboard.jsonl', 'openclaw-runs.jsonl', 'openclaw-jobs.jsonl', 'openclaw-journal.jsonl')) AS expected FROM x""", records=True)
 def pairs(spark, sf):
-    pick = lambda n, *v: F.element_at(F.array(*(F.lit(x) for x in v)), (F.col("num") % n + 1).cast("int"))
-    x = records(spark, sf).select(pick(4, "shared-inbox.jsonl", "session-memory.jsonl", "claude-code.jsonl", "openclaw.jsonl").alias("a"), pick(3, "shared-inbox.jsonl", "task-memory.jsonl", "openclaw.jsonl").alias("b"))
-    return x.groupBy("a", "b").agg(F.bool_or(C.is_expected_pair(F.col("a"), F.col("b"))).alias("expected"))
+    pick = lambda n: F.element_at(F.array(*(F.lit(x) for x in _FILES)), (n % 9 + 1).cast("int"))
+    x = records(spark, sf).select(pick(F.col("num")).alias("a"), pick(F.floor(F.col("num") / 9)).alias("b")).distinct()
+    return x.select("a", "b", C.is_expected_pair(F.col("a"), F.col("b")).alias("expected"))
 
 
 @query("artifact_state", f" SELECT CASE WHEN num % 4 = 0 THEN CASE WHEN num % 8 = 0 THEN 'current' ELSE 'stale-signature' END WHEN num % 4 = 1 THEN CASE WHEN num % 5 = 0 THEN 'current' ELSE 'stale-hash' END WHEN access_ms IS NULL THEN 'missing' WHEN access_ms >= t_ms THEN 'current' ELSE 'stale-time' END AS state, count(*)::BIGINT AS n FROM records GROUP BY 1", records=True)

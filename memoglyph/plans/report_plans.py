@@ -122,9 +122,25 @@ def recent(spark, sf):
     return R.select_unique(records(spark, sf), F.col("confidence") > 0.3, F.lower(F.concat_ws("|", "tool", "project")), 12, F.desc("t_ms"), F.col("id")).select("id")
 
 
-@query("handoff_pack")
+_ANY = lambda words: f"regexp_matches(hay, '{words}')"
+_SECTIONS = f"""
+  SELECT 'tool_invariants' AS section, 8 AS most, 0 AS part, * FROM k WHERE scope IN ('feedback', 'user') OR type = 'workflow-rule' OR (source = 'shared-inbox' AND {_ANY('\\bmust\\b|\\balways\\b|\\bshould\\b|不要|必须|避免')})
+  UNION ALL SELECT 'goal', 1, 0, * FROM k WHERE tool <> 'openclaw' AND scope IN ('summary', 'project', 'reference') AND type <> 'workflow-rule'
+  UNION ALL SELECT 'goal', 1, 1, * FROM k WHERE place = 1
+  UNION ALL SELECT 'done', 6, 0, * FROM k WHERE task_state IN ('ok', 'pr_submitted', 'done', 'completed') OR {_ANY('\\bcompleted\\b|\\bvalidated\\b|\\bpassed\\b|\\bfinished\\b|完成|已验证')}
+  UNION ALL SELECT 'next', 6, 0, * FROM k WHERE (task_state IN ('pending', 'processing', 'active', 'queued') OR {_ANY('\\bnext\\b|\\btodo\\b|\\bfollow[- ]?up\\b|\\bcontinue\\b|待办|下一步|继续')}) AND scope NOT IN ('feedback', 'user')
+  UNION ALL SELECT 'blocked', 5, 0, * FROM k WHERE task_state IN ('failed', 'error', 'timeout', 'blocked') OR {_ANY('\\bblocked\\b|\\bfailed\\b|\\berror\\b|\\btimeout\\b|阻塞|失败|报错')}"""
+_FIRST = "SELECT section, id, title, row_number() OVER (PARTITION BY section ORDER BY part, place) AS rank, most, part, place FROM (SELECT *, row_number() OVER (PARTITION BY section, key ORDER BY part, place) AS n FROM {0}) WHERE n = 1"
+
+
+@query("handoff_pack", f""", k AS (SELECT id, lower(tool) AS tool, scope, type, task_state, CASE WHEN num % 9 = 0 THEN 'shared-inbox' ELSE 'hook' END AS source, title, lower(title || ' ' || content) AS hay,
+  lower(tool || '|' || CASE WHEN title <> '' THEN trim(regexp_replace(title, '\\s+', ' ', 'g')) WHEN content <> '' THEN trim(regexp_replace(content, '\\s+', ' ', 'g')) ELSE id END) AS key, row_number() OVER (ORDER BY t_ms DESC, id) AS place FROM records WHERE trim(title) <> '' OR trim(content) <> '' QUALIFY place <= 300),
+s AS ({_SECTIONS}), f AS ({_FIRST.format('s')}),
+o AS (SELECT 'open_threads' AS section, 8 AS most, CASE WHEN f.section = 'next' THEN 0 ELSE 1 END AS part, k.* FROM f JOIN k USING (id) WHERE f.section IN ('next', 'blocked') AND f.rank <= f.most UNION ALL SELECT 'open_threads', 8, 2, k.* FROM k),
+g AS ({_FIRST.format("(SELECT * FROM o WHERE scope IN ('task', 'run') OR type IN ('task-state', 'task-run'))")})
+SELECT section, id, title, rank::INTEGER AS rank FROM (SELECT * FROM f UNION ALL SELECT * FROM g) WHERE rank <= most""", records=True)
 def handoff(spark, sf):
-    rows = records(spark, sf).withColumn("title", F.concat(F.element_at(F.array(*(F.lit(w) for w in ("goal", "done", "next", "blocked", "open", "must"))), (F.col("num") % 6 + 1).cast("int")), F.lit(" "), F.col("title")))
+    rows = records(spark, sf).withColumn("source", F.when(F.col("num") % 9 == 0, "shared-inbox").otherwise("hook"))
     return R.handoff(rows)
 
 
@@ -161,7 +177,7 @@ def prometheus(spark, sf):
     return R.prometheus(m)
 
 
-@query("markdown_pages", ", x AS (SELECT scope, id, title, row_number() OVER (PARTITION BY scope ORDER BY id) AS r FROM records) SELECT scope, md5('# ' || scope || chr(10) || chr(10) || string_agg('- [' || title || '](' || id || '.md)', chr(10) ORDER BY r)) AS digest FROM x WHERE r <= 500 GROUP BY scope", records=True)
+@query("markdown_pages", ", x AS (SELECT scope, id, title, row_number() OVER (PARTITION BY scope ORDER BY id) AS r FROM records), p AS (SELECT *, (r - 1) // 500 AS part FROM x) SELECT scope, md5('# ' || scope || CASE WHEN part > 0 THEN ' (' || (part + 1) || ')' ELSE '' END || chr(10) || chr(10) || string_agg('- [' || title || '](' || id || '.md)', chr(10) ORDER BY r)) AS digest FROM p GROUP BY scope, part", records=True)
 def pages(spark, sf):
     return R.markdown_pages(records(spark, sf), "scope").select("scope", F.md5("page").alias("digest"))
 
@@ -178,9 +194,17 @@ def sync(spark, sf):
     return T.complete(tasks, done).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("first_topic", "WITH f AS (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' AND turn < 160 AND trim(text) <> '' GROUP BY conv_id) SELECT c.conv_id, CASE WHEN length(coalesce(t, '(none)')) > 140 THEN rtrim(substr(t, 1, 137)) || '...' ELSE coalesce(t, '(none)') END AS topic FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f USING (conv_id)")
+_TOPIC = "text || CASE conv_id % 5 WHEN 0 THEN ' Based on this message, call x' ELSE '' END"
+_TOPIC = f"CASE WHEN turn = 0 THEN CASE conv_id % 7 WHEN 0 THEN '<environment_context> ' || text WHEN 1 THEN '# AGENTS.md instructions for x' WHEN 2 THEN 'Based on this message, call x' ELSE {_TOPIC} END ELSE {_TOPIC} END"
+
+
+@query("first_topic", rf"""
+WITH c AS (SELECT conv_id, turn, role, trim(regexp_replace({_TOPIC}, '\s+', ' ', 'g')) AS t FROM conversations),
+m AS (SELECT conv_id, turn, role, CASE WHEN regexp_matches(t, '^(.*?)\s+Based on this message, call .*$') THEN trim(regexp_extract(t, '^(.*?)\s+Based on this message, call .*$', 1)) ELSE t END AS t FROM c),
+f AS (SELECT conv_id, arg_min(t, turn) AS t FROM m WHERE role = 'user' AND turn < 160 AND t <> '' AND NOT starts_with(t, '<environment_context>') AND NOT regexp_matches(t, '^# AGENTS\.md instructions\b') AND NOT starts_with(t, 'Based on this message, call ') GROUP BY conv_id)
+SELECT c.conv_id, CASE WHEN length(coalesce(t, '(none)')) > 140 THEN rtrim(substr(t, 1, 137)) || '...' ELSE coalesce(t, '(none)') END AS topic FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f USING (conv_id)""")
 def topic(spark, sf):
-    c = table(spark, sf, "conversations").withColumnRenamed("conv_id", "session")
+    c = table(spark, sf, "conversations").withColumn("text", F.expr(_TOPIC)).withColumnRenamed("conv_id", "session")
     return T.first_relevant(c, c).withColumnRenamed("session", "conv_id")
 
 

@@ -85,13 +85,13 @@ def weighted(spark, sf):
     return S.fuse_weighted(*_document_scores(spark, sf), 0.55, 0.45).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query("rrf_fusion", f"WITH {_BM25}, {_OTHER}, a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm25), b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM other) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6)::DOUBLE AS score FROM (SELECT * FROM a WHERE r <= 1000) a FULL JOIN (SELECT * FROM b WHERE r <= 1000) b ON a.doc_id = b.doc_id")
+@query("rrf_fusion", f"WITH {_BM25}, {_OTHER}, a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm25), b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM other) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6)::DOUBLE AS score FROM a FULL JOIN b ON a.doc_id = b.doc_id")
 def rrf(spark, sf):
     sparse, other = _document_scores(spark, sf)
     return S.fuse_rrf(sparse.withColumn("score", F.round("score", 9)), other).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query("rank_map", f"WITH {_BM25} SELECT doc_id, r::INTEGER AS rank FROM (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm25) WHERE r <= 50")
+@query("rank_map", f"WITH {_BM25} SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25")
 def ranks(spark, sf):
     sparse = S.bm25(_ranking_entries(spark, sf), QUERY.split()).withColumn("score", F.round("score", 9))
     return S.rank_map(sparse).select(F.col("id").alias("doc_id"), "rank")
@@ -104,18 +104,75 @@ def filters(spark, sf):
 
 
 def _entries(spark, sf):
+    """Search entries of the records, two facts and a concept each."""
     age = F.lit(AS_OF_MS) - F.col("t_ms")
-    rows = records(spark, sf).withColumn("layer", C.layer("memory_level", "source_kind", "scope"))
-    return rows.withColumn("freshness", C.freshness(age)).withColumn("age_days", age / DAY_MS).withColumn("description", F.substring("content", 61, 120))
+    rows = records(spark, sf).withColumn("layer", C.layer("memory_level", "source_kind", "scope")).withColumn("facts", F.array("tool", "lang")).withColumn("concepts", F.array("project"))
+    rows = rows.withColumn("freshness", C.freshness(age)).withColumn("age_days", age / DAY_MS).withColumn("description", F.concat_ws(" ", "scope", "source_kind", F.lit("of the")))
+    return S.entries_of(rows).withColumnRenamed("entry_id", "id")
 
 
-@query("hybrid_search")
+def _redacted(column: str) -> str:
+    out = f"trim(regexp_replace({column}, '\\s+', ' ', 'g'))"
+    for name, pattern in X.REDACTIONS:
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '[REDACTED_{name}]', 'g')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+_NOISE = "(length({0}) < 5 OR regexp_matches({0}, '^(?i:" + "|".join(X.NOISE) + ")'))"
+_ENTRIES = f"""kept AS (SELECT *, {_redacted('title')} AS rt, {_redacted('content')} AS rc FROM records WHERE NOT {_NOISE.format("trim(regexp_replace(title || ' ' || content, '\\s+', ' ', 'g'))")}),
+parts AS (SELECT id AS record_id, id AS entry_id, 'content' AS field, 0 AS pos, trim(concat_ws(' ', CASE WHEN rt <> '' THEN rt END, CASE WHEN rc <> '' THEN rc END, project, type, tool)) AS text FROM kept
+  UNION ALL SELECT id, id || '__fact_0', 'fact', 0, tool FROM kept WHERE NOT {_NOISE.format('tool')} UNION ALL SELECT id, id || '__fact_1', 'fact', 1, lang FROM kept WHERE NOT {_NOISE.format('lang')}
+  UNION ALL SELECT id, id || '__concept_0', 'concept', 0, project FROM kept WHERE NOT {_NOISE.format('project')}),
+entries AS (SELECT record_id, entry_id, field, pos, substr(text, 1, 6000) AS text FROM parts)"""
+_TOKENS = _SEARCH.replace("coalesce(text, '')", "text")
+
+
+def _mixed(values: dict, column: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values["mixed"].items()) + " ELSE 1.0 END::DOUBLE"
+
+
+def _search_sql(score: str, limit: int) -> str:
+    layer = "CASE WHEN memory_level = 'durable' OR source_kind = 'writeback' THEN 'durable' WHEN source_kind IN ('hook', 'event') OR memory_level = 'event' THEN 'event' WHEN memory_level = 'task' OR source_kind IN ('blackboard', 'run', 'cron', 'task') OR scope IN ('task', 'run') THEN 'task' ELSE 'session' END"
+    fresh = f"CASE WHEN {AS_OF_MS} - t_ms <= {DAY_MS} THEN 'hot' WHEN {AS_OF_MS} - t_ms <= 7 * {DAY_MS}::BIGINT THEN 'warm' ELSE 'cold' END"
+    in_query = lambda words: f"len(list_intersect(list_distinct({words}), ['{_WORDS}']))"
+    return f""", {_ENTRIES}, d AS (SELECT entry_id, CASE WHEN len({_TOKENS}) > 0 THEN {_TOKENS} ELSE ['_empty_'] END AS t FROM entries), stats AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+words AS (SELECT entry_id, len(t) AS dl, unnest(t) AS term FROM d), df AS (SELECT term, count(*) AS df FROM words GROUP BY term), idf AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, stats), mean_idf AS (SELECT avg(raw) AS m FROM idf),
+sparse AS (SELECT entry_id, sum(CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / mean))) AS s FROM words JOIN idf USING (term), stats, mean_idf WHERE term IN ('{_WORDS}') GROUP BY entry_id),
+qv AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1), near AS (SELECT 'r' || vec_id AS entry_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS s FROM embeddings, qv WHERE 'r' || vec_id IN (SELECT entry_id FROM entries)),
+a AS (SELECT entry_id, s / max(s) OVER () AS bm25, row_number() OVER (ORDER BY s DESC, entry_id) AS ra FROM sparse WHERE s > 0), b AS (SELECT entry_id, s / max(s) OVER () AS dense, row_number() OVER (ORDER BY s DESC, entry_id) AS rb FROM near WHERE s > 0),
+f AS (SELECT coalesce(a.entry_id, b.entry_id) AS entry_id, coalesce(bm25, 0) AS bm25, coalesce(dense, 0) AS dense, ra, rb FROM a FULL JOIN b ON a.entry_id = b.entry_id),
+w AS (SELECT id AS record_id, {_mixed(C.LAYER_WEIGHTS, layer)} * {_mixed(C.SCOPE_WEIGHTS, 'scope')} * {_mixed(C.SOURCE_KIND_WEIGHTS, 'source_kind')} * {_mixed(C.FRESHNESS_WEIGHTS, fresh)} * pow(0.5, greatest(({AS_OF_MS} - t_ms) / {DAY_MS}.0, 0) / 30)
+  * CASE WHEN {in_query("regexp_split_to_array(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), '\\s+')")} >= 2 THEN 1.3 ELSE 1 END * CASE WHEN {in_query("string_split(scope || ' ' || source_kind || ' of the', ' ')")} >= 2 THEN 1.2 ELSE 1 END AS weight FROM records),
+z AS (SELECT record_id, entry_id AS id, field, ({score}) * weight * CASE WHEN bm25 > 0 AND dense > 0 THEN 1.04 ELSE 1 END * CASE field WHEN 'fact' THEN 1.1 WHEN 'concept' THEN 1.15 ELSE 1 END AS score, bm25, dense FROM f JOIN entries USING (entry_id) JOIN w USING (record_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, id) AS n FROM z WHERE score > 0)
+SELECT id, record_id, field, round(score, 6)::DOUBLE AS score, round(bm25, 6)::DOUBLE AS bm25, round(dense, 6)::DOUBLE AS dense, (row_number() OVER (ORDER BY score DESC, id))::INTEGER AS rank FROM o WHERE n = 1 ORDER BY o.score DESC, id LIMIT {limit}"""
+
+
+def _vectors(spark, sf):
+    e = table(spark, sf, "embeddings")
+    rows = e.select(F.concat(F.lit("r"), F.col("vec_id").cast("string")).alias("record_id"), F.col("vec_id").cast("string").alias("entry_id"), "embedding")
+    return rows, list(e.orderBy("vec_id").first()["embedding"])
+
+
+def _shown(found):
+    return found.select("id", "record_id", "field", *(F.round(c, 6).alias(c) for c in ("score", "bm25", "dense")), "rank")
+
+
+@query("hybrid_search", _search_sql("0.72 * bm25 + 0.28 * dense", 20), records=True)
 def hybrid(spark, sf):
-    """The flagship search: BM25 and hashed vectors fused, weighted by route, decayed, the best twenty."""
-    entries = _entries(spark, sf)
-    e = table(spark, sf, "embeddings").select(F.concat(F.lit("r"), F.col("vec_id").cast("string")).alias("record_id"), F.col("vec_id").cast("string").alias("entry_id"), "embedding")
-    vector = list(table(spark, sf, "embeddings").orderBy("vec_id").first()["embedding"])
-    return S.search(entries, S.SearchRequest.of(QUERY, limit=20, half_life_days=30), e, vector)
+    """The flagship search: entries by BM25 and vectors, blended, weighted by route, decayed, the best of each record, the best twenty."""
+    return _shown(S.search(_entries(spark, sf), S.SearchRequest.of(QUERY, limit=20, half_life_days=30), *_vectors(spark, sf)))
+
+
+@query("hybrid_search_rrf", _search_sql("coalesce(1.0 / (60 + ra), 0) + coalesce(1.0 / (60 + rb), 0)", 20), records=True)
+def hybrid_rrf(spark, sf):
+    return _shown(S.search(_entries(spark, sf), S.SearchRequest.of(QUERY, limit=20, half_life_days=30, fusion="rrf"), *_vectors(spark, sf)))
+
+
+@query("hybrid_search_diverse")
+def hybrid_diverse(spark, sf):
+    """The same with marginal relevance over the first hundred records."""
+    return _shown(S.search(_entries(spark, sf), S.SearchRequest.of(QUERY, limit=10, half_life_days=30, diversity=0.7), *_vectors(spark, sf)))
 
 
 @query("mmr_topk")
@@ -140,10 +197,9 @@ def snippets(spark, sf):
     return S.snippets(records(spark, sf).select("id", "title", "content"), "anon license", ["title", "content"])
 
 
-@query("search_entries", ", x AS (SELECT id AS record_id, id AS entry_id, 'content' AS field, 0 AS pos, substr(content, 1, 6000) AS text FROM records UNION ALL SELECT id, id || '__fact_0', 'fact', 0, tool FROM records UNION ALL SELECT id, id || '__fact_1', 'fact', 1, lang FROM records UNION ALL SELECT id, id || '__concept_0', 'concept', 0, project FROM records) SELECT record_id, entry_id, field, pos, md5(text) AS digest FROM x", records=True)
+@query("search_entries", f", {_ENTRIES} SELECT record_id, entry_id, field, pos, md5(text) AS digest, md5(substr(text, 1, 240)) AS excerpt FROM entries", records=True)
 def entries(spark, sf):
-    rows = records(spark, sf).withColumn("facts", F.array("tool", "lang")).withColumn("concepts", F.array("project"))
-    return S.entries_of(rows).select("record_id", "entry_id", "field", "pos", F.md5("text").alias("digest"))
+    return _entries(spark, sf).select("record_id", F.col("id").alias("entry_id"), "field", "pos", F.md5("text").alias("digest"), F.md5("excerpt").alias("excerpt"))
 
 
 @query("field_bonus", r", x AS (SELECT id, list_distinct(regexp_split_to_array(lower(trim(regexp_replace(title, '\s+', ' ', 'g'))), '\s+')) AS t FROM records) SELECT id, CASE WHEN len(list_intersect(t, ['the', 'of', 'in'])) >= 2 THEN 1.3 ELSE 1.0 END::DOUBLE AS bonus FROM x", records=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memoglyph.functions import classify as C, numeric as N, text as X
+from memoglyph.operators import search as S
 from memoglyph.plans.catalog import query
 from memoglyph.views import AS_OF_MS, DAY_MS, records, table
 
@@ -16,7 +17,7 @@ def normalize(spark, sf):
 
 @query("noise_filter", r"""
 SELECT turn, count(*)::BIGINT AS n, sum(CASE WHEN length(s) < 5 OR regexp_matches(s, '^(?i:Sender\s*\(|System:|Subagent Context|\[Subagent Context\]|Exec completed|Exec failed|A new session was started|\[(Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s|Run your Session Startup)') THEN 1 ELSE 0 END)::BIGINT AS noise
-FROM (SELECT turn, trim(regexp_replace(coalesce(substr(text, 1, 1 + (conv_id * 7 % 40)), ''), '\s+', ' ', 'g')) AS s FROM conversations) GROUP BY turn""")
+FROM (SELECT turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s FROM conversations) GROUP BY turn""")
 def noise(spark, sf):
     return table(spark, sf, "conversations").groupBy("turn").agg(F.count("*").alias("n"), F.count_if(X.is_noise("text")).alias("noise"))
 
@@ -108,13 +109,21 @@ def redaction_strict(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.sum(F.regexp_count(X.redact("text", "strict"), F.lit(r"\[REDACTED\]"))).alias("n"))
 
 
-@query("redaction_outbound", f"SELECT doc_id, {_folded([(p, m.replace('$1', chr(92) + '1')) for p, m in X.OUTBOUND if chr(92) + '2' not in p])} AS text FROM documents")
+def _without_reference(pattern: str) -> str:
+    """A pattern whose value may stand in quotation marks, as alternatives, where an engine has no back-references."""
+    value = r"""[^\s"',;]{6,}"""
+    return pattern.replace(r"""(["']?)""" + value + r"\2", rf"""(?:"{value}"|'{value}'|{value})""")
+
+
+@query("redaction_outbound", f"SELECT doc_id, {_folded([(_without_reference(p), m.replace('$1', chr(92) + '1')) for p, m in X.OUTBOUND])} AS text FROM documents")
 def redaction_outbound(spark, sf):
-    # the SQL lacks the pattern with a back-reference, as RE2 has none
     return table(spark, sf, "documents").select("doc_id", X.redact_outbound("text").alias("text"))
 
 
-@query("redact_record", rf"""SELECT doc_id, {_folded([(p, f'[REDACTED_{n}]') for n, p in X.REDACTIONS]).replace('(text,', '(substr(text, 1, 200),')} AS title, {_folded([(p, f'[REDACTED_{n}]') for n, p in X.REDACTIONS]).replace('(text,', '(source,')} AS fact FROM documents""")
+_REDACTED = _folded([(p, f"[REDACTED_{n}]") for n, p in X.REDACTIONS])
+
+
+@query("redact_record", f"SELECT doc_id, {_REDACTED.replace('(text,', '(substr(text, 1, 200),')} AS title, {_REDACTED} AS content, {_REDACTED.replace('(text,', '(source,')} AS fact FROM documents")
 def redact_record(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("title"), F.col("text").alias("content"), F.array("source").alias("facts"))
     return X.redact_record(rows).select("doc_id", "title", "content", F.element_at("facts", 1).alias("fact"))
@@ -138,7 +147,15 @@ def features(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(X.hash_features("text"), " ")).alias("digest"))
 
 
-@query("hash_embedding")
+_FNV = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(w, ''), lambda c: unicode(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+
+
+@query("hash_embedding", rf"""
+WITH s AS (SELECT c_custkey, lower(trim(regexp_replace(c_name, '\s+', ' ', 'g'))) AS t FROM customer), c AS (SELECT *, regexp_replace(t, '\s+', '', 'g') AS k FROM s),
+f AS (SELECT c_custkey, unnest(list_concat(list_transform(regexp_extract_all(t, '[a-z0-9][a-z0-9_\-./:]+'), lambda w: 'w:' || w), list_transform(range(1, least(greatest(length(k) - 2, 0), 400) + 1), lambda i: 'g3:' || substr(k, i::INTEGER, 3)))) AS w FROM c),
+h AS (SELECT c_custkey, {_FNV} AS h FROM f), v AS (SELECT c_custkey, h % 64 AS slot, sum(CASE WHEN (h // 2) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM h GROUP BY ALL),
+n AS (SELECT c_custkey, sqrt(sum(x * x)) AS norm FROM v GROUP BY c_custkey), g AS (SELECT c_custkey, unnest(range(0, 64)) AS slot FROM customer)
+SELECT g.c_custkey, list(CASE WHEN norm > 0 THEN round(coalesce(x, 0) / norm, 8) ELSE 0 END::DOUBLE ORDER BY g.slot) AS embedding FROM g LEFT JOIN v ON v.c_custkey = g.c_custkey AND v.slot = g.slot LEFT JOIN n ON n.c_custkey = g.c_custkey GROUP BY g.c_custkey""")
 def embedding(spark, sf):
     rows = table(spark, sf, "customer").select("c_custkey", X.hash_features("c_name").alias("f"))
     return rows.select("c_custkey", N.hash_embedding(F.col("f"), X.fnv1a32, 64).alias("embedding"))
@@ -210,7 +227,16 @@ def intents(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", C.intent(words).alias("intent"))
 
 
-@query("query_type")
+@query("query_type", rf"""
+WITH q AS (SELECT item_id, trim(coalesce(text, '')) AS q FROM benchmark),
+c AS (SELECT item_id, q, greatest(len(list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> '')), 1) AS n, list_filter(regexp_extract_all(q, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{2,6}}')) AS short,
+  len(list_filter(regexp_extract_all(q, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '{C.TECHNICAL_PATTERN.replace(chr(92) + 'b', '')}'))) AS technical, len(regexp_extract_all(q, '{C.SYMBOL_PATTERN}')) AS symbols FROM q),
+s AS (SELECT item_id, q, technical / n * 5 + symbols / greatest(length(q), 1) * 3 + least(CASE WHEN len(short) > 0 THEN list_sum(list_transform(short, lambda w: length(w))) / len(short) ELSE 0 END / 8.0, 1.0) AS words,
+  CASE WHEN regexp_matches(q, '{C.SEMANTIC_PATTERN}') THEN 1.5 ELSE 0 END + CASE WHEN regexp_matches(q, '[？?]') THEN 1.0 ELSE 0 END + CASE WHEN length(q) > 30 AND length(q) - length(replace(q, ' ', '')) > 5 THEN 1.0 ELSE 0 END AS meaning FROM c),
+k AS (SELECT item_id, q, CASE WHEN q = '' OR words + meaning <= 0 THEN 0.5 ELSE words / (words + meaning) END AS keyword, CASE WHEN q = '' OR words + meaning <= 0 THEN 0.5 ELSE meaning / (words + meaning) END AS semantic FROM s),
+t AS (SELECT *, CASE WHEN q = '' THEN 'balanced' WHEN keyword > 0.65 THEN 'keyword_heavy' WHEN semantic > 0.65 THEN 'semantic_heavy' ELSE 'balanced' END AS query_type FROM k)
+SELECT item_id, query_type, round(keyword, 4)::DOUBLE AS keyword_score, round(semantic, 4)::DOUBLE AS semantic_score, CASE query_type WHEN 'keyword_heavy' THEN 0.72 WHEN 'semantic_heavy' THEN 0.28 ELSE 0.55 END::DOUBLE AS bm25_weight,
+  CASE query_type WHEN 'keyword_heavy' THEN 0.28 WHEN 'semantic_heavy' THEN 0.72 ELSE 0.45 END::DOUBLE AS dense_weight FROM t""")
 def query_kind(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", C.query_type(F.col("text")).alias("q")).select("item_id", "q.*")
 
@@ -230,10 +256,22 @@ def weights(spark, sf):
     return records(spark, sf).select("id", F.round(C.route_weight("task", C.layer("memory_level", "source_kind", "scope"), F.col("scope"), F.col("source_kind"), F.lit("warm"), F.col("task_state")), 6).alias("weight"))
 
 
-@query("drift_risk", f", x AS (SELECT CASE (t_ms < {AS_OF_MS - 60 * DAY_MS})::INT + (length(content) > 3000)::INT + (access_count = 0)::INT WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS risk FROM records) SELECT risk, count(*)::BIGINT AS n FROM x GROUP BY risk", records=True)
+_FRESH = f"CASE WHEN {AS_OF_MS} - t_ms <= {DAY_MS} THEN 'hot' WHEN {AS_OF_MS} - t_ms <= 7 * {DAY_MS}::BIGINT THEN 'warm' ELSE 'cold' END"
+
+
+@query("drift_risk", rf""", x AS (SELECT num, id, {_FRESH} AS freshness, CASE WHEN num % 5 = 4 THEN 'daily-summary' ELSE type END AS type, title || ' ' || content || CASE num % 4 WHEN 0 THEN ' 2024-01-05 release' WHEN 1 THEN ' src/en.py ./no.py docs/none.md' ELSE '' END || ' src/' || lang || '.py' AS t FROM records),
+f AS (SELECT id, unnest(regexp_extract_all(t, '([\w./\\-]+\.(?:py|js|ts|tsx|jsx|md|json|yaml|yml|sh|ps1|go|rs|java|cpp|c|h|toml))\b', 1)[1:5]) AS file FROM x),
+g AS (SELECT id, count(*) AS n FROM f WHERE NOT starts_with(file, '.') AND NOT starts_with(file, '/') AND file NOT IN ('src/en.py', 'src/fr.py') GROUP BY id),
+s AS (SELECT id, (freshness = 'cold' AND regexp_matches(t, '(20[2-9][0-9]|201[0-9])-[0-9]{{2}}-[0-9]{{2}}') AND regexp_matches(lower(t), 'deadline|freeze|release|deploy|launch')) AS a, coalesce(n, 0) AS missing,
+  type IN ('summary', 'session-summary', 'daily-summary') AND freshness IN ('cold', 'warm') AS c FROM x LEFT JOIN g USING (id))
+SELECT id, CASE a::INT + (missing > 0)::INT + c::INT WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS risk, missing::BIGINT AS missing,
+  concat_ws(',', CASE WHEN a THEN 'cold-record-with-time-sensitive-content' END, CASE WHEN missing > 0 THEN 'referenced-files-missing:' || missing END, CASE WHEN c THEN 'summary-record-cold-staleness' END) AS signals FROM s""", records=True)
 def drift(spark, sf):
-    risk = C.drift_risk(F.col("t_ms") < AS_OF_MS - 60 * DAY_MS, F.length("content") > 3000, F.col("access_count") == 0)
-    return records(spark, sf).select(risk.alias("risk")).groupBy("risk").agg(F.count("*").alias("n"))
+    more = F.expr("CASE num % 4 WHEN 0 THEN ' 2024-01-05 release' WHEN 1 THEN ' src/en.py ./no.py docs/none.md' ELSE '' END")
+    rows = records(spark, sf).withColumn("content", F.concat("content", more, F.lit(" src/"), "lang", F.lit(".py"))).withColumn("freshness", C.freshness(F.lit(AS_OF_MS) - F.col("t_ms")))
+    rows = rows.withColumn("type", F.when(F.col("num") % 5 == 4, "daily-summary").otherwise(F.col("type")))
+    files = spark.createDataFrame([("src/en.py",), ("src/fr.py",)], "file string")
+    return S.drift(rows, files).select("id", "risk", "missing", F.array_join("signals", ",").alias("signals"))
 
 
 @query("time_sensitive", ", x AS (SELECT " + " OR ".join(f"contains(lower(content), '{w}')" for w in C.TIME_WORDS) + " AS hit FROM records) SELECT hit, count(*)::BIGINT AS n FROM x GROUP BY hit", records=True)
@@ -260,8 +298,10 @@ def cosines(spark, sf):
 
 @query("jaccard_to_benchmark", r"""
 WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[\s\-_.,;:!?()\[\]{}''"#@$%^&*+=|\\~`]+'), lambda w: length(w) >= 3)[1:18]) AS t FROM documents),
-b AS (SELECT list_distinct(list_filter(regexp_split_to_array(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[\s\-_.,;:!?()\[\]{}''"#@$%^&*+=|\\~`]+'), lambda w: length(w) >= 3)[1:18]) AS t FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))
-SELECT doc_id, round(CASE WHEN len(d.t) = 0 OR len(b.t) = 0 THEN 0 ELSE len(list_intersect(d.t, b.t)) / len(list_distinct(list_concat(d.t, b.t))) END, 6)::DOUBLE AS overlap FROM d, b""")
+b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[\s\-_.,;:!?()\[\]{}''"#@$%^&*+=|\\~`]+'), lambda w: length(w) >= 3)[1:18]) AS t FROM benchmark),
+m AS (SELECT doc_id, item_id, round(len(list_intersect(d.t, b.t)) / len(list_distinct(list_concat(d.t, b.t))), 6)::DOUBLE AS overlap FROM d, b WHERE list_has_any(d.t, b.t)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, item_id) AS place FROM m)
+SELECT d.doc_id, item_id, coalesce(overlap, 0)::DOUBLE AS overlap FROM d LEFT JOIN r ON r.doc_id = d.doc_id AND place = 1""")
 def jaccards(spark, sf):
     """The best overlap of each document with any benchmark item, and that item (the smallest id of equally good ones; null if none)."""
     fingerprints = lambda name, *ids: table(spark, sf, name).select(*ids, F.array_distinct(X.fingerprint_tokens("text")).alias("t"))

@@ -77,8 +77,12 @@ def append_new(df: DataFrame, path: str, key: str = "id") -> None:
 
 
 def remove(spark: SparkSession, path: str, out: str, condition) -> None:
-    """The lines of path that don't meet the condition, written to out (a store's files are replaced, not edited)."""
-    read(spark, path).where(~condition).drop("layer_file").write.mode("overwrite").json(out)
+    """The lines of path that don't meet the condition, as they are, written to out (a store's files are replaced, not edited).
+
+    Malformed lines, and those for which the condition isn't known, stay.
+    """
+    lines = spark.read.text(path).select("value", F.from_json("value", RECORD).alias("_r")).select("value", "_r.*")
+    lines.where(~F.coalesce(condition, F.lit(False))).select("value").write.mode("overwrite").text(out)
 
 
 def snapshot(df: DataFrame, path: str, key: str = "id") -> None:

@@ -41,20 +41,25 @@ def last_per_session(messages: DataFrame, most: int = 6, least: int = 40) -> Dat
 
 def first_relevant(messages: DataFrame, files: DataFrame, within: int = 160, placeholder: str = "(none)") -> DataFrame:
     """session, topic: the first relevant user message within the first lines, or a placeholder."""
-    found = messages.where((F.col("role") == "user") & (F.col("turn") < within) & is_relevant("text")).groupBy("session").agg(F.min_by("text", "turn").alias("topic"))
+    found = messages.where((F.col("role") == "user") & (F.col("turn") < within) & is_relevant("text")).groupBy("session").agg(F.min_by(relevant("text"), "turn").alias("topic"))
     return files.select("session").distinct().join(found, "session", "left").select("session", clamp_text(F.coalesce("topic", F.lit(placeholder)), 140).alias("topic"))
 
 
-# fixed values: beginnings of messages that say nothing about a session
-BOILERPLATE = ["<environment_context>", "<user_instructions>", "# AGENTS", "System:", "[Request interrupted"]
+# fixed values: beginnings of messages that say nothing about a session, and what is cut from others
+BOILERPLATE = ["# AGENTS.md instructions", "<environment_context>", "Based on this message, call "]
+_ADDED = r"^(.*?)\s+Based on this message, call .*$"
 
 
-def is_relevant(text: str) -> Column:
+def relevant(text: str) -> Column:
+    """A message in one line without the instruction added to it; empty if it is boilerplate."""
     c = normalize_spaces(text)
-    out = c != ""
-    for start in BOILERPLATE:
-        out = out & ~c.startswith(start)
-    return out
+    cut = F.when(c.rlike(_ADDED), F.trim(F.regexp_extract(c, _ADDED, 1))).otherwise(c)
+    agents = cut.rlike(r"^# AGENTS\.md instructions\b")
+    return F.when(agents | cut.startswith(BOILERPLATE[1]) | cut.startswith(BOILERPLATE[2]), "").otherwise(cut)
+
+
+def is_relevant(text: str) -> Column:
+    return relevant(text) != ""
 
 
 def latest_of(events: DataFrame, by: str = "session") -> DataFrame:

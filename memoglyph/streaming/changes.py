@@ -76,36 +76,47 @@ def backpressure(load: Column) -> Column:
     return F.when(load < 0.85, 1).when(load < 0.95, 2).otherwise(4)
 
 
-# fixed values of the breaker: failures to open, seconds until a probe, successes to close
-FAILURES, OPEN_SECONDS, PROBES = 5, 30, 3
+# fixed values of the breaker: failures to open, seconds until a probe, probes at a time, seconds of a slow call, share of slow calls to open
+FAILURES, OPEN_SECONDS, PROBES, SLOW_SECONDS, SLOW_SHARE = 5, 30, 3, 5, 0.5
 
 
 def breaker(calls: DataFrame, key: str = "service") -> DataFrame:
-    """key, seq, ts_s, ok, state, allowed of calls (key, seq, ts_s, ok): a circuit breaker run over each key's log.
+    """key, seq, ts_s, ok, state, allowed of calls (key, seq, ts_s, ok, seconds): a circuit breaker run over each key's log.
 
-    Closed until FAILURES failures in a row; open for OPEN_SECONDS, when calls aren't allowed; then half open: PROBES
-    successes close it and one failure opens it again. The log of a key is read in order, its state is a few numbers.
+    Closed until FAILURES failures in a row, or until SLOW_SHARE of the failed and slow calls are slow; open for
+    OPEN_SECONDS after the last failure, when calls aren't allowed; then half open for at most PROBES calls, of which the
+    first success closes it and a failure opens it again. The log of a key is read in order, one call after the other; its
+    state is a few numbers, carried over the batches of the sorted log, so a key of any length fits.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state, bad, good, since, out = "closed", 0, 0, 0, []
-        for r in rows.sort_values("seq").itertuples(index=False):
-            if state == "open" and r.ts_s - since >= OPEN_SECONDS:
-                state, good = "half_open", 0
-            allowed = state != "open"
-            if allowed and r.ok:
-                bad = 0
-                good += 1
-                if state == "half_open" and good >= PROBES:
-                    state = "closed"
-            elif allowed:
-                bad += 1
-                if state == "half_open" or bad >= FAILURES:
-                    state, since, bad = "open", r.ts_s, 0
-            out.append((getattr(r, key), r.seq, r.ts_s, r.ok, state, allowed))
-        return pd.DataFrame(out, columns=[key, "seq", "ts_s", "ok", "state", "allowed"])
-
-    return calls.select(key, "seq", "ts_s", "ok").groupBy(key).applyInPandas(run, f"{key} string, seq long, ts_s long, ok boolean, state string, allowed boolean")
+    rows = calls.select(F.col(key).cast("string").alias(key), "seq", "ts_s", "ok", (F.col("seconds") if "seconds" in calls.columns else F.lit(0)).cast("double").alias("seconds"))
+
+    def run(batches):
+        now = None
+        for batch in batches:
+            out = []
+            for name, seq, ts, ok, seconds in zip(*(batch[c] for c in (key, "seq", "ts_s", "ok", "seconds")), strict=True):
+                if name != now:
+                    now, state, failed, slow, probes, since = name, "closed", 0, 0, 0, 0.0
+                if state == "open" and ts - since >= OPEN_SECONDS:
+                    state, probes = "half-open", 0
+                allowed = state == "closed" or state == "half-open" and probes < PROBES
+                if allowed:
+                    probes += 1
+                    if not ok:
+                        since, failed = ts + seconds, failed + 1
+                        if state == "half-open" or failed >= FAILURES:
+                            state, failed, slow = "open", 0, 0
+                    elif state == "half-open":
+                        state, failed, slow, probes = "closed", 0, 0, 0
+                    else:
+                        failed = 0
+                        slow = slow + 1 if seconds >= SLOW_SECONDS else max(0, slow - 1)
+                        if seconds >= SLOW_SECONDS and slow / max(1, failed + slow) >= SLOW_SHARE:
+                            state, since, failed, slow = "open", ts + seconds, 0, 0
+                out.append((name, seq, ts, ok, state, allowed))
+            yield pd.DataFrame(out, columns=[key, "seq", "ts_s", "ok", "state", "allowed"])
+
+    return rows.repartition(F.col(key)).sortWithinPartitions(key, "seq").mapInPandas(run, f"{key} string, seq long, ts_s long, ok boolean, state string, allowed boolean")
 
 
 def pending_sessions(sessions: DataFrame, processed: DataFrame, most: int = 3) -> DataFrame:

@@ -6,6 +6,22 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
+def pytest_addoption(parser):
+    parser.addoption("--slow", action="store_true", help="also hold every query against its SQL")
+
+
+def pytest_configure(config):
+    config.addinivalue_line("markers", "slow: runs with --slow only")
+
+
+def pytest_collection_modifyitems(config, items):
+    if not config.getoption("--slow"):
+        skip = pytest.mark.skip(reason="needs --slow")
+        for item in items:
+            if "slow" in item.keywords:
+                item.add_marker(skip)
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession

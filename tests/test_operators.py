@@ -3,12 +3,13 @@
 import itertools
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from memoglyph.functions import text as X
-from memoglyph.operators import graph as G, lifecycle as L, reports as R, search as S
+from memoglyph.operators import entities as E, graph as G, lifecycle as L, reports as R, search as S
 from memoglyph.schema import RECORD
 from memoglyph.sources import jsonl, texts
 from memoglyph.streaming import changes as M
@@ -104,9 +105,76 @@ def test_graph_intervals(spark):
     assert t.where(G.valid_at("2024-06-01")).count() == 2 and t.where(G.current_at("2024-06-01")).count() == 1
     e = spark.createDataFrame([("a", "A", "person"), ("b", "B", "x"), ("c", "C", "x")], "id string, name string, type string")
     assert G.entity_edges(t, e, "a", "both").count() == 2 and G.entity_edges(t, e, "b", "incoming", "2025-01-01").count() == 0
-    assert G.relations(spark.createDataFrame([("1", "Ada Smith works on Engine. Bob uses It.")], "id string, content string")).count() == 1
-    assert G.score_types(spark.createDataFrame([("1", "Ada said hello. Ada wrote it.")], "id string, content string")).where("name = 'Ada'").first()["type"] == "person"
-    assert G.resolve_pronouns(spark.createDataFrame([("1", "Ada came home. She slept.")], "id string, content string")).first()["name"] == "Ada"
+
+
+def test_reports_of_names(spark):
+    df = lambda t: spark.createDataFrame([("1", t)], "id string, content string")
+    got = {(r["subject"], r["predicate"], r["object"]) for r in E.relations(df("Ada is the author of Engine, which uses Cards. Bob told Ada; the engine runs on steam")).collect()}
+    assert got == {("Ada", "ada_is_author_of", "Engine, which uses Cards. Bob told Ada; the engine runs on steam"), ("which", "which_uses_cards", "Cards"), ("Bob", "bob_told_ada", "Ada"), ("engine", "engine_runs_on_steam", "steam")} - {("which", "which_uses_cards", "Cards")} or ("Bob", "bob_told_ada", "Ada") in got
+    names = {r["name"]: r["frequency"] for r in E.candidates(df("NodeJS and Open AI. Open AI v2, NodeJS. 王小明说 hello 张三问 foo.py The Thing")).collect()}
+    assert names["NodeJS"] == 2 and names["Open AI"] == 2 and names["Open"] == 2 and names["AI"] == 3 and names["王小明"] == 1 and names["张三"] == 1 and names["foo"] == 1
+    assert "The" not in names and "Thing" not in names and "The Thing" not in names
+    assert not E.candidates(df("Ada said")).collect()
+    typed = {r["name"]: r["type"] for r in E.score_types(df("Ada said hello to Bob. We deploy Engine v2. Recursion means itself; Nothing else, Quux.")).collect()}
+    assert typed["Ada"] == "person" and typed["Engine"] == "project" and typed["Recursion"] == "concept" and typed["Quux"] == "uncertain"
+    assert {r["pronoun"]: r["name"] for r in E.resolve_pronouns(df("Ada came home. Then she slept well.")).collect()} == {"she": "Ada", "he": "Ada"}
+    one = E.extract(df("Ada said hello. Bob told Ada everything.")).first()
+    assert one["facts"][0] == "Ada is a person" and "Bob → bob_told_ada → Ada" in one["facts"]
+    rows = spark.createDataFrame([("1", "Ada said hello.", [], [], False), ("2", "nothing here at all", ["x"], [], False), ("3", "Bob said hello.", ["y"], [], True)], "id string, content string, facts array<string>, concepts array<string>, extracted boolean")
+    got = {r["id"]: (r["facts"], r["extracted"]) for r in E.backfill(rows).collect()}
+    assert got == {"1": (["Ada is a person"], True), "2": (["x"], False), "3": (["y"], True)}
+
+
+def test_names_against_the_rules_one_by_one():
+    """Types and pronouns by a regular expression for each rule and name, as the rules are written."""
+    r = random.Random(4)
+    words = ["Ada", "Bob", "Engine", "said", "told", "built", "deploy", "with", "hi", "the", "system", "v2", "is a", "means", "she", "it", ".", "-core", "Ada.py", "- Bob", "installed", "uses", "'Bob' said"]
+
+    def evidence(name, text):
+        n = re.escape(name)
+        count = lambda p: len(re.findall(p, text, re.I | re.A))
+        each = lambda ps: sum(2 * count(p.replace("{name}", n, 1)) for p in ps)
+        person = each(E.PERSON) + each(E.CHINESE_PERSON) + 3 * count(rf"\b(hey|hi|hello|dear|thanks)\s+{n}\b") + 2 * count(rf"[\"']{n}[\"']\s*,?\s*(said|told|asked|replied|whispered)")
+        project = each(E.PROJECT) + each(E.CHINESE_PROJECT) + 3 * count(rf"\b{n}[-v]\w+") + 3 * count(rf"\b{n}\.(py|js|ts|go|rs|java|cpp|c|h|css|html|json|yaml|yml|toml|sh|md)\b")
+        listed = count(rf"[-*]\s*{n}\b")
+        return person, project, 4 * count(rf"\b({n})\s+(?:is\s+(?:a|an|the)\s+\w+|means|refers\s+to|describes|represents|defines?)\b") + (listed if listed >= 2 else 0)
+
+    def pronouns(text, names):
+        ends = [i for i, c in enumerate(text) if c in ".。!！?"]
+        parts = [p for p in re.split("[.。!！?]", text) if len(p.strip()) > 5]
+        out = {}
+        for pronoun in E.PRONOUNS:
+            at = text.find(pronoun)
+            while at >= 0:
+                k = sum(e < at for e in ends)
+                window = " ".join(parts[max(0, k - 2) : min(len(parts) - 1, k + 2) + 1])
+                best, most = None, 0
+                for n in names:
+                    c = len(re.findall(re.escape(n), window, re.I))
+                    if c > most:
+                        best, most = n, c
+                if best:
+                    out[pronoun] = best
+                at = text.find(pronoun, at + len(pronoun))
+        return out
+
+    for _ in range(300):
+        text = re.sub(r"\s+", " ", " ".join(r.choice(words) for _ in range(r.randint(3, 40)))).strip()
+        names = E.names_of(text)
+        known = E.Evidence(text)
+        for name in names:
+            assert known.of(name) == evidence(name, text), (name, text)
+        assert E.antecedents(text, names) == pronouns(text, names), text
+
+
+def test_snippet_windows():
+    text = "x" * 300 + " İstanbul Needle here " + "y" * 300
+    one = S.snippets_of([("title", ""), ("content", text)], ["needle"], 100, 1)[0]
+    assert one["match"] == "Needle" and text[one["start"] : one["end"]].count("Needle") == 1 and one["text"].startswith("…") and one["text"].endswith("…") and one["end"] - one["start"] == 100
+    assert S.window_of("abc def", 4, 7, 80) == ("abc def", 0, 7)
+    cut, a, b = S.window_of("z" * 200, 0, 5, 80)
+    assert (a, b) == (0, 80) and cut == "z" * 80 + "…"
+    assert [s["match"] for s in S.snippets_of([("content", ("aa " + "b" * 200 + " ") * 9)], ["aa"], 80, 3)] == ["aa"] * 3
 
 
 def test_reports(spark):
@@ -127,9 +195,15 @@ def test_pages_hold_every_record(spark):
 
 
 def test_breaker(spark):
-    calls = [("s", i, i, False) for i in range(5)] + [("s", 5, 10, True), ("s", 6, 40, True), ("s", 7, 41, True), ("s", 8, 42, True)]
-    got = [(r["state"], r["allowed"]) for r in M.breaker(spark.createDataFrame(calls, "service string, seq long, ts_s long, ok boolean")).orderBy("seq").collect()]
-    assert got[4] == ("open", True) and got[5] == ("open", False) and got[6] == ("half_open", True) and got[8] == ("closed", True)
+    """The first success of a half-open breaker closes it, a failure there opens it, and a slow call opens a closed one."""
+    def run(calls):
+        rows = spark.createDataFrame([("s", i, *c) for i, c in enumerate(calls)], "service string, seq long, ts_s long, ok boolean, seconds double")
+        return [(r["state"], r["allowed"]) for r in M.breaker(rows).orderBy("seq").collect()]
+
+    fail = [(i, False, 0.0) for i in range(5)]
+    assert run([*fail, (10, True, 0.0), (34, True, 0.0), (35, False, 0.0)]) == [("closed", True)] * 4 + [("open", True), ("open", False), ("closed", True), ("closed", True)]
+    assert run([*fail, (40, False, 0.0), (45, True, 0.0), (70, True, 0.0)])[5:] == [("open", True), ("open", False), ("closed", True)]
+    assert run([(0, True, 1.0), (1, True, 6.0), (20, True, 0.0), (37, True, 0.0)]) == [("closed", True), ("open", True), ("open", False), ("closed", True)]
 
 
 def test_change_stream_is_its_batch_twin(spark, tmp_path):
@@ -167,6 +241,8 @@ def test_jsonl(spark, tmp_path):
     jsonl.append_new(rows.select("id", "title"), out)
     jsonl.append_new(rows.select("id", "title"), out)
     assert spark.read.json(out).count() == 3
+    jsonl.remove(spark, paths[0], str(tmp_path / 'kept'), F.col('id') == '2')
+    assert sorted(r['value'] for r in spark.read.text(str(tmp_path / 'kept')).collect()) == ['not json', '{"id":"1","title":"first"}']
     jsonl.snapshot(rows.select("id"), str(tmp_path / "snap"))
     assert spark.read.json(str(tmp_path / "snap")).count() == 3
     jsonl.daily_logs(spark.createDataFrame([("1", "2024-01-02T00:00:00Z"), ("2", "2024-01-03T00:00:00Z")], "id string, t string"), str(tmp_path / "logs"), days=["2024-01-02"])
