@@ -47,6 +47,8 @@ class WordBpe:
         self.tokens = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.added_pattern = re.compile("(" + "|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        #: a character that every added token has, if there is one: a text without it has none of them
+        self.added_mark = next((c for c in min(self.added, key=len) if all(c in a for a in self.added)), "") if self.added else ""
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         kinds = {n["type"] for n in spec["normalizer"]["normalizers"]}
@@ -147,7 +149,7 @@ class WordBpe:
 
     def parts_of(self, text: str):
         """The text between added tokens, with None, and each added token with its id."""
-        if self.added_pattern is None or "<" not in text:
+        if self.added_pattern is None or self.added_mark not in text:
             yield text, None
             return
         for part in self.added_pattern.split(text):
