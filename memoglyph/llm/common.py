@@ -107,7 +107,7 @@ def joined_hot(df: DataFrame, found: DataFrame, key: str, most: int = BROADCAST_
     if hot.isEmpty():
         return df.join(found, key)
     marked = joined_small(df, hot.withColumn("_hot", F.lit(True)), [key])
-    some = joined_small(marked.where("_hot").drop("_hot"), checkpointed(found.join(hot, key)), [key], "inner", most)
+    some = joined_small(marked.where("_hot").drop("_hot"), checkpointed(joined_small(found, hot, [key], "inner")), [key], "inner", most)
     return marked.where("_hot IS NULL").drop("_hot").join(found, key).unionByName(some)
 
 
