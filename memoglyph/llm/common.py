@@ -54,7 +54,21 @@ def arrow_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField],
                 made = step(*(piece.column(i) for i in at))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:n_kept], *made], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(giving_back(run), schema)
+
+
+def giving_back(run):
+    """A pass over batches that returns its memory to the system in the end: Python workers outlive tasks and stages."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS.clear()
+            pa.default_memory_pool().release_unused()
+            pa.system_memory_pool().release_unused()  # trims the heap that Python's and numpy's objects were on
+
+    return whole
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
