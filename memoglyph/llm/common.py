@@ -57,16 +57,25 @@ def arrow_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField],
     return source.mapInArrow(giving_back(run), schema)
 
 
+def give_back() -> None:
+    """Returns to the system what arrays and objects of this process took."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # trims the heap that Python's and numpy's objects were on
+
+
 def giving_back(run):
-    """A pass over batches that returns its memory to the system in the end: Python workers outlive tasks and stages."""
+    """A pass over batches that returns its memory to the system in the end: Python workers outlive tasks and stages.
+
+    What it needs is named by module-level functions, which travel to tasks by name: a global that holds data would
+    travel with the function as the driver has it.
+    """
 
     def whole(batches):
         try:
             yield from run(batches)
         finally:
-            _POWERS.clear()
-            pa.default_memory_pool().release_unused()
-            pa.system_memory_pool().release_unused()  # trims the heap that Python's and numpy's objects were on
+            give_back()
 
     return whole
 
