@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memoglyph.llm import bpe, html_text, langid, mixing, near_dedup, quality, sharding, toxicity, vectors
+from memoglyph.llm import bpe, html_text, langid, mixing, near_dedup, quality, sharding, toxicity, trie, vectors
 
 QUERIES = {
     "op1_ann": vectors.op1_ann,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_language_id": langid.op9_language_id,
     "op10_html": html_text.op10_html,
+    "op11_trie": trie.op11_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": vectors.OP2_SQL,
     "op4_near_dedup": near_dedup.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op11_trie": trie.ORACLE_SQL,
 }
