@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memoglyph.llm import bpe, html_text, langid, mixing, near_dedup, quality, sharding, toxicity, trie, vectors
+from memoglyph.llm import bpe, clusters, html_text, langid, mixing, near_dedup, quality, sharding, toxicity, trie, vectors
 
 QUERIES = {
     "op1_ann": vectors.op1_ann,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_html": html_text.op10_html,
     "op11_trie": trie.op11_trie,
+    "op12_clusters": clusters.op12_clusters,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": vectors.OP2_SQL,
     "op4_near_dedup": near_dedup.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op11_trie": trie.ORACLE_SQL,
+    "op12_clusters": clusters.ORACLE_SQL,
 }
