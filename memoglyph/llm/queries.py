@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memoglyph.llm import bpe, clusters, html_text, langid, mixing, near_dedup, quality, sharding, toxicity, trie, vectors
+from memoglyph.llm import bpe, clusters, html_text, langid, mixing, near_dedup, packing, quality, sharding, toxicity, trie, vectors
 
 QUERIES = {
     "op1_ann": vectors.op1_ann,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html": html_text.op10_html,
     "op11_trie": trie.op11_trie,
     "op12_clusters": clusters.op12_clusters,
+    "op13_packing": packing.op13_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": vectors.OP2_SQL,
