@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from memoglyph.llm.common import arrow_columns, table
 
-#: Chunks of text between white space of which a task remembers the ids, in each of two generations.
-REMEMBERED = 100_000
+#: Bytes of remembered chunks (text between white space) and their ids in a task, in each of two generations; pairs known in a task.
+REMEMBERED_BYTES, KNOWN_PAIRS = 24 << 20, 150_000
 _END = 0xF0000  # a symbol that ends a word is its byte from here
 _NOT_SPACE_HERE = re.compile("[\x1c-\x1f]")  # str.split takes these as white space, the pattern does not
 _NEVER = 1 << 60
@@ -74,8 +74,7 @@ class WordBpe:
         for i, t in text.items():
             self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
-        self.known: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.known: dict[int, bool] = {}
 
     def _meet(self, a: int, b: int, last: int) -> bool:
         """Whether no merge of a rank below `last` joins a's right edge with b's left edge."""
@@ -100,11 +99,11 @@ class WordBpe:
         return True
 
     def compatible(self, a: int, b: int) -> bool:
-        found = self.known.get((a, b))
+        found = self.known.get(a << 32 | b)
         if found is None:
-            if len(self.known) >= 1_000_000:
+            if len(self.known) >= KNOWN_PAIRS:
                 self.known.clear()
-            found = self.known[a, b] = self._meet(a, b, _NEVER)
+            found = self.known[a << 32 | b] = self._meet(a, b, _NEVER)
         return found
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -169,12 +168,17 @@ class _Chunks(dict):
 
     def __init__(self, bpe: WordBpe, as_text: bool, as_tokens: bool, as_bytes: bool):
         super().__init__()
-        self.bpe, self.old, self.wanted = bpe, {}, (as_text, as_tokens, as_bytes)
+        self.bpe, self.old, self.size, self.wanted = bpe, {}, 0, (as_text, as_tokens, as_bytes)
 
     def __missing__(self, chunk: str):
         found = self.old.get(chunk)
         if found is None:
             found = self.made(self.bpe.chunk(chunk))
+        self.size += 400 + len(chunk) + len(found[1]) + len(found[2]) + len(found[3])  # a tuple, its parts and the entry
+        if self.size > REMEMBERED_BYTES:
+            self.old = dict(self)
+            self.clear()
+            self.size = 0
         self[chunk] = found
         return found
 
@@ -182,11 +186,6 @@ class _Chunks(dict):
         as_text, as_tokens, as_bytes = self.wanted
         return len(ids), " ".join(map(str, ids)) if as_text else "", self.bpe.decode(ids) if as_tokens else "", np.array(ids, np.int32).tobytes() if as_bytes else b""
 
-    def aged(self):
-        if len(self) > REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-
 
 def load(path: str | None = None) -> bytes:
     """The tokenizer file; by default the word-level one of the installed public tokenizers."""
@@ -236,7 +235,6 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
                 if digests:
                     sha.append(hashlib.sha256(id_text.encode()).hexdigest())
                     sha_text.append(hashlib.sha256(token_text.encode()).hexdigest())
-                chunks.aged()
             out = [pa.array(count, pa.int64())]
             if ids:
                 starts = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
