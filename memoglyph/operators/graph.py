@@ -17,6 +17,46 @@ def valid_at(as_of, start="valid_from", end="valid_to") -> Column:
     return (F.col(start).isNull() | (F.col(start) <= t)) & (F.col(end).isNull() | (F.col(end) >= t))
 
 
+#: Days from 1970-01-01 that the bins of as_of_join() count from (year 1), and their levels: 2 ** LEVELS days.
+FIRST_DAY, LEVELS = -719_162, 22
+
+
+def _day(text: Column) -> Column:
+    """Days since FIRST_DAY of a text that begins with a date; null for others."""
+    day = F.unix_date(F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")) - F.lit(FIRST_DAY)
+    return F.when(day.between(0, (1 << LEVELS) - 1), day)
+
+
+def covering_bins(start: Column, end: Column) -> Column:
+    """array<struct<level, bin>>: the fewest bins of 2 ** level days that make up start..end, at most two a level."""
+    begin = F.struct(start.cast("long").alias("lo"), (end + 1).cast("long").alias("hi"), F.array().cast("array<struct<level:int,bin:bigint>>").alias("bins"))
+
+    def step(s, level):
+        piece = lambda b: F.struct(level.cast("int").alias("level"), b.alias("bin"))
+        open_ = s["lo"] < s["hi"]
+        low, high = open_ & (s["lo"] % 2 == 1), open_ & (s["hi"] % 2 == 1)
+        found = F.filter(F.array(F.when(low, piece(s["lo"])), F.when(high, piece(s["hi"] - 1))), lambda x: x.isNotNull())
+        lo, hi = s["lo"] + low.cast("long"), s["hi"] - high.cast("long")
+        return F.struct(F.shiftright(lo, 1).alias("lo"), F.shiftright(hi, 1).alias("hi"), F.concat(s["bins"], F.array_distinct(found)).alias("bins"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), begin, step, lambda s: s["bins"])
+
+
+def as_of_join(triples: DataFrame, times: DataFrame, at: str = "at") -> DataFrame:
+    """triples joined with the times (column `at`, text that begins with a date) at which they are valid, both ends included.
+
+    An interval is cut into the few bins of 1, 2, 4, ... days that make it up, and a time lies in one bin of each level, so
+    both meet by equality: no loop over pairs, and a long or open interval (a null or unreadable end) takes no more than two
+    bins a level. Parts of a day are settled by the comparison of valid_at() afterwards. Times that aren't dates, and null
+    ones, meet nothing; repeated times and triples count as often as they stand.
+    """
+    start, end = F.coalesce(_day(F.col("valid_from")), F.lit(0)), F.coalesce(_day(F.col("valid_to")), F.lit((1 << LEVELS) - 1))
+    cut = triples.withColumn("_b", F.explode(covering_bins(start, end))).select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin")).drop("_b")
+    day = _day(F.col(at))
+    held = times.where(day.isNotNull()).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("_bin", F.floor(day / F.pow(F.lit(2.0), F.col("_level"))).cast("long"))
+    return cut.join(held, ["_level", "_bin"]).where(valid_at(F.col(at))).drop("_level", "_bin")
+
+
 def current_at(as_of) -> Column:
     """Validity with the end excluded."""
     return F.col("valid_to").isNull() | (F.col("valid_to") > F.lit(as_of))

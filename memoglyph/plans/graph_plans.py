@@ -36,6 +36,13 @@ def as_of(spark, sf):
     return triples(spark, sf).where(G.valid_at(AS_OF)).select("subject", "object", "valid_from", "valid_to")
 
 
+@query("kg_asof_times", f"WITH {_T}, m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-01') AS at FROM orders) SELECT m.at, object, count(*)::BIGINT AS n FROM t JOIN m ON valid_from <= m.at AND (valid_to IS NULL OR valid_to >= m.at) GROUP BY ALL")
+def as_of_times(spark, sf):
+    """How many triples of each object are valid at the first of each month."""
+    months = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-01").alias("at")).distinct()
+    return G.as_of_join(triples(spark, sf), months).groupBy("at", "object").agg(F.count("*").alias("n"))
+
+
 @query("kg_entity_both", f"WITH {_T}, k AS (SELECT subject FROM t GROUP BY subject ORDER BY count(*) DESC, subject LIMIT 1), o AS (SELECT object FROM t GROUP BY object ORDER BY count(*) DESC, object LIMIT 1) SELECT 'outgoing' AS direction, e.name AS other, t.valid_from, t.valid_to IS NULL AS current FROM t JOIN k USING (subject) JOIN e ON e.id = t.object UNION ALL SELECT 'incoming', e.name, t.valid_from, t.valid_to IS NULL FROM t JOIN o USING (object) JOIN e ON e.id = t.subject")
 def entity(spark, sf):
     t, e = triples(spark, sf), entities(spark, sf)
@@ -168,10 +175,13 @@ def backfill(spark, sf):
     return E.backfill(rows).select("id", "facts", "concepts", "extracted")
 
 
-@query("kg_path_match", "SELECT a.n_name AS a, b.r_name AS b FROM nation a JOIN region b ON '/' || b.r_regionkey || '/' || a.n_nationkey = '/' || b.r_regionkey OR starts_with('/' || a.n_regionkey || '/' || a.n_nationkey, '/' || b.r_regionkey || '/')")
+@query("kg_path_match", r"""
+WITH p AS (SELECT page_id, regexp_replace(url, '/+$', '') AS p FROM pages WHERE url IS NOT NULL), d AS (SELECT DISTINCT regexp_replace(p, '/[^/]*$', '') AS d FROM p)
+SELECT page_id, d AS folder, length(p) - length(d) AS below FROM p JOIN d ON p = d OR starts_with(p, d || '/') OR starts_with(d, p || '/')""")
 def paths(spark, sf):
-    from memoglyph.sources.texts import path_matches
+    """Every page with each folder that holds it, is it or lies within it."""
+    from memoglyph.sources.texts import path_join
 
-    a = table(spark, sf, "nation").select(F.col("n_name").alias("a"), F.concat(F.lit("/"), F.col("n_regionkey").cast("string"), F.lit("/"), F.col("n_nationkey").cast("string")).alias("p"))
-    b = table(spark, sf, "region").select(F.col("r_name").alias("b"), F.concat(F.lit("/"), F.col("r_regionkey").cast("string")).alias("q"))
-    return a.join(F.broadcast(b), path_matches(F.col("p"), F.col("q"))).select("a", "b")
+    p = table(spark, sf, "pages").where("url IS NOT NULL").select("page_id", F.regexp_replace("url", "/+$", "").alias("p"))
+    d = p.select(F.regexp_replace("p", "/[^/]*$", "").alias("folder")).distinct()
+    return path_join(p, d, "p", "folder").select("page_id", "folder", (F.length("p") - F.length("folder")).alias("below"))

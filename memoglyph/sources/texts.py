@@ -79,6 +79,26 @@ def path_matches(a: Column, b: Column, separator: str = "/") -> Column:
     return (a == b) | F.startswith(a, F.concat(b, F.lit(separator))) | F.startswith(b, F.concat(a, F.lit(separator)))
 
 
+def ancestors(path: Column, separator: str = "/") -> Column:
+    """A path without separators at its end, and every path that holds it."""
+    parts = F.split(F.regexp_replace(path, f"[{re.escape(separator)}]+$", ""), re.escape(separator))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), separator))
+
+
+def path_join(left: DataFrame, right: DataFrame, a: str, b: str, separator: str = "/") -> DataFrame:
+    """Rows of left and right whose paths a and b match as path_matches() says, by equality of paths: no loop over pairs.
+
+    A row travels once for each folder above it, to meet the other side's paths as they are; so each pair is found from
+    the longer path, and equal ones from the left. Columns of both sides must differ in name. Null paths match nothing.
+    """
+    own = lambda df, c: df.withColumn("_up", ancestors(F.col(c), separator)).withColumn("_own", F.element_at("_up", -1))
+    x, y = own(left.where(F.col(a).isNotNull()), a), own(right.where(F.col(b).isNotNull()), b)
+    columns = [*left.columns, *right.columns]
+    down = x.drop("_own").withColumn("_own", F.explode("_up")).join(y.drop("_up"), "_own").select(columns)
+    up = y.withColumn("_at", F.explode(F.slice("_up", F.lit(1), F.size("_up") - 1))).drop("_own").join(x.drop("_up").withColumnRenamed("_own", "_at"), "_at").select(columns)
+    return down.unionByName(up)
+
+
 def board_tasks(tasks: DataFrame, states: list[str], most: int) -> DataFrame:
     """The newest tasks in the given states."""
     return tasks.where(F.col("state").isin(states)).orderBy(F.desc("updated_at"), "id").limit(most)
