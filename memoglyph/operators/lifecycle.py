@@ -128,24 +128,45 @@ def promotion_scores(df: DataFrame, as_of_ms: int, weights=PROMOTION_WEIGHTS, li
     return out.withColumn("score", round_half_up(F.col("_raw"))).withColumn("decision", decision).drop("_raw")
 
 
-def overlapping_pairs(df: DataFrame, least: float = OVERLAP) -> DataFrame:
+#: Rows that meet on one token (or pair of tokens) in one block; a larger group is dealt to pairs of blocks.
+MEETING = 1000
+
+
+def overlapping_pairs(df: DataFrame, least: float = OVERLAP, meeting: int = MEETING) -> DataFrame:
     """a, b, overlap: pairs of rows (id, tokens of at most 18) with a Jaccard similarity of at least `least`.
 
     Prefix filtering: with tokens in a common order of rising frequency, two such sets share one of their first
-    n - ceil(least * n) + 1 tokens, so rows meet on rare tokens only, and rows of equal token sets are one until the end,
-    where copies are linked to their smallest id. Hot tokens are last in the order and are hardly ever in a prefix.
+    n - ceil(least * n) + 1 tokens, so rows meet on rare tokens only; and two of one token more, so rows meet on a frequent
+    token only together with a second one. What still brings more than `meeting` rows together is dealt to pairs of blocks,
+    each a join key of its own, so no task gets all rows of a token. Sizes and places in the sets rule pairs out before they
+    are compared, and a pair counts where its first common tokens are, so none comes twice. Rows of equal token sets are
+    one until the end, where copies are linked to their smallest id.
     """
-    sets = df.select("id", F.array_sort(F.array_distinct("tokens")).alias("set")).where(F.size("set") > 0)
+    sets = checkpointed(df.select("id", F.array_sort(F.array_distinct("tokens")).alias("set"))).where(F.size("set") > 0)  # tokens are made once
     same = checkpointed(sets.groupBy("set").agg(F.min("id").alias("id")))
     copies = sets.join(same.withColumnRenamed("id", "a"), "set").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("overlap"))
-    frequency = same.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    ordered = same.select("id", F.explode("set").alias("token"), F.size("set").alias("size")).join(frequency, "token")
-    ordered = ordered.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("n", "token")))
-    prefix = ordered.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(least)) + 1).select("id", "token", "size")
-    left, right = prefix.select(F.col("id").alias("a"), "token", F.col("size").alias("m")), prefix.select(F.col("id").alias("b"), "token", F.col("size").alias("n"))
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.least("m", "n") >= F.greatest("m", "n") * F.lit(least))).select("a", "b").distinct()
-    full = met.join(same.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(same.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return full.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("overlap")).where(F.col("overlap") >= least).unionByName(copies)
+    single = same.select("id", F.explode("set").alias("token"))
+    frequency = single.groupBy("token").agg(F.count("*").alias("n"))
+    ordered = single.join(frequency, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    size = F.size("t")
+    first = size - F.ceil(size * F.lit(least)).cast("int") + 1
+    pairs_of = lambda x, p: F.transform(F.slice("t", p + 2, F.greatest(first - p, F.lit(0))), lambda y: F.struct(x["token"].alias("k1"), y["token"].alias("k2"), (p + 1).alias("place")))
+    alone = lambda x, p: F.array(F.struct(x["token"].alias("k1"), F.lit("").alias("k2"), (p + 1).alias("place")))
+    keys = F.flatten(F.transform(F.slice("t", F.lit(1), first), lambda x, p: F.when(x["n"] > meeting, pairs_of(x, p)).otherwise(alone(x, p)) if least > 0.5 else alone(x, p)))
+    met = checkpointed(ordered.select("id", F.col("t.token").alias("set"), F.inline(keys)))
+    large = checkpointed(met.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") > meeting).select("k1", "k2", F.ceil(F.col("n") / meeting).cast("int").alias("blocks")))
+    small_list = large.limit(100_001).count() <= 100_000
+    dealt = met.join(F.broadcast(large) if small_list else large, ["k1", "k2"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = dealt.select("k1", "k2", F.col("own").alias("lo"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("hi"), F.col("id").alias("a"), F.col("set").alias("x"), F.col("place").alias("p"))
+    right = dealt.select("k1", "k2", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("lo"), F.col("own").alias("hi"), F.col("id").alias("b"), F.col("set").alias("y"), F.col("place").alias("q"))
+    m, n = F.size("x"), F.size("y")
+    need = F.ceil((m + n) * F.lit(least / (1 + least)) - 1e-9)
+    may = ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))) & (F.least(m, n) >= F.greatest(m, n) * F.lit(least)) & (F.least(m - F.col("p"), n - F.col("q")) + 1 >= need)
+    both = F.array_intersect("x", "y")
+    here = (F.get(both, F.lit(0)) == F.col("k1")) & ((F.col("k2") == "") | (F.get(both, F.lit(1)) == F.col("k2")))
+    found = left.join(right, ["k1", "k2", "lo", "hi"]).where(may).where(here).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), jaccard(F.col("x"), F.col("y")).alias("overlap"))
+    return found.where(F.col("overlap") >= least).unionByName(copies)
 
 
 def components(pairs: DataFrame) -> DataFrame:
