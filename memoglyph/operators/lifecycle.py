@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from memoglyph.functions.classify import first_case, lowered
 from memoglyph.functions.numeric import jaccard, round_half_up
@@ -17,17 +17,22 @@ AUTO_FROM, REVIEW_FROM, OVERLAP, NEAR_TIE = 0.65, 0.40, 0.70, 0.10
 PROMOTION_WEIGHTS, HALF_LIFE = (0.30, 0.35, 0.25, 0.10), 30.0
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share.
 
     Where that is unset, a local master gets a temporary folder and a cluster an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="memoglyph-"))
+    return folder or sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage, in shared_folder()."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -189,7 +189,7 @@ def indexed(entries: DataFrame) -> DataFrame:
     return entries.withColumn("tokens", search_tokens("text")).drop(*unread)
 
 
-def search(entries: DataFrame, request: SearchRequest, embeddings: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
+def search(entries: DataFrame, request: SearchRequest, embeddings: DataFrame | None = None, query_vector: list[float] | None = None, index=None, neighbours=None) -> DataFrame:
     """The best entries of a request, one for each record: id, record_id, field, score, bm25, dense, rank.
 
     entries: id, title, description, layer, scope, source_kind, freshness, task_state, age_days and, as entries_of() makes
@@ -198,6 +198,10 @@ def search(entries: DataFrame, request: SearchRequest, embeddings: DataFrame | N
     decayed, raised by matching fields; then the best entry of each record counts. With a diversity the first hundred
     records are chosen again by marginal relevance. Without embeddings, or where they give nothing, a dense or hybrid
     request is answered by BM25. Entries that indexed() gave tokens aren't tokenised again.
+
+    index: an InvertedIndex (filled) of these entries; a request without filters reads its postings, with filters corpus figures
+    are those of the filtered entries, so these are counted. neighbours: a function from (vector, k) to the nearest
+    (record_id, entry_id, embedding), as a Neighbours index has; then only these are scored.
     """
     for name, made in (("record_id", F.col("id")), ("field", F.lit("content"))):
         if name not in entries.columns:
@@ -208,8 +212,11 @@ def search(entries: DataFrame, request: SearchRequest, embeddings: DataFrame | N
         entries = checkpointed(indexed(entries))
     kept = filtered(entries, request.filters)
     tokens = [t for t in re.findall(r"[a-z0-9][a-z0-9_\-./:]+|[一-鿿]{2,}", request.query.lower())]
-    sparse = checkpointed(bm25_okapi(kept.select("id", "tokens"), list(dict.fromkeys(tokens))))
+    terms = list(dict.fromkeys(tokens))
+    sparse = checkpointed(index.scores(terms, okapi=True) if index is not None and not request.filters else bm25_okapi(kept.select("id", "tokens"), terms))
     mode, found = request.mode, None
+    if mode != "bm25" and neighbours is not None and query_vector is not None:
+        embeddings = neighbours(query_vector, request.limit)
     if mode != "bm25" and embeddings is not None and query_vector is not None:
         mine = kept.where(F.col("field") == "content").select(F.col("record_id").alias("_of"), F.col("id").alias("_id"))
         known = embeddings.join(mine, F.col("record_id") == F.col("_of")).select(F.col("_id").alias("record_id"), "entry_id", "embedding")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from memoglyph.functions import classify as C, numeric as N, text as X
 from memoglyph.operators import search as S
+from memoglyph.operators.inverted import InvertedIndex
+from memoglyph.operators.lifecycle import checkpointed, shared_folder
 from memoglyph.plans.catalog import query
-from memoglyph.views import AS_OF_MS, DAY_MS, records, table
+from memoglyph.views import AS_OF_MS, DAY_MS, records, signature, table
 
 QUERY = "the anon of thth license with"
 _WORDS = "', '".join(QUERY.split())
@@ -29,16 +33,36 @@ def _search_entries(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.search_tokens("text").alias("tokens"))
 
 
+#: Of written indexes; those of another one are made anew.
+FORMAT = 2
+
+
+def _index(spark, sf) -> InvertedIndex:
+    """The index of documents by ranking tokens: written when the tables are first met in this state, then read."""
+    index = InvertedIndex(spark, f"{shared_folder(spark)}/index{FORMAT}-documents-{signature(spark, sf, 'documents')}")
+    if not index.store.has("postings"):
+        index.add(_ranking_entries(spark, sf), once="built")
+    return index
+
+
 @query("bm25_topk", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY round(score, 6) DESC, doc_id LIMIT 10")
 def bm25_topk(spark, sf):
-    """The ten best documents for a fixed query: a top-k report."""
-    scored = S.bm25(_ranking_entries(spark, sf), QUERY.split()).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "doc_id").limit(10)
+    """The ten best documents for a fixed query, from the written index: a top-k report."""
+    return _index(spark, sf).top(QUERY.split(), 10).withColumnRenamed("id", "doc_id")
+
+
+@query("bm25_index", f"WITH {_BM25}, t AS (SELECT term, df FROM df) SELECT term, df, (SELECT n FROM stats) AS n, round((SELECT mean FROM stats), 6) AS mean FROM t")
+def built(spark, sf):
+    """The index built anew: document frequencies of the query's terms and corpus figures."""
+    index = InvertedIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.add(_ranking_entries(spark, sf))
+    f = index.figures()
+    return index.frequencies(QUERY.split()).select("term", "df", F.lit(f["n"]).alias("n"), F.round(F.lit(f["tokens"] / f["n"]), 6).alias("mean"))
 
 
 @query("bm25_all", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm25")
 def bm25_all(spark, sf):
-    return S.bm25(_ranking_entries(spark, sf), QUERY.split()).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return _index(spark, sf).scores(QUERY.split()).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("bm25_okapi", f"""
@@ -71,13 +95,14 @@ def dense_best(spark, sf):
 
 
 def _document_scores(spark, sf):
-    """Two rankings of documents: BM25, and token overlap over length as a stand-in for a dense score."""
-    sparse = S.bm25(_ranking_entries(spark, sf), QUERY.split())
-    other = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), ((F.col("doc_id") * 37 % 101) / 101.0).alias("score")).where("score > 0.5")
-    return sparse, other
+    """Two rankings of documents: BM25, and the cosine of the embedding of the same number to the first one."""
+    e = table(spark, sf, "embeddings").join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    q = table(spark, sf, "embeddings").orderBy("vec_id").limit(1).first()["embedding"]
+    near = S.dense(e.select(F.col("vec_id").alias("record_id"), F.col("vec_id").alias("entry_id"), F.col("embedding")), list(q)).select("id", "score")
+    return _index(spark, sf).scores(QUERY.split()), near
 
 
-_OTHER = "other AS (SELECT doc_id, (doc_id * 37 % 101) / 101.0::DOUBLE AS score FROM documents WHERE (doc_id * 37 % 101) / 101.0::DOUBLE > 0.5)"
+_OTHER = "qv AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1), other AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS score FROM embeddings, qv WHERE vec_id IN (SELECT doc_id FROM documents) AND list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) > 0)"
 
 
 @query("weighted_fusion", f"WITH {_BM25}, {_OTHER}, a AS (SELECT doc_id, score / max(score) OVER () AS s FROM bm25 WHERE score > 0), b AS (SELECT doc_id, score / max(score) OVER () AS s FROM other) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, round(0.55 * coalesce(a.s, 0) + 0.45 * coalesce(b.s, 0), 6) AS score FROM a FULL JOIN b ON a.doc_id = b.doc_id")
@@ -85,15 +110,15 @@ def weighted(spark, sf):
     return S.fuse_weighted(*_document_scores(spark, sf), 0.55, 0.45).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query("rrf_fusion", f"WITH {_BM25}, {_OTHER}, a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm25), b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM other) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6)::DOUBLE AS score FROM a FULL JOIN b ON a.doc_id = b.doc_id")
+@query("rrf_fusion", f"WITH {_BM25}, {_OTHER}, a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm25), b AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM other) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6)::DOUBLE AS score FROM a FULL JOIN b ON a.doc_id = b.doc_id")
 def rrf(spark, sf):
     sparse, other = _document_scores(spark, sf)
-    return S.fuse_rrf(sparse.withColumn("score", F.round("score", 9)), other).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return S.fuse_rrf(*(x.withColumn("score", F.round("score", 9)) for x in (sparse, other))).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("rank_map", f"WITH {_BM25} SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25")
 def ranks(spark, sf):
-    sparse = S.bm25(_ranking_entries(spark, sf), QUERY.split()).withColumn("score", F.round("score", 9))
+    sparse = _index(spark, sf).scores(QUERY.split()).withColumn("score", F.round("score", 9))
     return S.rank_map(sparse).select(F.col("id").alias("doc_id"), "rank")
 
 
@@ -148,6 +173,16 @@ o AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, i
 SELECT id, record_id, field, round(score, 6)::DOUBLE AS score, round(bm25, 6)::DOUBLE AS bm25, round(dense, 6)::DOUBLE AS dense, (row_number() OVER (ORDER BY score DESC, id))::INTEGER AS rank FROM o WHERE n = 1 ORDER BY o.score DESC, id LIMIT {limit}"""
 
 
+def _search_index(spark, sf, anew: bool = False) -> tuple:
+    """Search entries with tokens, and their index: written when the tables are first met in this state (or anew), then read."""
+    name = uuid.uuid4().hex if anew else f"entries-{signature(spark, sf, 'documents')}"
+    index = InvertedIndex(spark, f"{shared_folder(spark)}/index{FORMAT}-{name}", filled=True)
+    if not index.store.has("postings"):
+        entries = checkpointed(S.indexed(_entries(spark, sf)))
+        index.add(entries, {"entries": entries}, once="built")
+    return index.store.read("entries"), index
+
+
 def _vectors(spark, sf):
     e = table(spark, sf, "embeddings")
     rows = e.select(F.concat(F.lit("r"), F.col("vec_id").cast("string")).alias("record_id"), F.col("vec_id").cast("string").alias("entry_id"), "embedding")
@@ -158,21 +193,30 @@ def _shown(found):
     return found.select("id", "record_id", "field", *(F.round(c, 6).alias(c) for c in ("score", "bm25", "dense")), "rank")
 
 
+@query("entry_index", f", {_ENTRIES}, d AS (SELECT entry_id, CASE WHEN len({_TOKENS}) > 0 THEN {_TOKENS} ELSE ['_empty_'] END AS t FROM entries), w AS (SELECT unnest(t) AS term FROM d) SELECT term, count(*) AS df FROM w WHERE term IN ('{_WORDS}') GROUP BY term", records=True)
+def entry_index(spark, sf):
+    """The search entries and their index built anew: document frequencies of the query's terms."""
+    return _search_index(spark, sf, anew=True)[1].frequencies(QUERY.split())
+
+
 @query("hybrid_search", _search_sql("0.72 * bm25 + 0.28 * dense", 20), records=True)
 def hybrid(spark, sf):
     """The flagship search: entries by BM25 and vectors, blended, weighted by route, decayed, the best of each record, the best twenty."""
-    return _shown(S.search(_entries(spark, sf), S.SearchRequest.of(QUERY, limit=20, half_life_days=30), *_vectors(spark, sf)))
+    entries, index = _search_index(spark, sf)
+    return _shown(S.search(entries, S.SearchRequest.of(QUERY, limit=20, half_life_days=30), *_vectors(spark, sf), index=index))
 
 
 @query("hybrid_search_rrf", _search_sql("coalesce(1.0 / (60 + ra), 0) + coalesce(1.0 / (60 + rb), 0)", 20), records=True)
 def hybrid_rrf(spark, sf):
-    return _shown(S.search(_entries(spark, sf), S.SearchRequest.of(QUERY, limit=20, half_life_days=30, fusion="rrf"), *_vectors(spark, sf)))
+    entries, index = _search_index(spark, sf)
+    return _shown(S.search(entries, S.SearchRequest.of(QUERY, limit=20, half_life_days=30, fusion="rrf"), *_vectors(spark, sf), index=index))
 
 
 @query("hybrid_search_diverse")
 def hybrid_diverse(spark, sf):
     """The same with marginal relevance over the first hundred records."""
-    return _shown(S.search(_entries(spark, sf), S.SearchRequest.of(QUERY, limit=10, half_life_days=30, diversity=0.7), *_vectors(spark, sf)))
+    entries, index = _search_index(spark, sf)
+    return _shown(S.search(entries, S.SearchRequest.of(QUERY, limit=10, half_life_days=30, diversity=0.7), *_vectors(spark, sf), index=index))
 
 
 @query("mmr_topk")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: All ages count from here: 2024-02-01T00:00:00Z in milliseconds.
@@ -58,3 +60,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same records for DuckDB: WITH {RECORDS_SQL} SELECT ... FROM records.
 RECORDS_SQL = "records AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in RECORD_COLUMNS.items()) + " FROM documents)"
+
+
+def signature(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    """A name for the present state of tables: a digest of their paths, sizes, numbers of files and times of change."""
+    parts = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        size = fs.getContentSummary(path)
+        parts += [path.toString(), size.getLength(), size.getFileCount(), fs.getFileStatus(path).getModificationTime()]
+    return hashlib.sha1("|".join(map(str, parts)).encode()).hexdigest()[:20]
