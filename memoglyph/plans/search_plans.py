@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from memoglyph.functions import classify as C, numeric as N, text as X
 from memoglyph.operators import search as S
 from memoglyph.operators.inverted import InvertedIndex
-from memoglyph.operators.lifecycle import checkpointed, shared_folder
+from memoglyph.operators.lifecycle import checkpointed, shared_folder, top_per_key
+from memoglyph.operators.neighbours import Neighbours
 from memoglyph.plans.catalog import query
 from memoglyph.views import AS_OF_MS, DAY_MS, records, signature, table
 
@@ -206,6 +207,34 @@ def hybrid(spark, sf):
     return _shown(S.search(entries, S.SearchRequest.of(QUERY, limit=20, half_life_days=30), *_vectors(spark, sf), index=index))
 
 
+def _graphs(spark, sf) -> Neighbours:
+    """The graphs of the embeddings: written when the table is first met in this state, then read."""
+    index = Neighbours(spark, f"{shared_folder(spark)}/graphs{FORMAT}-{signature(spark, sf, 'embeddings')}", 64)
+    if not index.store.has("blocks"):
+        index.add(_vectors(spark, sf)[0], once="built")
+    return index
+
+
+@query("graph_neighbours", """
+WITH q AS (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label),
+s AS (SELECT q.label, vec_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS score FROM embeddings, q)
+SELECT label, (row_number() OVER (PARTITION BY label ORDER BY round(score, 5) DESC, vec_id::VARCHAR))::INTEGER AS rank, vec_id, round(score, 5) AS score FROM s QUALIFY rank <= 10""")
+def graph_neighbours(spark, sf):
+    """The ten nearest embeddings to each label's first one; up to 2000 vectors a block they are exact."""
+    e = table(spark, sf, "embeddings")
+    queries = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).withColumnRenamed("label", "query_id")
+    found = _graphs(spark, sf).search(queries, 20).withColumn("score", F.round("score", 5))
+    return top_per_key(found.drop("rank"), ["query_id"], 10, F.desc("score"), "entry_id").select(F.col("query_id").alias("label"), "rank", F.col("entry_id").cast("long").alias("vec_id"), "score")
+
+
+@query("hybrid_search_graph", _search_sql("0.72 * bm25 + 0.28 * dense", 20).replace("FROM embeddings, qv WHERE", "FROM (SELECT vec_id, embedding FROM embeddings, qv ORDER BY list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) DESC, vec_id LIMIT 80) AS n, qv WHERE"), records=True)
+def hybrid_graph(spark, sf):
+    """The flagship search with only the neighbours that the graphs give in place of a score for every vector."""
+    entries, index = _search_index(spark, sf)
+    query_vector = _vectors(spark, sf)[1]
+    return _shown(S.search(entries, S.SearchRequest.of(QUERY, limit=20, half_life_days=30), None, query_vector, index=index, neighbours=_graphs(spark, sf).near))
+
+
 @query("hybrid_search_rrf", _search_sql("coalesce(1.0 / (60 + ra), 0) + coalesce(1.0 / (60 + rb), 0)", 20), records=True)
 def hybrid_rrf(spark, sf):
     entries, index = _search_index(spark, sf)
@@ -259,8 +288,6 @@ s AS (SELECT lang, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg, sum((pow(2,
 SELECT lang, round(CASE WHEN best > 0 THEN dcg / best ELSE 0 END, 6)::DOUBLE AS ndcg, round(mrr, 6)::DOUBLE AS mrr, round(hits / 5.0 * (5.0 / least(15, 10)), 6)::DOUBLE AS recall FROM s""")
 def quality(spark, sf):
     scored = S.bm25(_ranking_entries(spark, sf), QUERY.split()).withColumn("score", F.round("score", 9))
-    from memoglyph.operators.lifecycle import top_per_key
-
     top = top_per_key(scored.join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang"), "id"), ["lang"], 20, F.desc("score"), "id")
     graded = top.join(table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") + 2 * F.col("toxic")).alias("g")), "id", "left").groupBy("lang", "rank").agg(F.coalesce(F.max("g"), F.lit(0)).alias("grade"))
     out = S.ranking_quality(graded.select(F.col("lang").alias("query"), "rank", "grade", F.lit(15).alias("n_relevant")), 10)
