@@ -41,7 +41,11 @@ MARKS = re.compile(
     re.I,
 )
 #: Those of them that count inside an article, on elements that group others.
-MARKS_INSIDE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|sponsor(?:ed)?|comments?|comment-list|disqus|newsletter|cookies?|consent|popup|modal)(?=$|[\s_-]|\d)", re.I)
+MARKS_INSIDE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|sponsor(?:ed)?|comments?|comment-list|disqus|newsletter|cookies?|consent|popup|modal|share|sharing|social|related|recommend(?:ed|ations))(?=$|[\s_-]|\d)", re.I
+)
+#: A marked element that holds more than this part of the text is the frame of the page, as a layout with a sidebar, and no part of it.
+FRAME = 0.5
 GROUPS = {"div", "section", "aside", "ul", "ol", "ins"}
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r">|=\s*([\"'])")
@@ -57,6 +61,8 @@ WIDE = 3
 MOST_PAIRS = 2_000_000
 #: Where a line is: outside a marked article, inside it, or set aside by its markup.
 OUTSIDE, INSIDE, SET_ASIDE = 0, 1, 2
+#: What an element's attributes say of it.
+MARKED, HIDDEN = 1, 2
 
 
 def _tags(page: str):
@@ -110,19 +116,39 @@ def _tags(page: str):
     yield page[begun:], None, n
 
 
-def _set_aside(name: str, tag: str, inside_article: bool) -> bool:
-    if name == "header" and not inside_article:
-        return True
+def _set_aside(name: str, tag: str, inside_article: bool) -> int:
+    """0, MARKED by a word of its attributes (or as a header), HIDDEN by them."""
+    found = MARKED if name == "header" and not inside_article else 0
     if " " not in tag and "\n" not in tag and "\t" not in tag:
-        return False
+        return found
     for key, value in _ATTRIBUTE.findall(tag[len(name) + 1 :]):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id", "role", "aria-label") and name not in ("body", "html", "article", "main"):
             if (name in GROUPS and MARKS_INSIDE.search(value)) if inside_article else MARKS.search(value):
-                return True
+                found = MARKED
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return HIDDEN
+    return found
+
+
+def _framed(found: list[tuple[str, int, int, int]], above: list[int]) -> list[tuple[str, int, bool]]:
+    """Blocks (text, article, aside, mark) with whether they are set aside; above has the mark around each mark.
+
+    Where no article is free of marks, those of elements that hold most of the articles' text (of all text, if there is no
+    article) don't count: they say something of the page around it.
+    """
+    own = [(len(t), article, mark) for t, article, aside, mark in found if not aside]
+    frame = [True] + [False] * (len(above) - 1)
+    if not any(article and not mark for _, article, mark in own):
+        own = [(n, mark) for n, article, mark in own if article] or [(n, mark) for n, _, mark in own]
+        under = [0] * len(above)
+        for n, mark in own:
+            under[mark] += n
+        for mark in range(len(above) - 1, 0, -1):
+            under[above[mark]] += under[mark]
+        for mark in range(1, len(above)):
+            frame[mark] = frame[above[mark]] and under[mark] > FRAME * under[0]
+    return [(t, article, aside > 0 or not frame[mark]) for t, article, aside, mark in found]
 
 
 def blocks(page: str | None) -> list[tuple[str, int, bool]]:
@@ -130,16 +156,18 @@ def blocks(page: str | None) -> list[tuple[str, int, bool]]:
 
     Character references are decoded once, white space is one space; a page that isn't HTML is one block. Script, style,
     textarea and title swallow what is up to their end tag. An element that is set aside and never closed isn't; a button,
-    a list of choices and the head end at the next block. A form around an article or main doesn't set it aside. Time and
-    memory are linear in the page.
+    a list of choices and the head end at the next block. A form around an article or main doesn't set it aside, nor does a
+    word in the class, id or role of an element (or a header) that holds most of a page's articles or, without any, of its text.
+    Time and memory are linear in the page.
     """
     page = page or ""
-    out: list[tuple[str, int, bool]] = []
-    open_: list[tuple[str, int, int]] = []  # name, article, aside: 1 by a form only, 2 else
+    out: list[tuple[str, int, int, int]] = []
+    open_: list[tuple[str, int, int, int]] = []  # name, article, aside (1 by a form only, 2 else), mark
+    above = [0]  # the mark around each mark; 0 is none
     count: dict[str, int] = {}
     block_at: list[int] = []  # where open_ has block elements
     last_end: dict[str, int] = {}
-    article = aside = 0
+    article = aside = mark = 0
     held: list[str] = []
 
     def flush():
@@ -147,20 +175,20 @@ def blocks(page: str | None) -> list[tuple[str, int, bool]]:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                out.append((text, article, aside > 0))
+                out.append((text, article, aside, mark))
 
     def close(i: int):
-        nonlocal article, aside
-        left = open_[i - 1][1:] if i else (0, 0)
+        nonlocal article, aside, mark
+        left = open_[i - 1][1:] if i else (0, 0, 0)
         # the end of an inline element is no end of a block
-        if (left[0], left[1] > 0) != (article, aside > 0) or any(name in BLOCK for name, _, _ in open_[i:]):
+        if (left[0], left[1] > 0, left[2]) != (article, aside > 0, mark) or any(o[0] in BLOCK for o in open_[i:]):
             flush()
-        for name, _, _ in open_[i:]:
-            count[name] -= 1
+        for o in open_[i:]:
+            count[o[0]] -= 1
         del open_[i:]
         while block_at and block_at[-1] >= i:
             block_at.pop()
-        article, aside = left
+        article, aside, mark = left
 
     def ends_after(name: str, at: int) -> bool:
         if name not in last_end:
@@ -200,22 +228,26 @@ def blocks(page: str | None) -> list[tuple[str, int, bool]]:
                         close(block_at[-1])
                     now_article = max(article, {"article": 2, "main": 1}.get(name, 0))
                     now_aside = 0 if aside == 1 and name in ("article", "main") else aside
-                    if name in CONTROLS or name in ASIDE and ends_after(name, at) or _set_aside(name, tag, article > 0):
+                    said, now_mark = _set_aside(name, tag, article > 0), mark
+                    if name in CONTROLS or name in ASIDE and ends_after(name, at) or said == HIDDEN or said and article:
                         now_aside = max(now_aside, 1 if name == "form" else 2)
-                    if (now_article, now_aside > 0) != (article, aside > 0):
+                    elif said and not tag.endswith("/>") and name not in ASIDE:
+                        above.append(mark)
+                        now_mark = len(above) - 1
+                    if (now_article, now_aside > 0, now_mark) != (article, aside > 0, mark):
                         flush()
                     if not tag.endswith("/>"):
                         if name in BLOCK:
                             block_at.append(len(open_))
-                        open_.append((name, now_article, now_aside))
+                        open_.append((name, now_article, now_aside, now_mark))
                         count[name] = count.get(name, 0) + 1
-                        article, aside = now_article, now_aside
+                        article, aside, mark = now_article, now_aside, now_mark
         try:
             step = tags.send(going)
         except StopIteration:
             break
     flush()
-    return out
+    return _framed(out, above)
 
 
 def zones(page: list[tuple[str, int, bool]]) -> list[int]:

@@ -130,6 +130,30 @@ def test_nothing_of_an_article_is_lost():
     assert lines('<p>a</p><a "<p>b</p><i x="<p>c') == ["a", "b", "c"] or lines('<p>a</p><a "<p>b</p>')[-1] == "b"
 
 
+ARTICLE = "<h2>Title</h2><p>The long text of the article goes here and on, as articles do.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="layout has-sidebar"><article>{ARTICLE}</article><div class="sidebar">side</div></div>',
+    f'<div class="post no-comments"><article>{ARTICLE}</article></div>',
+    f'<div class="modal-open"><main>{ARTICLE}</main></div>',
+    f'<div id="search-page"><main>{ARTICLE}</main><div class="search">find</div></div>',
+    f"<header><article>{ARTICLE}</article></header>",
+    f'<div class="page with-header">{ARTICLE}<div class="menu">menu</div></div>',
+    f'<div class="has-sidebar"><div class="no-comments"><article>{ARTICLE}</article></div><nav>there</nav></div>',
+    f'<div class="has-sidebar"><article>{ARTICLE}</article><div id="comments"><article>nice</article></div></div>',
+    f'<article>{ARTICLE}<div class="share">tell</div><div class="related">more</div><section class="comments">nice</section></article>',
+    f'<article>{ARTICLE}</article><div id="comments"><article>{"nice " * 50}</article></div>',
+])
+def test_words_on_ancestors_lose_no_article(page):
+    assert html_text.main_text(html_text.blocks(page), None) == "Title\nThe long text of the article goes here and on, as articles do."
+
+
+@pytest.mark.parametrize("page", [f"<nav>{ARTICLE}</nav>", f"<footer><article>{ARTICLE}</article></footer>", f'<div hidden class="page">{ARTICLE}</div>', '<div class="menu">menu</div><div class="footer">foot</div>'])
+def test_menus_and_hidden_parts_stay_out(page):
+    assert html_text.main_text(html_text.blocks(page), None) == ""
+
+
 def test_a_page_of_a_line_of_an_unmarked_neighbour():
     """A line inside an article goes if the neighbour has it outside of any, and stays if menus have it."""
     page = lambda p: {"_path": "/a", "_wide": None} | dict(zip(("_lines", "_sizes", "_zones"), zip(*p, strict=True), strict=True))
