@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from memoglyph.llm.common import arrow_columns, table
 
-#: Bytes of remembered chunks (text between white space) and their ids in a task, in each of two generations; pairs known in a task.
-REMEMBERED_BYTES, KNOWN_PAIRS = 24 << 20, 150_000
+#: Bytes of remembered chunks (text between white space) and their ids in a task, in each of two generations, for a pass among
+#: others and for one that has the executors to itself; a pair of tokens that is known counts for so many of them.
+REMEMBERED_BYTES, REMEMBERED_ALONE, PAIR_BYTES = 24 << 20, 96 << 20, 160
 _END = 0xF0000  # a symbol that ends a word is its byte from here
 _NOT_SPACE_HERE = re.compile("[\x1c-\x1f]")  # str.split takes these as white space, the pattern does not
 _NEVER = 1 << 60
@@ -40,8 +41,9 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder of a tokenizer file with a word pattern, word-end marks and a merge list."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, remembered: int = REMEMBERED_BYTES):
         model = spec["model"]
+        self.most_pairs = remembered // PAIR_BYTES
         self.mark = model.get("end_of_word_suffix") or ""
         vocab = model["vocab"]
         self.tokens = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
@@ -101,7 +103,7 @@ class WordBpe:
     def compatible(self, a: int, b: int) -> bool:
         found = self.known.get(a << 32 | b)
         if found is None:
-            if len(self.known) >= KNOWN_PAIRS:
+            if len(self.known) >= self.most_pairs:
                 self.known.clear()
             found = self.known[a << 32 | b] = self._meet(a, b, _NEVER)
         return found
@@ -166,16 +168,16 @@ class _Chunks(dict):
     Only the parts that are asked for are made; the others are empty.
     """
 
-    def __init__(self, bpe: WordBpe, as_text: bool, as_tokens: bool, as_bytes: bool):
+    def __init__(self, bpe: WordBpe, as_text: bool, as_tokens: bool, as_bytes: bool, most: int = REMEMBERED_BYTES):
         super().__init__()
-        self.bpe, self.old, self.size, self.wanted = bpe, {}, 0, (as_text, as_tokens, as_bytes)
+        self.bpe, self.old, self.size, self.most, self.wanted = bpe, {}, 0, most, (as_text, as_tokens, as_bytes)
 
     def __missing__(self, chunk: str):
         found = self.old.get(chunk)
         if found is None:
             found = self.made(self.bpe.chunk(chunk))
         self.size += 400 + len(chunk) + len(found[1]) + len(found[2]) + len(found[3])  # a tuple, its parts and the entry
-        if self.size > REMEMBERED_BYTES:
+        if self.size > self.most:
             self.old = dict(self)
             self.clear()
             self.size = 0
@@ -197,11 +199,12 @@ def load(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str | None = "ids", decoded: str | None = None, digests: bool = False, keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str | None = "ids", decoded: str | None = None, digests: bool = False, keep: list[str] | None = None, remembered: int = REMEMBERED_BYTES) -> DataFrame:
     """df with n_tokens and, as asked for, the ids (array<int>), the decoded text and SHA-256 digests of both.
 
     The tokenizer file is read on the driver and broadcast (a few MB, whatever the data). Null and empty texts have no
-    ids; a text of any length is encoded whole. No shuffle.
+    ids; a text of any length is encoded whole. No shuffle. remembered: bytes of chunks
+    that a task keeps, twice; fewer take more time.
     """
     spec = df.sparkSession.sparkContext.broadcast(load(path))
     fields = [T.StructField("n_tokens", T.LongType())]
@@ -210,8 +213,8 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
     fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digests else []
 
     def make():
-        bpe = WordBpe(json.loads(spec.value))
-        chunks = _Chunks(bpe, digests, bool(decoded or digests), bool(ids))
+        bpe = WordBpe(json.loads(spec.value), remembered)
+        chunks = _Chunks(bpe, digests, bool(decoded or digests), bool(ids), remembered)
         at = chunks.__getitem__
 
         def step(texts: pa.Array):
@@ -250,4 +253,4 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return encode(docs, ids=None, digests=True, keep=["doc_id"])
+    return encode(docs, ids=None, digests=True, keep=["doc_id"], remembered=REMEMBERED_ALONE)
