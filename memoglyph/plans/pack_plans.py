@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from memoglyph.functions import classify as C
 from memoglyph.operators import packs as P
+from memoglyph.operators.lifecycle import shared_folder
 from memoglyph.plans.catalog import query
 from memoglyph.sources import jsonl, texts as T
+from memoglyph.sources.commits import Store, dual_write
 from memoglyph.views import AS_OF_MS, DAY_MS, records, table
 
 
@@ -189,3 +193,15 @@ def annotation(spark, sf):
 def windows(spark, sf):
     g = table(spark, sf, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
     return g.select(F.unix_millis("w.start").alias("start_ms"), "event_type", "n")
+
+
+@query("dual_projection", " SELECT 'canonical' AS projection, source_kind, count(*)::BIGINT AS n FROM records GROUP BY ALL UNION ALL SELECT 'compat', 'none', count(*)::BIGINT FROM records", records=True)
+def dual_projection(spark, sf):
+    """Records committed as two projections in two batches, of which one comes twice: what the store then has."""
+    store = Store(spark, f"{shared_folder(spark)}/dual-{uuid.uuid4().hex}")
+    rows = records(spark, sf)
+    halves = [rows.where(F.col("source_kind").isin("hook", "run")), rows.where(~F.col("source_kind").isin("hook", "run"))]
+    for batch in (0, 1, 1):
+        dual_write(store, halves[batch], stream="records", batch=batch)
+    whole = store.read("canonical").groupBy("source_kind").agg(F.count("*").alias("n")).select(F.lit("canonical").alias("projection"), "source_kind", "n")
+    return whole.unionByName(store.read("compatible").groupBy("projection").agg(F.count("*").alias("n")).select("projection", F.lit("none").alias("source_kind"), "n"))

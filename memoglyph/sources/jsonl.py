@@ -97,11 +97,5 @@ def daily_logs(df: DataFrame, path: str, t: str = "t", days: list[str] | None =
     (rows.where(day.isin(days)) if days else rows).write.mode("append").partitionBy("year", "month", "date").json(path)
 
 
-def dual_write(df: DataFrame, canonical: str, compatible: str) -> None:
-    """One set of records as canonical and as compatibility projection."""
-    append(df, canonical)
-    append(df.select("id", "tool", "title", "content", "scope", F.lit("compat").alias("projection")), compatible)
-
-
 def migrate_store(spark: SparkSession, old: str, new: str) -> None:
     spark.read.text(old).write.mode("overwrite").text(new)

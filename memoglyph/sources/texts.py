@@ -137,7 +137,10 @@ def section(text: Column, heading: str) -> Column:
 def slice_transcripts(lines: DataFrame, head_tokens: int = 500, tail_tokens: int = 500) -> DataFrame:
     """session, head, tail: the beginning and end of each transcript (session, turn, text), cut at sentence ends.
 
-    A session's lines are joined in order; tokens are two for a CJK character and a quarter for others.
+    A session's lines are joined in order (null turns last, ties by text); tokens are two for a CJK character and a quarter for
+    others. Every character and line break takes a quarter at least, so only that many of a session's first and last lines,
+    and of the characters of each, can count: rank limits leave the others in the tasks that read them, and what one
+    group gets is bounded however long a session is.
     """
     weight = re.compile(r"[一-鿿]")
 
@@ -154,11 +157,19 @@ def slice_transcripts(lines: DataFrame, head_tokens: int = 500, tail_tokens: int
         return part if edge < 0 else part[edge + 1 :] if tail else part[: edge + 1]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        text = "\n".join(rows.sort_values("turn")["text"].fillna(""))
-        return pd.DataFrame([(rows["session"].iloc[0], cut(text, head_tokens, False), cut(text, tail_tokens, True))], columns=["session", "head", "tail"])
+        of = lambda side, rising: "\n".join(rows[rows["side"] == side].sort_values("n", ascending=rising)["text"])
+        return pd.DataFrame([(rows["session"].iloc[0], cut(of("head", True), head_tokens, False), cut(of("tail", False), tail_tokens, True))], columns=["session", "head", "tail"])
 
+    def side(name: str, tokens: int, turn: Column, text: Column) -> DataFrame:
+        most = 4 * int(tokens) + 1
+        clipped = F.substring("text", 1, most) if name == "head" else F.when(F.length("text") > most, F.right("text", F.lit(most))).otherwise(F.col("text"))
+        ranked = given.withColumn("n", F.row_number().over(W.partitionBy("session").orderBy(turn, text))).where(F.col("n") <= most)
+        return ranked.select("session", "n", F.lit(name).alias("side"), clipped.alias("text"))
+
+    given = lines.select("session", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    both = side("head", head_tokens, F.asc_nulls_last("turn"), F.asc("text")).unionByName(side("tail", tail_tokens, F.desc_nulls_first("turn"), F.desc("text")))
     kind = lines.schema["session"].dataType.simpleString()
-    return lines.select("session", "turn", "text").groupBy("session").applyInPandas(run, f"session {kind}, head string, tail string")
+    return both.groupBy("session").applyInPandas(run, f"session {kind}, head string, tail string")
 
 
 def parse_extractions(df: DataFrame, text: str = "text") -> DataFrame:
