@@ -10,9 +10,13 @@ from memoglyph.functions import classify as C
 from memoglyph.operators import packs as P
 from memoglyph.operators.lifecycle import shared_folder
 from memoglyph.plans.catalog import query
-from memoglyph.sources import jsonl, texts as T
+from memoglyph.sources import external, jsonl, texts as T
 from memoglyph.sources.commits import Store, dual_write
-from memoglyph.views import AS_OF_MS, DAY_MS, records, table
+from memoglyph.sources.lookup import Lookup
+from memoglyph.views import AS_OF_MS, DAY_MS, records, signature, table
+
+#: Of written stores; those of another one are made anew.
+FORMAT = 1
 
 
 @query("prefix_scan", " SELECT id FROM records WHERE starts_with(id, 'r1')", records=True)
@@ -205,3 +209,54 @@ def dual_projection(spark, sf):
         dual_write(store, halves[batch], stream="records", batch=batch)
     whole = store.read("canonical").groupBy("source_kind").agg(F.count("*").alias("n")).select(F.lit("canonical").alias("projection"), "source_kind", "n")
     return whole.unionByName(store.read("compatible").groupBy("projection").agg(F.count("*").alias("n")).select("projection", F.lit("none").alias("source_kind"), "n"))
+
+
+#: Items as another program keeps them, of the record of a document: fields of many forms, some missing.
+_ITEM = {
+    "id": "num",
+    "project": "CASE num % 4 WHEN 0 THEN NULL WHEN 1 THEN 'home' ELSE project END",
+    "type": "CASE WHEN num % 5 = 4 THEN NULL ELSE type END",
+    "title": "CASE WHEN num % 3 = 0 THEN NULL ELSE title END",
+    "content": "content",
+    "facts": "CASE num % 4 WHEN 0 THEN concat('[\"', tool, '\",\"', id, '\"]') WHEN 1 THEN concat(' ', id, ' ') WHEN 2 THEN concat('\"', tool, '\"') ELSE NULL END",
+    "created_at": "CASE WHEN num % 2 = 0 THEN '2024-01-01T00:00:00Z' ELSE NULL END",
+    "t": "'2023-01-01T00:00:00Z'",
+    "memory_session_id": "CASE WHEN num % 2 = 0 THEN session ELSE '' END",
+    "session": "id",
+}
+
+
+def _observations(spark, sf):
+    """A folder store with an item a document, written when the table is first met in its present state."""
+    path = f"{shared_folder(spark)}/observations{FORMAT}-{signature(spark, sf, 'documents')}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{1:012d}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        external.write_pages(records(spark, sf).selectExpr(*(f"{e} AS {c}" for c, e in _ITEM.items())), path, 1)
+    external.register(spark)
+    return spark.read.format(external.FORMAT).option("path", path).load()
+
+
+@query("external_records", r""", i AS (SELECT num, id AS rid, tool, session, project AS own, trim(regexp_replace(content, '\s+', ' ', 'g')) AS c, trim(regexp_replace(title, '\s+', ' ', 'g')) AS tt, CASE WHEN num % 5 = 4 THEN '' ELSE type END AS kind,
+  CASE num % 4 WHEN 0 THEN '' WHEN 1 THEN 'home' ELSE project END AS project FROM records),
+c AS (SELECT *, CASE WHEN c <> '' THEN c WHEN num % 3 = 0 THEN '' ELSE tt END AS content FROM i)
+SELECT CAST(num AS VARCHAR) AS id, CASE WHEN num % 2 = 0 THEN '2024-01-01T00:00:00Z' ELSE '2023-01-01T00:00:00Z' END AS t, CASE WHEN num % 2 = 0 THEN session ELSE rid END AS session, CASE WHEN kind = '' THEN 'memory' ELSE kind END AS type, project,
+  md5(CASE WHEN num % 3 <> 0 AND tt <> '' THEN tt WHEN content <> '' THEN content ELSE CAST(num AS VARCHAR) END) AS title, sha256(content) AS content_hash,
+  CASE num % 4 WHEN 0 THEN tool || ',' || rid WHEN 1 THEN rid WHEN 2 THEN tool ELSE '' END AS facts,
+  CASE WHEN regexp_matches(kind, 'preference|decision|workflow|rule') THEN 'feedback' WHEN project NOT IN ('', 'home') THEN 'project' ELSE 'summary' END AS scope, CASE WHEN project = '' THEN 'import' ELSE project END AS workspace
+FROM c""", records=True)
+def external_records(spark, sf):
+    r = external.structured(_observations(spark, sf), "notes", home="home")
+    return r.select("id", "t", "session", "type", "project", F.md5("title").alias("title"), "content_hash", F.array_join("facts", ",").alias("facts"), "scope", "workspace")
+
+
+@query("external_by_project", " SELECT project, count(*)::BIGINT AS n FROM records WHERE num % 4 >= 2 AND project IN ('p1', 'p3') GROUP BY project", records=True)
+def external_by_project(spark, sf):
+    return _observations(spark, sf).where("project IN ('p1', 'p3')").groupBy("project").agg(F.count("*").alias("n"))
+
+
+@query("pruned_lookup", " SELECT id, md5(content) AS digest FROM records WHERE id IN ('r7', 'r50', 'r123', 'r999999999')", records=True)
+def pruned_lookup(spark, sf):
+    store = Lookup(spark, f"{shared_folder(spark)}/lookup{FORMAT}-{signature(spark, sf, 'documents')}")
+    if not store.store.has("bounds"):
+        store.build(records(spark, sf).select("id", "content"))
+    return store.get(["r7", "r50", "r123", "r999999999"]).select("id", F.md5("content").alias("digest"))
