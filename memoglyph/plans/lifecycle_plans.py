@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from memoglyph.functions import text as X
-from memoglyph.operators import lifecycle as L
+from memoglyph.functions import numeric as N, text as X
+from memoglyph.operators import embedding as E, lifecycle as L
+from memoglyph.operators.lifecycle import shared_folder
 from memoglyph.plans.catalog import query
 from memoglyph.streaming import changes as M
 from memoglyph.views import AS_OF_MS, DAY_MS, records, table
@@ -304,3 +307,46 @@ def breaker(spark, sf):
 def pending(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_ms"))
     return M.pending_sessions(e, e.where("session % 4 = 0")).select("session")
+
+
+_NOISE = r"^(?i:Sender\s*\(|System:|Subagent Context|\[Subagent Context\]|Exec completed|Exec failed|A new session was started|\[(Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s|Run your Session Startup)"
+#: Fields of records with three facts, as embedding.fields gives them.
+_FIELDS = rf""", rec AS (SELECT *, trim(regexp_replace(title || ' ' || content, '\s+', ' ', 'g')) AS raw, list_filter([trim(regexp_replace(coalesce(tool, ''), '\s+', ' ', 'g')), session, 'fact of ' || id], lambda x: x <> '') AS facts,
+  coalesce(tier, CASE memory_level WHEN 'session' THEN 2 WHEN 'durable' THEN 4 WHEN 'task' THEN 2 END, CASE scope WHEN 'project' THEN 3 ELSE 2 END) AS level FROM records WHERE NOT archived),
+open AS (SELECT * FROM rec WHERE level IN (2, 3, 4) AND length(raw) >= 5 AND NOT regexp_matches(raw, '{_NOISE}')),
+fields AS (SELECT num, id AS entry_id, 'content' AS field, substr(trim(regexp_replace(concat_ws(' ', title, content, project, type, coalesce(tool, '')), '\s+', ' ', 'g')), 1, 6000) AS text FROM open UNION ALL
+  SELECT num, id || '__fact_' || (i - 1)::VARCHAR, 'fact_' || (i - 1)::VARCHAR, v FROM (SELECT num, id, unnest(facts) AS v, generate_subscripts(facts, 1) AS i FROM open) WHERE length(v) >= 5 AND NOT regexp_matches(v, '{_NOISE}'))"""
+
+
+def _fields(spark, sf):
+    r = records(spark, sf).select("id", "title", "content", "project", "type", "tool", "archived", "tier", "memory_level", "scope", F.array("tool", "session", F.concat(F.lit("fact of "), "id")).alias("facts"))
+    return E.fields(r)
+
+
+@query("embedding_fields", _FIELDS + " SELECT entry_id, field, sha256(text) AS hash FROM fields", records=True)
+def embedding_fields(spark, sf):
+    return _fields(spark, sf).select("entry_id", "field", F.sha2("text", 256).alias("hash"))
+
+
+@query("embedding_changes", _FIELDS + r""", b AS (SELECT entry_id, CASE WHEN num % 4 = 0 THEN 'old' ELSE sha256(text) END AS hash, CASE WHEN num % 3 = 0 THEN 'k0' ELSE 'k1' END AS config, num % 7 <> 0 AS filled FROM fields WHERE num % 5 <> 0
+  UNION ALL SELECT 'x' || entry_id, 'old', 'k1', true FROM fields WHERE num % 6 = 0)
+SELECT coalesce(f.entry_id, b.entry_id) AS entry_id, CASE WHEN f.entry_id IS NULL THEN 'gone' WHEN b.hash IS NULL OR NOT filled THEN 'new' WHEN b.hash <> sha256(f.text) THEN 'changed' WHEN config <> 'k1' THEN 'config' ELSE 'kept' END AS action FROM fields f FULL JOIN b ON f.entry_id = b.entry_id""", records=True)
+def embedding_changes(spark, sf):
+    texts = _fields(spark, sf)
+    num = F.substring("record_id", 2, 30).cast("long")
+    stored = texts.where(num % 5 != 0).select("entry_id", F.when(num % 4 == 0, "old").otherwise(F.sha2("text", 256)).alias("hash"), F.when(num % 3 == 0, "k0").otherwise("k1").alias("config"), (num % 7 != 0).alias("filled"))
+    left = texts.where(num % 6 == 0).select(F.concat(F.lit("x"), "entry_id").alias("entry_id"), F.lit("old").alias("hash"), F.lit("k1").alias("config"), F.lit(True).alias("filled"))
+    return E.change_set(texts, stored.unionByName(left), "k1").select("entry_id", "action")
+
+
+@query("embedding_build", r""", e AS (SELECT num, id AS entry_id, trim(regexp_replace(title || ' ' || project, '\s+', ' ', 'g')) AS text, trim(regexp_replace(title, '\s+', ' ', 'g')) AS raw FROM records)
+SELECT entry_id, sha256(text) AS hash, CASE WHEN num % 4 = 0 OR num % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS build, 384 AS dimensions FROM e WHERE length(raw) >= 5 AND NOT regexp_matches(raw, '""" + _NOISE + "') AND num % 6 <> 0", records=True)
+def embedding_build(spark, sf):
+    store = E.Embeddings(spark, f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}")
+    config = E.config_hash("hash", "hashing-v1")
+    embed = lambda df: df.select("id", N.hash_embedding(X.hash_features("text"), X.fnv1a32).alias("embedding"))
+    now = records(spark, sf).select("id", "title", "project", "num")
+    before = now.where("num % 5 <> 0").withColumn("project", F.when(F.col("num") % 4 == 0, "an old name").otherwise(F.col("project")))
+    store.build(E.fields(before), embed, config)
+    store.build(E.fields(now.where("num % 6 <> 0")), embed, config)
+    return store.vectors().select("entry_id", "hash", "build", F.size("embedding").alias("dimensions"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memoglyph.functions import classify as C, numeric as N, text as X
-from memoglyph.operators import search as S
+from memoglyph.operators import search as S, signals as G
 from memoglyph.plans.catalog import query
 from memoglyph.views import AS_OF_MS, DAY_MS, records, table
 
@@ -320,3 +320,34 @@ def jaccards(spark, sf):
 @query("json_props", "SELECT (props::JSON ->> 'k')::BIGINT AS k, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def props(spark, sf):
     return table(spark, sf, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+_ITEMS = r"""lines AS (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), chr(13), ''), chr(10))) AS line, generate_subscripts(string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)), 1) AS pos FROM documents),
+items AS (SELECT doc_id, pos, trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '^[-*+]\s+', ''), '^\d+\.\s+', ''), '- \[[0-9]{4}-[0-9]{2}-[0-9]{2}.*$', '')) AS item FROM lines)"""
+
+
+@query("signal_lines", rf"""
+WITH {_ITEMS}, f AS (SELECT doc_id, item = '' OR regexp_matches(item, '{G.any_of(G.NOISE)}') AS noise, regexp_matches(item, '{G.any_of(G.DURABLE)}') AND NOT regexp_matches(item, '{G.any_of(G.NOT_DURABLE)}') AS durable, regexp_matches(item, '{G.any_of(G.WORKING)}') AS working FROM items)
+SELECT doc_id, count(*)::BIGINT AS n, count(*) FILTER (noise)::BIGINT AS noise, count(*) FILTER (NOT noise AND durable)::BIGINT AS durable, count(*) FILTER (NOT noise AND working)::BIGINT AS working FROM f GROUP BY doc_id""")
+def signal_lines(spark, sf):
+    lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r", ""), "\n")).alias("line"))
+    items = lines.select("doc_id", G.signal_item("line").alias("item"))
+    return items.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(G.is_noise_item("item")).alias("noise"), F.count_if(G.is_durable_item("item")).alias("durable"), F.count_if(G.is_working_item("item")).alias("working"))
+
+
+@query("signal_items", rf"""
+WITH {_ITEMS}, kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(item) ORDER BY pos DESC) AS again FROM items WHERE item <> '' AND NOT regexp_matches(item, '{G.any_of(G.NOISE)}')),
+placed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC)::INTEGER AS place, item FROM kept WHERE again = 1) SELECT * FROM placed WHERE place <= 8""")
+def signal_items(spark, sf):
+    return G.signal_items(table(spark, sf, "documents"), "doc_id", mode="inbox", newest=True)
+
+
+@query("clean_inbox", rf"""
+WITH t AS (SELECT doc_id, string_split(CASE doc_id % 3 WHEN 0 THEN '# Inbox' || chr(10) WHEN 1 THEN '---' || chr(10) || '---' || chr(10) ELSE '' END || coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'a marker-codex line' ELSE '' END, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM t), h AS (SELECT doc_id, min(pos) AS header FROM l WHERE starts_with(trim(line), '# ') OR (starts_with(trim(line), '---') AND pos > 1) GROUP BY doc_id),
+k AS (SELECT l.*, header IS NULL OR pos <= header OR NOT regexp_matches(trim(line), '{G.any_of(G.INBOX_NOISE)}') AS kept FROM l LEFT JOIN h USING (doc_id))
+SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS text, count(*) FILTER (NOT kept)::INTEGER AS removed FROM k GROUP BY doc_id""")
+def clean_inbox(spark, sf):
+    head = F.when(F.col("doc_id") % 3 == 0, "# Inbox\n").when(F.col("doc_id") % 3 == 1, "---\n---\n").otherwise("")
+    text = F.concat(head, F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, "\na marker-codex line").otherwise(""))
+    return table(spark, sf, "documents").select("doc_id", G.clean_inbox(text).alias("c")).select("doc_id", F.md5("c.text").alias("text"), "c.removed")
