@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from memoglyph.functions.text import _c, normalize_spaces
+from memoglyph.functions.text import _c, let, normalize_spaces
 from memoglyph.operators.lifecycle import one_per_key, top_per_key
 
 # fixed values: what marks an item as noise, as durable and as working
@@ -95,6 +95,8 @@ def clean_inbox(text: Column | str, marks: tuple[str, ...] = ()) -> Column:
     lines = F.split(F.coalesce(_c(text), F.lit("")), "\n")
     bare = lambda line: F.regexp_replace(line, r"^\s+|\s+$", "")
     ends = F.transform(lines, lambda line, i: bare(line).startswith("# ") | (bare(line).startswith("---") & (i > 0)))
-    header = F.array_position(ends, F.lit(True))
-    kept = F.filter(lines, lambda line, i: (header == 0) | (i < header) | ~bare(line).rlike(any_of([*INBOX_NOISE, *marks])))
-    return F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("removed"))
+    noise = any_of([*INBOX_NOISE, *marks])
+    body = lambda header: F.filter(lines, lambda line, i: (header == 0) | (i < header) | ~bare(line).rlike(noise))
+    # found once a text, not once a line
+    kept = let(F.array_position(ends, F.lit(True)), body)
+    return let(kept, lambda k: F.struct(F.array_join(k, "\n").alias("text"), (F.size(lines) - F.size(k)).alias("removed")))
