@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from memoglyph.functions import numeric as N, text as X
-from memoglyph.operators import embedding as E, lifecycle as L
+from memoglyph.operators import embedding as E, layers as B, lifecycle as L
 from memoglyph.operators.lifecycle import shared_folder
 from memoglyph.plans.catalog import query
+from memoglyph.sources.commits import Store
 from memoglyph.streaming import changes as M
 from memoglyph.views import AS_OF_MS, DAY_MS, records, table
 
@@ -350,3 +351,23 @@ def embedding_build(spark, sf):
     store.build(E.fields(before), embed, config)
     store.build(E.fields(now.where("num % 6 <> 0")), embed, config)
     return store.vectors().select("entry_id", "hash", "build", F.size("embedding").alias("dimensions"))
+
+
+@query("layer_build", f""", r AS (SELECT num, id, content, sha256(content) AS h, t_ms, scope FROM records),
+back AS (SELECT id, h, {AS_OF_MS} - (num % 60) * 1000 AS t_ms, scope FROM r WHERE num % 12 = 0), recent AS (SELECT h FROM (SELECT h, t_ms FROM r WHERE num % 8 = 1 UNION ALL SELECT h, t_ms FROM back) GROUP BY h HAVING {AS_OF_MS} - max(t_ms) <= 30000),
+kept AS (SELECT id, scope, min(id) OVER (PARTITION BY h) <> max(id) OVER (PARTITION BY h) AS collides FROM r WHERE num % 8 = 0 AND h NOT IN (SELECT h FROM recent)),
+made AS (SELECT 'shared' AS layer, id, scope, collides FROM kept UNION ALL SELECT 'shared', id, scope, false FROM back WHERE id NOT IN (SELECT id FROM kept)
+  UNION ALL SELECT 'session', id, scope, NULL FROM r WHERE num % 8 IN (1, 2) UNION ALL SELECT 'session', id, 'project', NULL FROM r WHERE num % 8 = 3 AND content <> ''
+  UNION ALL SELECT 'event', id, scope, NULL FROM r WHERE num % 8 = 7 UNION ALL SELECT 'task', id, scope, NULL FROM r WHERE num % 8 IN (4, 5, 6)) SELECT layer, id, scope, collides FROM made""", records=True)
+def layer_build(spark, sf):
+    """The layers of records of all documents, built twice into a new store: the second build finds nothing to do."""
+    r = records(spark, sf).select("num", "id", "content", F.lit(None).cast("string").alias("content_hash"), "t_ms", "scope")
+    part = lambda *kinds: B.source(r.where((F.col("num") % 8).isin(*kinds)))
+    dreams = r.where("num % 12 = 0").withColumn("t_ms", F.lit(AS_OF_MS) - (F.col("num") % 60) * 1000)
+    sources = {"inbox": part(0), "dreams": B.source(dreams), "stored": part(1), "sessions_stored": part(1), "sessions": part(2), "projects": part(1, 3), "events": part(7), "tasks": part(4, 5, 6)}
+    layers = {n: layer for n, layer in B.memory_layers(AS_OF_MS).items() if n in ("shared", "session", "event", "task", "records")}
+    store = Store(spark, f"{shared_folder(spark)}/layers-{uuid.uuid4().hex}")
+    B.build(store, sources, layers)
+    if again := {n for n, done in B.build(store, sources, layers).items() if done != "kept"}:
+        raise AssertionError(f"made again: {sorted(again)}")
+    return B.read(store, "records").select("layer", "id", "scope", "collides")
