@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memoglyph.functions import classify as C, numeric as N, text as X
+from memoglyph.functions import classify as C, numeric as N, segment as seg, text as X
 from memoglyph.operators import search as S, signals as G
 from memoglyph.plans.catalog import query
 from memoglyph.views import AS_OF_MS, DAY_MS, records, table
@@ -351,3 +351,28 @@ def clean_inbox(spark, sf):
     head = F.when(F.col("doc_id") % 3 == 0, "# Inbox\n").when(F.col("doc_id") % 3 == 1, "---\n---\n").otherwise("")
     text = F.concat(head, F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, "\na marker-codex line").otherwise(""))
     return table(spark, sf, "documents").select("doc_id", G.clean_inbox(text).alias("c")).select("doc_id", F.md5("c.text").alias("text"), "c.removed")
+
+
+# documents as texts without spaces: their letters a to z as ideographs, everything else a gap between words
+_IDEOGRAPHS = "".join(chr(0x4E00 + i) for i in range(26))
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _ideograph_words(text):
+    return F.filter(F.split(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), _LETTERS, _IDEOGRAPHS), f"[^{seg.RUN}]+", " "), " "), lambda w: w != "")
+
+
+@query("dictionary_words", rf"""
+WITH w AS (SELECT unnest(string_split(regexp_replace(translate(lower(coalesce(text, '')), '{_LETTERS}', '{_IDEOGRAPHS}'), '[^一-鿿]+', ' ', 'g'), ' ')) AS word FROM documents)
+SELECT word, count(*)::BIGINT AS n FROM w WHERE length(word) BETWEEN 2 AND {seg.LONGEST_WORD} GROUP BY word""")
+def dictionary_words(spark, sf):
+    return seg.counted_words(table(spark, sf, "documents").select(_ideograph_words(F.col("text")).alias("words")))
+
+
+@query("segmented_words")
+def segmented_words(spark, sf):
+    """doc_id, given, n, words: of each text without its spaces the number of its words, the number of words of its cut, and a digest of the cut."""
+    d = table(spark, sf, "documents").select("doc_id", _ideograph_words(F.col("text")).alias("given"))
+    words = seg.dictionary(seg.counted_words(d, "given"))
+    cut = seg.segmented(d.withColumn("text", F.array_join("given", "")), words)
+    return cut.select("doc_id", F.size("given").alias("given"), F.size("words").alias("n"), F.md5(F.array_join("words", " ")).alias("words"))
