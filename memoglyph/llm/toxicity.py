@@ -35,17 +35,17 @@ INTENTS = {"will", "i'll", "we'll", "gonna", "going", "shall", "werde", "werden"
 INSULTS = {"idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "imbecile", "dummkopf", "trottel", "crétin", "imbécile", "estúpido", "idiota"}
 THREATS = {"kill", "destroy", "hurt", "beat", "töten", "umbringen", "tuer", "frapper", "matar", "golpear"}
 SEED_WEIGHT = 1.0
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”„«»]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”„«»,]")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
-#: Words before an insult in which a negation turns it.
+#: Words before an insult in which a negation turns it; a comma ends its reach.
 REACH = 3
 #: What the composition puts out, in the order of the features: an insult at a target, a threat, one of several insults of a
 #: clause, one insult without support, a negated one, a reported one.
 READINGS = ("target", "threat", "chain", "plain", "negated", "reported")
 #: What each reading adds where labels don't show it, and the text's length.
 PRIOR = (1.0, 1.0, 1.0, 0.3, 0.0, 0.0, 0.0)
-SYMBOLS = "IHTNRVQO"  # insult, threat, target, negation, report, intent, quotation mark, other word
+SYMBOLS = "IHTNRVQCO"  # insult, threat, target, negation, report, intent, quotation mark, comma after a negation, other word
 
 
 class Transducer:
@@ -113,7 +113,7 @@ def parts() -> tuple[Transducer, ...]:
     """The transducers of the grammar, in the order of their composition.
 
     Between them travel: I, H insult and threat; i reported, n negated; a and A an insult without and with a target, h and
-    H a threat without and with one; - a quotation mark; T, N, V, O as in SYMBOLS.
+    H a threat without and with one; - a quotation mark; T, N, V, C, O as in SYMBOLS.
     """
     # reported speech: after a reporting word, or inside quotation marks, insults and threats are someone else's
     told = {}
@@ -121,13 +121,13 @@ def parts() -> tuple[Transducer, ...]:
         told |= {(s, "R"): [("O", 0.0, after_r)], (s, "Q"): [("-", 0.0, after_q)]}
         if s != "direct":
             told |= {(s, x): [("i", 0.0, s)] for x in "IH"}
-    report = _machine("direct", "IHTNVO", ("direct", "said", "quoted"), told, {"direct": 0.0, "said": 0.0, "quoted": 0.0})
-    # negation: it turns what follows within REACH words
+    report = _machine("direct", "IHTNVCO", ("direct", "said", "quoted"), told, {"direct": 0.0, "said": 0.0, "quoted": 0.0})
+    # negation: it turns what follows within REACH words, up to a comma
     turned = {}
     for left in range(REACH + 1):
         down = max(0, left - 1)
         turned |= {(left, x): [("n" if left and x in "IH" else x, 0.0, down)] for x in "IHiTVO"}
-        turned |= {(left, "N"): [("O", 0.0, REACH)], (left, "-"): [("-", 0.0, left)]}
+        turned |= {(left, "N"): [("O", 0.0, REACH)], (left, "-"): [("-", 0.0, left)], (left, "C"): [("-", 0.0, 0)]}
     negation = Transducer(0, turned, dict.fromkeys(range(REACH + 1), 0.0))
     # target: the path either claims one, which has to come in this clause, before or after the insult, or it doesn't
     aimed = {}
@@ -224,6 +224,11 @@ class Grammar:
                     at += 1
                 run = 0
                 continue
+            if word == ",":
+                # others don't change the reading
+                if "N" in symbols[-REACH - 1 :]:
+                    symbols.append("C")
+                continue
             if not word[0].isalpha():
                 symbol = "Q"
             elif word in NEGATIONS or word.endswith(("n't", "n’t")):

@@ -160,6 +160,16 @@ def test_grammar_states():
     assert state("an idiot and a grobnak") == ["chain"] * 2 and state("you'll be an idiot, you") == ["threat"]
 
 
+@pytest.mark.parametrize(("text", "states"), [
+    ("no, you idiot", ["target"]), ("no you idiot", ["negated"]), ("not an idiot, you idiot", ["negated", "target"]), ("you idiot, no", ["target"]), ("not, an idiot", ["plain"]),
+    ("never, ever, you idiot", ["target"]), ("you are not an idiot", ["negated"]), ("you, sir, are not an idiot", ["negated"]), ("no no, idiot, no idiot", ["plain", "negated"]), ("no one, two, not idiot", ["negated"]),
+    ("don't, you idiot", ["target"]), ("i will not, ever, kill you", ["threat"]), ("i will not kill you", ["negated"]), ("he said no, you idiot", ["reported"]), ('"no, you idiot"', ["reported"]), ("nein, nicht, du idiot", ["target"]),
+])
+def test_a_comma_ends_a_negation(text, states):
+    g = toxicity.Grammar({"idiot": 2.0, "kill": 1.0}, {}).opened()
+    assert [s for found in g.clauses(text).values() for s, _, _ in found] == states
+
+
 def test_mixing(spark, odd):
     mixed = mixing.mix(odd).select("doc_id", "source", "size", "source_size", "target", "taken")
     rows = mixed.collect()
