@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from memoglyph.functions import classify as C, numeric as N, segment as seg, text as X
 from memoglyph.operators import search as S, signals as G
 from memoglyph.plans.catalog import query
+from memoglyph.sources import editors as D
 from memoglyph.views import AS_OF_MS, DAY_MS, records, table
 
 
@@ -376,3 +377,26 @@ def segmented_words(spark, sf):
     words = seg.dictionary(seg.counted_words(d, "given"))
     cut = seg.segmented(d.withColumn("text", F.array_join("given", "")), words)
     return cut.select("doc_id", F.size("given").alias("given"), F.size("words").alias("n"), F.md5(F.array_join("words", " ")).alias("words"))
+
+
+@query("editor_sessions", rf"""
+WITH l AS (SELECT CAST(floor(conv_id / 50.0) AS BIGINT) AS session, row_number() OVER (PARTITION BY CAST(floor(conv_id / 50.0) AS BIGINT) ORDER BY conv_id, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT session, max(pos) AS n FROM l GROUP BY session), first AS (SELECT session, min(pos) AS pos FROM l WHERE turn = 0 AND pos <= {D.FIRST} GROUP BY session), h AS (SELECT l.* FROM l JOIN first USING (session, pos)),
+r AS (SELECT l.*, trim(regexp_replace(text, '\s+', ' ', 'g')) <> '' AS filled FROM l JOIN n USING (session) WHERE turn <> 0 AND pos > n - {D.LAST}),
+e AS (SELECT session, max(pos) FILTER (filled) AS pos, bool_or(pos % 3 = 0) AS agent FROM r GROUP BY session), t AS (SELECT e.session, e.pos, agent, text FROM e LEFT JOIN r ON r.session = e.session AND r.pos = e.pos),
+x AS (SELECT n.session, h.conv_id, h.role, t.pos, t.agent, t.pos IS NULL AS bare, trim(regexp_replace(regexp_replace(coalesce(t.text, h.text), '\r\n?', chr(10), 'g'), '\n', ' ', 'g')) AS topic, trim(regexp_replace(coalesce(t.text, h.text, ''), '\s+', ' ', 'g')) <> '' AS has_text FROM n LEFT JOIN h USING (session) LEFT JOIN t USING (session))
+SELECT session, CASE WHEN conv_id IS NULL THEN session::VARCHAR ELSE 'c' || conv_id END AS session_id, (conv_id * 1000)::BIGINT AS created_ms, pos::BIGINT AS last_ms, CASE WHEN agent THEN 'agent' WHEN trim(coalesce(role, '')) <> '' THEN role ELSE 'unknown' END AS mode,
+  CASE WHEN conv_id IS NULL THEN 'unknown' ELSE 'm' || (conv_id % 3) END AS model, CASE WHEN NOT has_text THEN '{D.NO_TOPIC}' WHEN length(topic) <= {D.TOPIC} THEN topic ELSE substr(topic, 1, {D.TOPIC - 3}) || '...' END AS topic FROM x""")
+def editor_sessions(spark, sf):
+    """Fifty conversations as a session: their first turns begin it, the others are requests, whose texts stand in messages or in their parts."""
+    session = F.floor(F.col("conv_id") / 50.0).alias("session")
+    c = table(spark, sf, "conversations").select(session, "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    c = c.withColumn("pos", F.row_number().over(W.partitionBy("session").orderBy("conv_id", F.asc_nulls_first("turn"), F.asc_nulls_first("role"), "text")))
+    named = lambda **columns: F.struct(*(v.alias(k) for k, v in columns.items()))
+    state = named(mode=named(id=F.col("role")), selectedModel=named(identifier=F.concat(F.lit("m"), F.col("conv_id") % 3)), inputText=F.col("text"))
+    begin = named(kind=F.lit(0), v=named(sessionId=F.concat(F.lit("c"), "conv_id"), creationDate=F.col("conv_id") * 1000, inputState=state))
+    parts = F.array(named(text=F.lit(" ")), named(text=F.when(F.col("pos") % 2 == 1, F.col("text"))))
+    request = named(message=named(text=F.when(F.col("pos") % 2 == 0, F.col("text")).otherwise(" "), parts=parts), timestamp=F.col("pos"), modeInfo=named(modeId=F.when(F.col("pos") % 3 == 0, "agent").otherwise("")))
+    ask = named(kind=F.lit(2), k=F.array(F.lit("requests")), v=F.array(request))
+    line = F.when(F.col("turn") == 0, F.to_json(begin)).when(F.col("turn") != 0, F.to_json(ask)).otherwise("{}")
+    return D.sessions(c.select("session", "pos", line.alias("line")), most_bytes=1 << 40)

@@ -9,7 +9,7 @@ import __spark_entry__
 from memoglyph.plans.catalog import load
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["bm25_topk", "bm25_okapi", "rrf_fusion", "redaction", "promotion_score", "jaccard_conflicts", "tier_evict", "consolidation", "kg_timeline", "counts_grouping_sets", "p95_by_index", "snapshot_diff", "agent_sections", "hybrid_search", "rank_map", "entity_candidates", "entity_relations", "handoff_pack", "circuit_breaker", "drift_risk", "expected_pairs", "markdown_pages", "kg_asof_times", "kg_path_match", "bm25_index", "entry_index", "graph_neighbours", "hybrid_search_graph", "weighted_fusion", "dual_projection", "transcript_slices", "external_records", "external_by_project", "pruned_lookup", "signal_lines", "signal_items", "clean_inbox", "embedding_fields", "embedding_changes", "embedding_build", "layer_build", "dictionary_words"]
+SAMPLE = ["bm25_topk", "bm25_okapi", "rrf_fusion", "redaction", "promotion_score", "jaccard_conflicts", "tier_evict", "consolidation", "kg_timeline", "counts_grouping_sets", "p95_by_index", "snapshot_diff", "agent_sections", "hybrid_search", "rank_map", "entity_candidates", "entity_relations", "handoff_pack", "circuit_breaker", "drift_risk", "expected_pairs", "markdown_pages", "kg_asof_times", "kg_path_match", "bm25_index", "entry_index", "graph_neighbours", "hybrid_search_graph", "weighted_fusion", "dual_projection", "transcript_slices", "external_records", "external_by_project", "pruned_lookup", "signal_lines", "signal_items", "clean_inbox", "embedding_fields", "embedding_changes", "embedding_build", "layer_build", "dictionary_words", "editor_sessions"]
 
 
 def norm(v):
