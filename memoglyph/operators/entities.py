@@ -7,7 +7,8 @@ text at once and run as passes over its rows, without a shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -52,6 +53,7 @@ CHINESE_PROJECT = ["用{name}", "使用{name}", "{name}项目", "{name}系统",
 CHINESE_PROJECT_NAMES = ["版本", " v", ".py", ".js"]
 # fixed values: relations; a predicate is the subject, the word in the middle and, where it has one, the second group
 _END = r"([^\s,，；;]+)"
+_WHOLE = r"(?<![^\s,，；;])([^\s,，；;]++)"
 RELATIONS = [
     (rf"{_END}\s+(?:is|are)\s+(?:the\s+)?([A-Za-z0-9_]+)\s+of\s+([^\n]+)", "is", "_of"),
     (rf"{_END}\s+(?:is|are)\s+(?:a|an)\s+{_END}", "is", ""),
@@ -80,15 +82,20 @@ def _trimmed(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), "[.,;!?。，；]+$", "")
 
 
+def _all_where(there: Column, text: Column, pattern: str) -> Column:
+    """The first groups of all matches in a text that has what a match needs; others aren't searched."""
+    return F.when(there, F.regexp_extract_all(text, F.lit(pattern), 1)).otherwise(F.array().cast("array<string>"))
+
+
 def _names_at_anchors(text: Column) -> tuple[Column, Column]:
     """Distinct Chinese names of persons, and names of projects, that stand at a pattern; they needn't be capitalised."""
     persons = []
     for p in CHINESE_PERSON:
         before, after = p.split("{name}")
         if after:
-            persons.append(F.regexp_extract_all(text, F.lit(f"{before}([一-鿿]{{2,3}}){after}"), 1))
+            persons.append(_all_where(text.contains(after), text, f"{before}([一-鿿]{{2,3}}){after}"))
     fine = lambda n: (F.size(F.array_distinct(F.filter(F.split(n, ""), lambda c: c != ""))) > 1) & ~n.rlike(f"[{NO_NAME}]")
-    projects = [F.regexp_extract_all(text, F.lit(_LATIN_OR_HAN + re.escape(after)), 1) for after in CHINESE_PROJECT_NAMES]
+    projects = [_all_where(text.contains(after), text, _LATIN_OR_HAN + re.escape(after)) for after in CHINESE_PROJECT_NAMES]
     return F.filter(F.array_distinct(F.concat(*persons)), fine), F.filter(F.array_distinct(F.concat(*projects)), lambda n: F.length(n) >= 2)
 
 
@@ -113,11 +120,16 @@ def relations(df: DataFrame, text: str = "content") -> DataFrame:
         last = 3 if end else 2
         # the pattern without its ends shows quickly that a text has no match
         guard = F.col("t").rlike("(?i)" + pattern.removeprefix(_END).removesuffix("([^\\n]+)").removesuffix(_END))
-        groups = [F.regexp_extract_all(F.col("t"), F.lit("(?i)" + pattern), g) for g in (1, 2, last)]
-        name = lambda z: F.concat(F.regexp_replace(F.lower(_trimmed(z["s"])), r"\s+", "_"), F.lit(f"_{middle}_"), F.regexp_replace(F.regexp_replace(F.lower(z["p"]), "[.,;!?。，；]+$", ""), r"\s+", "_"), F.lit(end))
-        none = F.array().cast("array<string>")
-        groups = [F.when(guard, g).otherwise(none).alias(n) for g, n in zip(groups, "spo", strict=True)]
-        return F.transform(F.arrays_zip(*groups), lambda z: F.struct(_trimmed(z["s"]).alias("subject"), name(z).alias("predicate"), _trimmed(z["o"]).alias("object")))
+        # a subject is a whole run of its characters, as a match ends with such a run: other places and shorter runs needn't be tried
+        pattern = "(?i)" + _WHOLE + pattern.removeprefix(_END)
+        name = lambda s, p: F.concat(F.regexp_replace(F.lower(s), r"\s+", "_"), F.lit(f"_{middle}_"), F.regexp_replace(F.regexp_replace(F.lower(p), "[.,;!?。，；]+$", ""), r"\s+", "_"), F.lit(end))
+
+        def parts(m: Column) -> Column:
+            s, p, o = (F.regexp_extract(m, pattern, g) for g in (1, 2, last))
+            return F.struct(_trimmed(s).alias("subject"), name(_trimmed(s), p).alias("predicate"), _trimmed(o).alias("object"))
+
+        matches = F.when(guard, F.regexp_extract_all(F.col("t"), F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
+        return F.transform(matches, parts)
 
     rows = df.select("id", normalize_spaces(text).alias("t")).where(F.length("t") >= LEAST_TEXT)
     ends = rows.select("id", F.inline(F.flatten(F.array(*(found(*r) for r in RELATIONS)))))
@@ -126,8 +138,34 @@ def relations(df: DataFrame, text: str = "content") -> DataFrame:
 
 
 _SINGLE, _PHRASE, _STOP = re.compile(SINGLE), re.compile(PHRASE), frozenset(STOPWORDS)
-_PROJECT_NAMES = [re.compile(_LATIN_OR_HAN + re.escape(after)) for after in CHINESE_PROJECT_NAMES]
-_PERSON_NAMES = [re.compile(f"{b}([一-鿿]{{2,3}}){a}") for b, a in (p.split("{name}") for p in CHINESE_PERSON) if a]
+#: The longest name at a pattern of projects; (what stands after a name, pattern) of projects, (before, after, pattern) of persons.
+_LONGEST_AT = 20
+#: Names up to which each is counted by itself.
+FEW = 100
+_PROJECT_NAMES = [(after, re.compile(_LATIN_OR_HAN + re.escape(after))) for after in CHINESE_PROJECT_NAMES]
+_PERSON_NAMES = [(b, a, re.compile(f"{b}([一-鿿]{{2,3}}){a}")) for b, a in (p.split("{name}") for p in CHINESE_PERSON) if a]
+
+
+def _places(text: str, part: str) -> Iterator[int]:
+    """All places of a part in a text, also those that overlap."""
+    at = text.find(part)
+    while at >= 0:
+        yield at
+        at = text.find(part, at + 1)
+
+
+def _before(text: str, after: str) -> Iterator[str]:
+    """The stretches of a text in which a name at a pattern can stand before `after`; those that touch are one."""
+    start = end = 0
+    for at in _places(text, after):
+        if end and at - _LONGEST_AT > end:
+            yield text[start:end]
+            end = 0
+        if not end:
+            start = max(0, at - _LONGEST_AT)
+        end = at + len(after)
+    if end:
+        yield text[start:end]
 
 
 def names_of(text: str) -> dict[str, int]:
@@ -135,13 +173,55 @@ def names_of(text: str) -> dict[str, int]:
     out: dict[str, int] = {}
     found = [w for w in _SINGLE.findall(text) if w.lower() not in _STOP]
     found += [p for p in _PHRASE.findall(text) if _STOP.isdisjoint(p.lower().split())]
-    found += dict.fromkeys(n for p in _PERSON_NAMES for n in p.findall(text) if len(set(n)) > 1 and not set(n) & set(NO_NAME))
-    found += dict.fromkeys(n for p in _PROJECT_NAMES for n in p.findall(text) if len(n) >= 2)
+    found += dict.fromkeys(n for b, a, p in _PERSON_NAMES if a in text and b in text for n in p.findall(text) if len(set(n)) > 1 and not set(n) & set(NO_NAME))
+    found += dict.fromkeys(n for a, p in _PROJECT_NAMES for part in _before(text, a) for n in p.findall(part) if len(n) >= 2)
     for name in found:
         out[name] = out.get(name, 0) + 1
     return out
 
 
+class Spelled:
+    """Names in lower case, of two characters or more, by what they begin and end with."""
+
+    def __init__(self, names: Iterable[str]):
+        self.names = set(names)
+        starts: dict[str, set[int]] = {}
+        ends: dict[str, set[int]] = {}
+        for n in self.names:
+            starts.setdefault(n[:2], set()).add(len(n))
+            ends.setdefault(n[-2:], set()).add(len(n))
+        self.starts, self.ends = ({k: sorted(v) for k, v in x.items()} for x in (starts, ends))
+
+    def ending(self, text: str, at: int) -> list[str]:
+        """The names that end before a place of a text."""
+        if at < 2 or (lengths := self.ends.get(text[at - 2 : at])) is None:
+            return []
+        return [n for k in lengths if k <= at and (n := text[at - k : at]) in self.names]
+
+    def starting(self, text: str, at: int) -> list[str]:
+        """The names that begin at a place of a text."""
+        if (lengths := self.starts.get(text[at : at + 2])) is None:
+            return []
+        return [n for k in lengths if (n := text[at : at + k]) in self.names]
+
+    def counts(self, text: str) -> dict[str, int]:
+        """How often each name stands in a text, as str.count() has it; many names take one pass over the text together."""
+        if len(self.names) <= FEW:
+            return {n: k for n in self.names if (k := text.count(n))}
+        return _apart((n, at, at + len(n)) for at in range(len(text) - 1) if text[at : at + 2] in self.starts for n in self.starting(text, at))
+
+
+def _apart(spans: Iterable[tuple[str, int, int]]) -> dict[str, int]:
+    """How many of each name's spans (name, start, end), in the order of their starts, don't overlap when taken from the left."""
+    out: dict[str, int] = {}
+    last: dict[str, int] = {}
+    for name, start, end in spans:
+        if start >= last.get(name, 0):
+            out[name] = out.get(name, 0) + 1
+            last[name] = end
+    return out
+
+
 def _literal(patterns: list[str]) -> list[tuple[str, str]]:
     """(before, after) of patterns that are plain text around one name, in lower case."""
     return [tuple(p.lower().split("{name}")) for p in patterns if p.count("{name}") == 1 and "\\" not in p and "." not in p]
@@ -151,36 +231,83 @@ _PERSONS, _PROJECTS = _literal([*PERSON, *CHINESE_PERSON]), _literal([*PROJECT,
 _FILES = [p.split("{name}")[1] for p in [*PROJECT, *CHINESE_PROJECT] if "." in p]
 
 
+# what stands before or behind a name in the rules that aren't plain text; each place where one begins is met
+_WITH, _GREETED, _LISTED = (re.compile(p, re.A) for p in (r"\bwith\s+", r"\b(?:hey|hi|hello|dear|thanks)\s+", r"[-*]\s*"))
+_QUOTED = re.compile(r"(?=([\"']\s*,?\s*(?:said|told|asked|replied|whispered)))", re.A)
+_FILE = re.compile(r"\.(?:py|js|ts|go|rs|java|cpp|c|h|css|html|json|yaml|yml|toml|sh|md)\b", re.A)
+_DEFINED = re.compile(r"(?=(\s+(?:is\s+(?:a|an|the)\s+\w+|means|refers\s+to|describes|represents|defines?)\b))", re.A)
+_MARKED, _WORD = re.compile(r"[-v](?=\w)", re.A), re.compile(r"\w+", re.A)
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 class Evidence:
-    """What a text says about the types of its names: (person, project, concept, kinds of person signals) of each."""
+    """What a text says about the types of its names (by default all of names_of): (person, project, concept) of each.
+
+    A rule is a name with something before or behind it. Each rule looks for that something and then for names beside it, so the
+    time grows with the text, however many names it has.
+    """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, names: Iterable[str] | None = None):
         self.text, self.low = text, text.lower()
-        # only patterns whose fixed part is in the text are counted for its names
-        has = lambda pair: all(part in self.low for part in pair)
-        self.persons, self.projects = [p for p in _PERSONS if has(p)], [p for p in _PROJECTS if has(p)]
-        self.files = [f for f in _FILES if f[1:] in self.low]
+        # patterns ignore the case of ASCII letters alone, plain text that of all
+        self.ascii = self.low if text.isascii() else text.translate(_LOWER)
+        self.known = Spelled(n.lower() for n in (names_of(text) if names is None else names))
+        self.scores = {n: [0, 0, 0] for n in self.known.names}
+        if not self.scores:
+            return
+        for kind, pairs in enumerate((_PERSONS, _PROJECTS)):
+            for (a, b), times in Counter(pairs).items():
+                self._add(kind, 2 * times, self._plain(a, b))
+        t, edge = self.ascii, self._edge
+        self._add(0, 2, self._behind(_WITH))
+        self._add(0, 2, self._ahead((at, at + 12) for at in _places(t, " with {name}")))
+        self._add(0, 3, (x for x in self._behind(_GREETED) if edge(x[2])))
+        self._add(0, 2, ((n, a - 1, b) for n, a, b in self._ahead((m.start(), m.end(1)) for m in _QUOTED.finditer(t)) if a and t[a - 1] in "\"'"))
+        for f, times in Counter(_FILES).items():  # the dot of these patterns is any character
+            self._add(1, 2 * times, self._ahead((at - 1, at + len(f) - 1) for at in _places(t, f[1:]) if at and t[at - 1] != "\n"))
+        self._add(1, 3, (x for x in self._ahead(self._marked()) if edge(x[1])))
+        self._add(1, 3, (x for x in self._ahead((m.start(), m.end()) for m in _FILE.finditer(t)) if edge(x[1])))
+        self._add(2, 4, (x for x in self._ahead((m.start(), m.end(1)) for m in _DEFINED.finditer(t)) if edge(x[1])))
+        self._add(2, 1, (x for x in self._behind(_LISTED) if edge(x[2])), least=2)
 
     def of(self, name: str) -> tuple[int, int, int]:
-        e, low = re.escape(name), name.lower()
-        # what stands beside a name shows quickly which patterns can't match
-        beside = lambda *parts: any(p in self.low for p in parts)
-        count = lambda p: len(re.findall(p, self.text, re.I | re.A))
-        person = 2 * sum(self.low.count(f"{a}{low}{b}") for a, b in self.persons)
-        if beside(f"with {low}", f"{low} with"):
-            person += 2 * count(rf"\bwith\s+{e}") + 2 * count(rf"{e} with \{{name\}}")
-        if beside(*(f"{w} {low}" for w in ("hey", "hi", "hello", "dear", "thanks"))):
-            person += 3 * count(rf"\b(?:hey|hi|hello|dear|thanks)\s+{e}\b")
-        if beside(f"{low}'", f'{low}"'):
-            person += 2 * count(rf"[\"']{e}[\"']\s*,?\s*(?:said|told|asked|replied|whispered)")
-        project = 2 * sum(self.low.count(f"{a}{low}{b}") for a, b in self.projects) + 2 * sum(count(e + f) for f in self.files)
-        if beside(f"{low}-", f"{low}v"):
-            project += 3 * count(rf"\b{e}[-v]\w+")
-        if beside(f"{low}."):
-            project += 3 * count(rf"\b{e}\.(?:py|js|ts|go|rs|java|cpp|c|h|css|html|json|yaml|yml|toml|sh|md)\b")
-        concept = 4 * count(rf"\b{e}\s+(?:is\s+(?:a|an|the)\s+\w+|means|refers\s+to|describes|represents|defines?)\b") if beside(*(f"{low} {w}" for w in ("is ", "means", "refers ", "describes", "represents", "define"))) else 0
-        listed = count(rf"[-*]\s*{e}\b") if beside(*(f"{m}{gap}{low}" for m in "-*" for gap in ("", " "))) else 0
-        return person, project, concept + (listed if listed >= 2 else 0)
+        low = name.lower()
+        return tuple(self.scores[low] if low in self.scores else Evidence(self.text, [name]).scores[low])
+
+    def _add(self, kind: int, weight: int, spans: Iterable[tuple[str, int, int]], least: int = 1) -> None:
+        for name, n in _apart(spans).items():
+            if n >= least:
+                self.scores[name][kind] += weight * n
+
+    def _edge(self, at: int) -> bool:
+        """Whether a word of ASCII begins or ends at a place."""
+        word = lambda c: c == "_" or c.isascii() and c.isalnum()
+        return (at > 0 and word(self.ascii[at - 1])) != (at < len(self.ascii) and word(self.ascii[at]))
+
+    def _plain(self, a: str, b: str) -> Iterator[tuple[str, int, int]]:
+        if not b:
+            yield from ((n, at, at + len(a) + len(n)) for at in _places(self.low, a) for n in self.known.starting(self.low, at + len(a)))
+            return
+        for at in _places(self.low, b):
+            for n in self.known.ending(self.low, at):
+                start = at - len(n) - len(a)
+                if start >= 0 and self.low.startswith(a, start):
+                    yield n, start, at + len(b)
+
+    def _behind(self, pattern: re.Pattern) -> Iterator[tuple[str, int, int]]:
+        """Names right behind what a pattern matches."""
+        return ((n, m.start(), m.end() + len(n)) for m in pattern.finditer(self.ascii) for n in self.known.starting(self.ascii, m.end()))
+
+    def _ahead(self, places: Iterable[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+        """Names right before places (start, end)."""
+        return ((n, start - len(n), end) for start, end in places for n in self.known.ending(self.ascii, start))
+
+    def _marked(self) -> Iterator[tuple[int, int]]:
+        end = 0
+        for m in _MARKED.finditer(self.ascii):
+            if m.end() >= end:
+                end = _WORD.match(self.ascii, m.end()).end()
+            yield m.start(), end
 
 
 def type_of(frequency: int, person: int, project: int, concept: int) -> tuple[str, float]:
@@ -195,8 +322,9 @@ def type_of(frequency: int, person: int, project: int, concept: int) -> tuple[st
 
 def typed_names(text: str) -> list[tuple[str, str, float, int]]:
     """(name, type, confidence, frequency) of a normalised text's names, frequent ones first, then in the order found."""
-    evidence = Evidence(text)
-    return [(n, *type_of(k, *evidence.of(n)), k) for n, k in sorted(names_of(text).items(), key=lambda x: -x[1])]
+    names = names_of(text)
+    evidence = Evidence(text, names)
+    return [(n, *type_of(k, *evidence.of(n)), k) for n, k in sorted(names.items(), key=lambda x: -x[1])]
 
 
 def antecedents(text: str, names: dict[str, int]) -> dict[str, str]:
@@ -209,13 +337,14 @@ def antecedents(text: str, names: dict[str, int]) -> dict[str, str]:
     sentences = [s.lower() for s in re.split("[.。!！?]", text) if len(s.strip()) > 5]
     ends = [m.start() for m in re.finditer("[.。!！?]", text)]
     known: dict[int, str | None] = {}
+    spelled = Spelled(n.lower() for n in names)
 
     def around(k: int) -> str | None:
         if k not in known:
             window = " ".join(sentences[max(0, k - 2) : min(len(sentences) - 1, k + 2) + 1])
-            counts = [(window.count(n.lower()), n) for n in names]
-            best = max(counts, key=lambda c: c[0])
-            known[k] = best[1] if best[0] else None
+            counts = spelled.counts(window)
+            best = max(names, key=lambda n: counts.get(n.lower(), 0))
+            known[k] = best if counts else None
         return known[k]
 
     out = {}

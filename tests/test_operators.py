@@ -167,6 +167,41 @@ def test_names_against_the_rules_one_by_one():
         assert E.antecedents(text, names) == pronouns(text, names), text
 
 
+def test_time_of_names_grows_with_the_text():
+    """Eight thousand names, each beside something that rules name: a pass over the text for each of them took over a minute."""
+    import time
+
+    names = ["N" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) + "x" for i in range(8000)]
+    text = " ".join(f"{n}. {n}, it is by {n} and {n}.py" for n in names)
+    assert len(E.names_of(text)) == 8000
+    began = time.process_time()
+    typed = {n: (t, k) for n, t, _, k in E.typed_names(text)}
+    assert time.process_time() - began < 15
+    assert all(typed[n] == ("project", 5) for n in names)
+    few, many = (dict.fromkeys(names[: E.FEW + i], 1) for i in (-10, 10))
+    text = "Naaax came. It is here. Nbaax saw it, Nbaax."
+    assert E.antecedents(text, few) == E.antecedents(text, many) and E.antecedents(text, many)["it"] == "Nbaax"
+
+
+def test_relations_of_long_runs(spark):
+    """Subjects as the plain patterns find them; a run without spaces is read once (40,000 characters took 40,000 ** 2 / 2 steps)."""
+    import time
+
+    r = random.Random(3)
+    words = ["Ada", "is", "the", "owner", "of", "a", "uses", "told", "Bob,", ",Eve", "Engine;x", "calls", "runs", "owns", "is the x of", "works on"]
+    texts = [" ".join(r.choice(words) for _ in range(30)) for _ in range(60)]
+    got = sorted((x["id"], x["subject"], x["object"]) for x in E.relations(spark.createDataFrame(list(enumerate(texts)), "id int, content string")).collect())
+    cut = lambda x: re.sub("[.,;!?。，；]+$", "", x.strip(" "))
+    found = ((i, cut(m[1]), cut(m[3 if end else 2])) for i, t in enumerate(texts) for p, _, end in E.RELATIONS for m in re.finditer("(?i)" + p, t))
+    assert got == sorted(x for x in found if min(map(len, x[1:])) >= 3 and not {x[1].lower(), x[2].lower()} & set(E.STOPWORDS))
+    long = [(i, "Ada uses Engine " + "x" * 40_000 + " runs owns built told ") for i in range(20)]
+    rows = spark.createDataFrame(long, "id int, content string").repartition(4)
+    rows.count()
+    began = time.perf_counter()
+    assert E.relations(rows).count() >= 20
+    assert time.perf_counter() - began < 40
+
+
 def test_snippet_windows():
     text = "x" * 300 + " İstanbul Needle here " + "y" * 300
     one = S.snippets_of([("title", ""), ("content", text)], ["needle"], 100, 1)[0]
