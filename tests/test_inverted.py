@@ -63,3 +63,24 @@ def test_entries_are_added_once(spark, tmp_path):
     for _ in range(2):
         index.add(entries(spark, 0, 50), once="built")
     assert index.figures()["n"] == 51
+
+
+def test_counts_stay_in_their_rows_and_stages_go(spark, tmp_path):
+    """Terms are counted without a shuffle, ids that come again add up, and what a build wrote beside the index is deleted."""
+    from pathlib import Path
+
+    from memoglyph.operators.inverted import InvertedIndex, counted
+    from memoglyph.operators.lifecycle import shared_folder
+
+    rows = [(1, ["a", "b", "a"]), (2, []), (3, ["é", None, "é"]), (1, ["b", "c", "a"]), (1, ["a"])]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    made = counted(df)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = [(i, None, len(t), 0) for i, t in rows] + [(i, w, len(t), t.count(w)) for i, t in rows for w in set(t)]
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(want, key=str)
+    index = InvertedIndex(spark, str(tmp_path / "index"))
+    index.add(df.withColumnRenamed("t", "tokens"))
+    assert index.figures()["n"] == 5 and index.figures()["tokens"] == 10
+    got = {(r["id"], r["term"], r["length"]): r["tf"] for r in index.store.read("postings").collect()}
+    assert got == {(1, "a", 3): 3, (1, "b", 3): 2, (1, "c", 3): 1, (1, "a", 1): 1, (3, "é", 3): 2, (3, None, 3): 1}
+    assert not list(Path(shared_folder(spark).removeprefix("file:")).glob("staged-*"))
