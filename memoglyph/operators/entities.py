@@ -107,7 +107,7 @@ def candidates(df: DataFrame, text: str = "content", least: int = 1) -> DataFram
     body = normalize_spaces(text)
     stop = F.array(*(F.lit(w) for w in STOPWORDS))
     persons, projects = _names_at_anchors(F.col("t"))
-    single = F.filter(F.regexp_extract_all("t", F.lit(SINGLE), 1), lambda w: ~F.array_contains(stop, F.lower(w)))
+    single = F.filter(F.regexp_extract_all("t", F.lit(SINGLE), 1), lambda w: ~F.lower(w).isin(STOPWORDS))
     phrase = F.filter(F.regexp_extract_all("t", F.lit(PHRASE), 1), lambda w: ~F.arrays_overlap(stop, F.split(F.lower(w), r"\s+")))
     rows = df.select("id", F.when(F.length(body) >= LEAST_TEXT, body).otherwise("").alias("t"))
     return rows.select("id", F.explode(F.concat(single, phrase, persons, projects)).alias("name")).groupBy("id", "name").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)

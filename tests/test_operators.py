@@ -310,3 +310,11 @@ def test_key_is_order_free_and_symmetric(spark):
     df = spark.createDataFrame(rows, "a array<string>, b array<string>")
     assert df.where(jaccard(F.col("a"), F.col("b")) != jaccard(F.col("b"), F.col("a"))).count() == 0
     assert df.select(X.similarity_key(F.lit("p"), F.lit("s"), F.lit("Ab, cde!")).alias("k")).distinct().count() == 1
+
+
+def test_stop_words_are_looked_up_as_a_set(spark):
+    """The list of over 300 stop words isn't walked for each capitalised word; texts without what a pattern needs aren't searched for it."""
+    found = E.candidates(spark.createDataFrame([("1", "The Ada and Thing with Bob of Engine v")], "id string, content string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and "Contains(" in plan
+    assert {r["name"] for r in found.collect()} == {"Ada", "Bob", "Engine"}
