@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from memoglyph.functions.text import is_noise, normalize_spaces
+from memoglyph.functions.text import head, is_noise, normalize_spaces
 from memoglyph.operators.lifecycle import checkpointed
 from memoglyph.sources.commits import Store
 
@@ -49,15 +49,16 @@ def fields(df: DataFrame, tiers: tuple[int, ...] = EMBEDDED_TIERS) -> DataFrame:
     """
     given = lambda c, kind="string": F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
     clean = lambda c: normalize_spaces(given(c))
-    parent = F.substring(normalize_spaces(F.concat_ws(" ", *(F.coalesce(given(c), F.lit("")) for c in ("title", "content", "agent", "project", "type", "tool")))), 1, PARENT_CHARACTERS)
-    raw = F.concat_ws(" ", F.nullif(clean("title"), F.lit("")), F.nullif(clean("content"), F.lit("")))
+    joined = lambda *names: F.concat_ws(" ", *(F.coalesce(given(c), F.lit("")) for c in names))
+    parent = head(joined("title", "content", "agent", "project", "type", "tool"), PARENT_CHARACTERS)
 
     def listed(c: str, name: str) -> Column:
         items = F.filter(F.transform(F.coalesce(given(c, "array<string>"), F.array().cast("array<string>")), normalize_spaces), lambda v: v != "")
         return F.filter(F.transform(items, lambda v, i: F.struct(F.concat(F.lit(f"{name}_"), i.cast("string")).alias("field"), v.alias("text"))), lambda s: ~is_noise(s["text"]))
 
+    # the head is made once, in a struct that the filter looks at
     whole = F.filter(F.array(F.struct(F.lit("content").alias("field"), parent.alias("text"))), lambda s: s["text"] != "")
-    kept = (clean("id") != "") & ~F.coalesce(given("archived", "boolean"), F.lit(False)) & tier_of(given("tier"), given("memory_level"), given("scope")).isin(*tiers) & ~is_noise(raw)
+    kept = (clean("id") != "") & ~F.coalesce(given("archived", "boolean"), F.lit(False)) & tier_of(given("tier"), given("memory_level"), given("scope")).isin(*tiers) & ~is_noise(joined("title", "content"))
     rows = df.where(kept).select(clean("id").alias("record_id"), F.explode(F.concat(whole, listed("facts", "fact"), listed("concepts", "concept"))).alias("_f"))
     entry = F.when(F.col("_f.field") == "content", F.col("record_id")).otherwise(F.concat("record_id", F.lit("__"), F.col("_f.field")))
     return rows.select(entry.alias("entry_id"), "record_id", F.col("_f.field").alias("field"), F.col("_f.text").alias("text"))
