@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import math
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from memoglyph.functions.text import let
 
 DAY_MS = 86_400_000
 #: Dimension of the hashed embedding.
 HASH_DIMENSIONS = 384
+_EIGHT = Decimal("1e-8")
+#: Rows whose vectors are counted at once.
+ROWS = 2000
 
 
 def decay(age_days: Column, half_life: float) -> Column:
@@ -56,3 +66,33 @@ def hash_embedding(features: Column, hashed, dimensions: int = HASH_DIMENSIONS)
     sums = let(signed, lambda rows: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(rows, lambda s: s["slot"] == i), F.lit(0.0), lambda a, s: a + s["sign"])))
     norm_of = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     return let(sums, lambda v: let(norm_of(v), lambda norm: F.when(norm > 0, F.transform(v, lambda x: F.round(x / norm, 8))).otherwise(v)))
+
+
+def hash_embeddings(df: DataFrame, hashed: Callable[[pa.ListArray], pa.ListArray], dimensions: int = HASH_DIMENSIONS) -> DataFrame:
+    """id, embedding of rows (id, features): hash_embedding() in one Arrow pass; hashed maps lists of features to 32-bit hashes.
+
+    The work of a row grows with its features, not with their product with the dimensions.
+    """
+
+    def counted(lists: pa.ListArray) -> pa.ListArray:
+        n, gone = len(lists), pc.is_null(lists).to_numpy(zero_copy_only=False)
+        lists = hashed(lists)
+        h, row = lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy()
+        sums = np.bincount(row * dimensions + h % dimensions, weights=1.0 - 2.0 * (h >> 1 & 1), minlength=n * dimensions).astype(float)
+        at = np.flatnonzero(sums)
+        squares = np.bincount(at // dimensions, weights=sums[at] ** 2, minlength=n)[at // dimensions]
+        # pairs of a count and a sum of squares are few; each is rounded as Spark rounds, half away from zero in decimals
+        pairs, which = np.unique(sums[at] + 1j * squares, return_inverse=True)
+        rounded = [float(Decimal(repr(float(p.real / math.sqrt(p.imag)))).quantize(_EIGHT, ROUND_HALF_UP)) for p in pairs]
+        sums[at] = np.array(rounded)[which]
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dimensions)
+        return pa.ListArray.from_arrays(offsets, pa.array(sums, mask=np.repeat(gone, dimensions)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                ids, lists = batch.slice(at, ROWS).columns
+                yield pa.RecordBatch.from_arrays([ids, counted(lists)], names=["id", "embedding"])
+
+    schema = T.StructType([df.schema["id"], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    return df.select("id", "features").mapInArrow(run, schema)

@@ -345,7 +345,7 @@ SELECT entry_id, sha256(text) AS hash, CASE WHEN num % 4 = 0 OR num % 5 = 0 THEN
 def embedding_build(spark, sf):
     store = E.Embeddings(spark, f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}")
     config = E.config_hash("hash", "hashing-v1")
-    embed = lambda df: df.select("id", N.hash_embedding(X.hash_features("text"), X.fnv1a32).alias("embedding"))
+    embed = lambda df: N.hash_embeddings(df.select("id", X.hash_features("text").alias("features")), X.fnv1a32_each)
     now = records(spark, sf).select("id", "title", "project", "num")
     before = now.where("num % 5 <> 0").withColumn("project", F.when(F.col("num") % 4 == 0, "an old name").otherwise(F.col("project")))
     store.build(E.fields(before), embed, config)

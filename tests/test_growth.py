@@ -6,8 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from memoglyph.functions import text as X
-from memoglyph.operators import search as S
+from memoglyph.functions import numeric as N, text as X
+from memoglyph.operators import embedding as E, search as S
 
 
 def _plan(df) -> str:
@@ -41,3 +41,36 @@ def test_entries_redact_each_text_once(spark):
     entries = S.entries_of(df)
     assert entries.first()["text"] == "a title mail me at [REDACTED_EMAIL] p"
     assert len(re.findall("REDACTED_EMAIL", _plan(entries))) == 2  # of the title and of the content
+
+
+def test_hashed_embeddings_in_arrow_equal_those_by_columns(spark):
+    texts = [*ODD, "Ärger 中文字符 ok", "\U0001f600 smile \U0001f600", "word " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", X.hash_features("t").alias("features"))
+    extra = spark.createDataFrame([(100, None), (101, []), (102, ["a", None, "bc"]), (103, [None])], "id int, features array<string>")
+    for rows, size in ((df, 16), (extra, 16), (df, 384)):
+        plain = {r["id"]: r["v"] for r in rows.select("id", N.hash_embedding(F.col("features"), X.fnv1a32, size).alias("v")).collect()}
+        assert {r["id"]: r["embedding"] for r in N.hash_embeddings(rows, X.fnv1a32_each, size).collect()} == plain
+
+
+def test_hash_embedding_query_takes_no_pass_for_each_dimension(spark):
+    from memoglyph.plans.catalog import load
+
+    found = load()[0]["hash_embedding"](spark, "/root/testdata/sf0.001")
+    assert "aggregate(filter" not in _plan(found) and found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_fields_normalise_a_text_once(spark):
+    df = spark.createDataFrame([("r1", " a  title", "x " * 4000, "p"), ("r2", None, " " * 9000 + "late", "p"), ("r3", "", "", "p")], "id string, title string, content string, project string")
+    rows = {r["entry_id"]: r["text"] for r in E.fields(df).collect()}
+    assert rows == {"r1": ("a title " + "x " * 4000)[:6000]}
+    assert _plan(E.fields(df)).count("regexp_replace(coalesce(content") == 0
+
+
+def test_fingerprints_read_the_head_of_a_text(spark):
+    def plain(c):
+        return F.slice(F.filter(F.split(F.lower(X.normalize_spaces(c)), X._FINGERPRINT_SPLIT), lambda w: F.length(w) >= 3), 1, 18)
+
+    texts = [*ODD, "word " * 17, "word " * 18, "some words, and more. " * 400, "a b " * 3000 + "late tokens here", "x" * 5000 + " yes", "ΑΣ.βγδ " * 300, "ab " * 239 + "cd" + "efg " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for r in df.select("id", X.fingerprint_tokens("t").alias("a"), plain(F.col("t")).alias("b")).collect():
+        assert r["a"] == r["b"], r
