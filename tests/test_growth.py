@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from memoglyph.functions import numeric as N, text as X
+from memoglyph.functions import numeric as N, segment as G, text as X
 from memoglyph.operators import embedding as E, search as S
 
 
@@ -74,3 +75,34 @@ def test_fingerprints_read_the_head_of_a_text(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     for r in df.select("id", X.fingerprint_tokens("t").alias("a"), plain(F.col("t")).alias("b")).collect():
         assert r["a"] == r["b"], r
+
+
+def test_runs_cut_at_once_equal_runs_cut_one_by_one(monkeypatch):
+    r = random.Random(1)
+    letters = [chr(0x4E00 + i) for i in range(6)]
+    for _ in range(40):
+        words = {"".join(r.choice(letters) for _ in range(r.randint(1, 6))): r.randint(1, 50) for _ in range(r.randint(0, 40))}
+        known = G.Dictionary(words)
+        cutter = G.Cutter(known)
+        chunk, begin = r.choice([(8, 2), (16, 8), (512, 64)])
+        monkeypatch.setattr(G.Cutter, "CHUNK", chunk)
+        monkeypatch.setattr(G.Cutter, "BEGIN", begin)
+        monkeypatch.setattr(G, "PIECE", r.choice([50, 1000, 10**6]))
+        texts = [r.choice([None, "", "x"]), *("".join(r.choice([*letters, " ", "x", chr(0x9F00)]) if r.random() < 0.9 else r.choice(letters) * 20 for _ in range(r.choice([3, 50, 400]))) for _ in range(6))]
+        assert cutter.words(texts).to_pylist() == [[w for run in re.findall(f"[{G.RUN}]+", t or "") for w in known.cut(run)] for t in texts]
+
+
+def test_counting_words_makes_them_once(spark):
+    df = spark.createDataFrame([("一二 三四 x",), (None,), ("一二",)], "t string")
+    counted = G.counted_words(df.select(F.filter(F.split(F.regexp_replace("t", "x", "y"), " "), lambda w: w != "").alias("words")))
+    assert {r["word"]: r["n"] for r in counted.collect()} == {"一二": 2, "三四": 1} and _plan(counted).count("regexp_replace") == 1
+
+
+def test_benchmark_pairs_are_dealt_by_number_of_sets(spark, monkeypatch):
+    from memoglyph.plans import text_plans
+
+    monkeypatch.setattr(text_plans, "SETS", 20)
+    found = text_plans.jaccards(spark, "/root/testdata/sf0.001")
+    assert found.where("overlap > 0").count() > 0
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert re.search(rf"RepartitionByExpression \[key#\d+\], {-(-n // 20)}\b", _plan(found))
