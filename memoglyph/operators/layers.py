@@ -109,7 +109,7 @@ def build(store: Store, sources: dict[str, Source], layers: dict[str, Layer]) ->
         measured = rows.observe(seen, *_measures(rows))
         made: dict = {}
 
-        def note(rows=rows, seen=seen, name=name, key=key, made=made) -> dict:
+        def note(_, rows=rows, seen=seen, name=name, key=key, made=made) -> dict:
             made["content"] = _digest(rows, seen.get)
             return {NOTE.format(name): {"key": key, "content": made["content"]}}
 

@@ -84,3 +84,38 @@ def test_counts_stay_in_their_rows_and_stages_go(spark, tmp_path):
     got = {(r["id"], r["term"], r["length"]): r["tf"] for r in index.store.read("postings").collect()}
     assert got == {(1, "a", 3): 3, (1, "b", 3): 2, (1, "c", 3): 1, (1, "a", 1): 1, (3, "é", 3): 2, (3, None, 3): 1}
     assert not list(Path(shared_folder(spark).removeprefix("file:")).glob("staged-*"))
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_postings_are_inverted_where_they_lie(spark, tmp_path, monkeypatch, repeats):
+    """No posting is shuffled, sheets are in the order of terms, and the first posting of a term in a block bounds the others."""
+    for name, value in (("BLOCK", 20), ("SHEET", 3), ("FIRST", 3)):
+        monkeypatch.setattr(inverted, name, value)
+    rows = entries(spark, 0, 600)
+    if repeats:
+        rows = rows.unionByName(entries(spark, 500, 600))
+    index = InvertedIndex(spark, str(tmp_path / "i"))
+    index.add(rows)
+    made = inverted.inverted(rows.select("id", F.size("tokens").alias("length"), F.col("tokens").alias("t")).where("t IS NOT NULL"), 0)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    postings = index.store.read("postings").collect()
+    assert len({r["block"] for r in postings}) > 20 and all(r["tf"] > 0 for r in postings)
+    if not repeats:
+        texts = {r["id"]: r["tokens"] or [] for r in rows.collect()}
+        assert sorted((r["id"], r["term"], r["length"], r["tf"]) for r in postings) == sorted((i, w, len(t), t.count(w)) for i, t in texts.items() for w in set(t))
+    assert len({(r["id"], r["block"]) for r in postings}) == len({r["id"] for r in postings})
+    groups = {}
+    for r in postings:
+        groups.setdefault((r["term"], r["block"]), []).append(r)
+    for rows in groups.values():
+        assert [(r["n"], r["most"], r["least"]) for r in rows if r["n"]] == [(len(rows), max(r["tf"] for r in rows), min(r["length"] for r in rows))]
+    want = sorted(((-round(s, 6), i) for i, s in rounded(index.scores(["w1", "w40"])).items()))[:5]
+    assert [(-r["score"], r["id"]) for r in index.top(["w1", "w40"], 5).collect()] == want
+
+
+def test_search_tokens_look_for_cjk_runs_where_there_may_be_some(spark):
+    from memoglyph.functions.text import search_tokens
+
+    texts = ["Ab ab x. 中文字 é 中 a_b", "plain a.b/c plain", "é ok", "", None, "中文中文 中文"]
+    got = [r["t"] for r in spark.createDataFrame([(t,) for t in texts], "x string").select(search_tokens("x").alias("t")).collect()]
+    assert got == [["ab", "x.", "a_b", "中文字"], ["plain", "a.b/c"], ["ok"], [], [], ["中文中文", "中文"]]
