@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: A piece of an Arrow batch that a pass handles at once, in bytes; arrays made of it take a few dozen times as much.
 PIECE_BYTES = 2 << 20
+#: Bytes after which Spark ends an Arrow batch.
+BATCH_BYTES = 4 << 20
 #: The characters of a word: anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,6 +35,17 @@ def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES):
             yield piece
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of its session ending at BATCH_BYTES, unless the session has a limit of its own.
+
+    Each task has a batch whole, in the JVM, where its buffers double as they grow, and in Python; by Spark's own limit that is 64 MB.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def arrow_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], make, keep: list[str] | None = None) -> DataFrame:
     """df (or its columns `keep`) with `fields` added by one Arrow pass, without a shuffle.
 
@@ -54,7 +67,7 @@ def arrow_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField],
                 made = step(*(piece.column(i) for i in at))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:n_kept], *made], names=names)
 
-    return source.mapInArrow(giving_back(run), schema)
+    return small_batches(source).mapInArrow(giving_back(run), schema)
 
 
 def give_back() -> None:

@@ -20,7 +20,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from memoglyph.llm.common import arrow_columns, checkpointed, free_names, giving_back, joined_hot, mixed, pieces, string_buffers, table, word_hashes
+from memoglyph.llm.common import arrow_columns, checkpointed, free_names, giving_back, joined_hot, mixed, pieces, small_batches, string_buffers, table, word_hashes
 
 #: Base and rate of the registers: sets of 1 to 2**64 elements fall inside 16 bits.
 BASE, RATE, LIMIT = 1.001, 400_000.0, (1 << 16) - 1
@@ -339,9 +339,9 @@ def _cross_links(rows: DataFrame, members: DataFrame, least: float, n_rows: int,
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    lasting = checkpointed(by_task(dealt).mapInArrow(giving_back(lambda batches: run(batches, survivors)), "task long, node long").distinct())
+    lasting = checkpointed(small_batches(by_task(dealt)).mapInArrow(giving_back(lambda batches: run(batches, survivors)), "task long, node long").distinct())
     again = by_task(dealt.join(lasting, ["task", "node"]).join(texts, "node"))
-    return again.mapInArrow(giving_back(lambda batches: run(batches, done)), "a long, b long")
+    return small_batches(again).mapInArrow(giving_back(lambda batches: run(batches, done)), "a long, b long")
 
 
 def _numbered(docs: DataFrame, size: int, keep: list[str], text: str) -> DataFrame:

@@ -78,3 +78,16 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_an_arrow_batch_is_a_few_megabytes(spark):
+    """Of 3000 texts of 10,000 characters a task never holds all."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F, types as T
+
+    from memoglyph.llm.common import arrow_columns
+
+    docs = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    make = lambda: lambda texts: [pa.array([sum(b.size for b in texts.buffers() if b is not None)] * len(texts), pa.int64())]
+    found = arrow_columns(docs, ["text"], [T.StructField("held", T.LongType())], make, ["id"]).agg(F.count("*").alias("n"), F.max("held").alias("held")).first()
+    assert found["n"] == 3000 and found["held"] < (8 << 20)
