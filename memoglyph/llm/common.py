@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,19 @@ def giving_back(run):
     return whole
 
 
+def fitting(fit):
+    """A fit on the driver that returns the memory of its sample to the system in the end: the driver's Python outlives it."""
+
+    @wraps(fit)
+    def whole(*args, **kwargs):
+        try:
+            return fit(*args, **kwargs)
+        finally:
+            give_back()
+
+    return whole
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and cut from its lineage in the folder of spark.checkpoint.dir.
 

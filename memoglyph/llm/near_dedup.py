@@ -199,19 +199,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars (Kiveris and others, 2014): each round hangs neighbours under the smallest one
     seen, so the rounds grow with the logarithm of the largest component. Hot nodes are aggregated before each shuffle.
-    Every round is cut with a checkpoint.
+    Every round is cut with a checkpoint. A pair gives its two rows in place: a union would have two tasks for each of one.
     """
 
+    def both(pairs: DataFrame, *two: tuple[str, str]) -> DataFrame:
+        return pairs.select(F.explode(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in two))).alias("e")).select("e.*")
+
     def star(pairs: DataFrame, small: bool) -> DataFrame:
         # u's neighbours v and the smallest of them and u
         if small:
             pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         else:
-            pairs = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            pairs = both(pairs, ("u", "v"), ("v", "u"))
         low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         hung = pairs.join(low, "u")
         if small:
-            out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+            out = both(hung, ("v", "m"), ("u", "m"))
         else:
             out = hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return out.where("u <> v").distinct()

@@ -12,7 +12,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from memoglyph.llm.common import arrow_columns, is_held_out, labelled_sample, logistic, sigmoid, string_buffers, table
+from memoglyph.llm.common import arrow_columns, fitting, is_held_out, labelled_sample, logistic, sigmoid, string_buffers, table
 
 #: Labelled documents of each class that a model is fitted on, at most.
 PER_CLASS = 1500
@@ -58,6 +58,7 @@ class CompressionModel:
         return (a - b) / (a + b), float(np.log((a + b) / 2 / (len(text) + 8)))
 
 
+@fitting
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> CompressionModel:
     """A model of labels.quality, from at most per_class documents of each class outside the held-out quarter.
 

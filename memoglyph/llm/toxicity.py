@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from memoglyph.llm.common import arrow_columns, is_held_out, labelled_sample, logistic, mixed, sigmoid, string_buffers, table, word_hashes, word_spans
+from memoglyph.llm.common import arrow_columns, fitting, is_held_out, labelled_sample, logistic, mixed, pieces, sigmoid, string_buffers, table, word_hashes, word_spans
 from memoglyph.llm.near_dedup import registers
 
 #: Labelled documents of each class that a model is fitted on, at most.
@@ -27,6 +27,8 @@ PER_CLASS = 1200
 STEMS = (4, 12)
 #: Fitting parts: the factors of a part's clauses come from a lexicon of the other parts.
 FOLDS = 5
+#: Bytes of the sample's texts that are hashed at once on the driver; each array made of them takes eight times as much.
+SAMPLE_BYTES = 1 << 18
 TARGETS = {"you", "your", "yours", "yourself", "ur", "u", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "te", "ton", "ta", "vous", "votre", "tú", "ti", "usted", "ustedes", "vosotros"}
 NEGATIONS = {"not", "no", "never", "cannot", "nicht", "kein", "keine", "keinen", "nie", "pas", "jamais", "ne", "nunca", "ni"}
 REPORTS = {"said", "says", "say", "wrote", "writes", "called", "claimed", "reported", "according", "quote", "quoted", "sagte", "sagt", "schrieb", "nannte", "dit", "écrit", "selon", "dijo", "dice", "escribió", "según"}
@@ -268,9 +270,13 @@ class Grammar:
 
 def families(texts: list[str], alike: float = 0.5) -> np.ndarray:
     """Indices of texts of which no earlier one shares about half of its words, so that copies count once."""
-    raw, offsets = string_buffers(pa.array(texts, pa.string()))
-    hashes, at = word_hashes(raw, offsets)
-    marks = registers([np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], 32)
+    whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    marks = np.zeros((len(texts), 32), np.uint16)
+    done = 0
+    for piece in pieces(whole, SAMPLE_BYTES):
+        hashes, at = word_hashes(*string_buffers(piece.column(0)))
+        marks[done : done + piece.num_rows] = registers([np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], 32)
+        done += piece.num_rows
     first: list[int] = []
     for i in range(len(texts)):
         if not first or (marks[first] == marks[i]).mean(axis=1).max() < alike:
@@ -353,6 +359,7 @@ class _Counts:
         return Grammar(lexicon, stems, None, threats).opened()
 
 
+@fitting
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Grammar:
     """A grammar for labels.toxic, from at most per_class documents of each class outside the held-out quarter.
 

@@ -91,3 +91,45 @@ def test_an_arrow_batch_is_a_few_megabytes(spark):
     make = lambda: lambda texts: [pa.array([sum(b.size for b in texts.buffers() if b is not None)] * len(texts), pa.int64())]
     found = arrow_columns(docs, ["text"], [T.StructField("held", T.LongType())], make, ["id"]).agg(F.count("*").alias("n"), F.max("held").alias("held")).first()
     assert found["n"] == 3000 and found["held"] < (8 << 20)
+
+
+def test_a_fit_leaves_the_driver_small(spark, folder):
+    """The driver's Python holds neither a large sample's hashes at once nor, after a fit, what they came from."""
+    import tracemalloc
+
+    from memoglyph.llm import common
+
+    texts = [" ".join(f"word{i}of{k}" for k in range(1000)) for i in [*range(300), 3]]
+    tracemalloc.start()
+    try:
+        first = toxicity.families(texts)
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert first.tolist() == list(range(300)) and held < (60 << 20)
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    common._powers("up", 10)
+    toxicity.fit(docs, labels.select("doc_id", "toxic"))
+    assert not common._POWERS
+    common._powers("up", 10)
+    quality.fit(docs, labels.select("doc_id", "quality"))
+    assert not common._POWERS
+
+
+def test_a_star_reads_its_pairs_once(spark):
+    """Components of chains and a star, in stages that have no more tasks than the pairs and the shuffles have partitions."""
+    from memoglyph.llm import near_dedup
+
+    edges = [(i, i + 1) for i in range(40) if i % 8 != 7] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
+    pairs, sc, key = spark.createDataFrame(edges, "a long, b long").repartition(4), spark.sparkContext, "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    sc.setJobGroup("stars", "components")
+    try:
+        found = near_dedup.components(pairs)
+    finally:
+        sc._jsc.sc().clearJobGroup()
+        spark.conf.unset(key)
+    assert {r["node"]: r["component"] for r in found.collect()} == {i: i - i % 8 for i in range(40)} | {100 + i: 100 for i in range(30)}
+    tracker = sc.statusTracker()
+    stages = {i for j in tracker.getJobIdsForGroup("stars") for i in tracker.getJobInfo(j).stageIds}
+    assert max(s.numTasks for i in stages if (s := tracker.getStageInfo(i))) <= 4
