@@ -68,3 +68,24 @@ def test_slices_of_long_sessions_are_bounded(spark):
     assert got[1]["head"] == "第0句话.\n第1句话.\n第2句话." and got[1]["tail"] == "\n第2998句话.\n第2999句话."
     assert got[2]["head"] == "x" * 80 and got[2]["tail"] == ""  # the only sentence end in reach is the last character
     assert got[3]["head"] == got[3]["tail"] == "first.\n\nlast"
+
+
+def test_pairs_are_compared_in_place_and_not_joined(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, sorted({"hot", *r.choices([f"w{j}" for j in range(30)], k=r.randint(1, 17))})) for i in range(400)]
+    df, sets = spark.createDataFrame(rows, "id long, tokens array<string>"), {i: frozenset(t) for i, t in rows}
+    distinct = sorted({s: i for i, s in sorted(sets.items(), reverse=True)}.values())
+    found = L._near_sets(df.where(F.col("id").isin(distinct)).withColumnRenamed("tokens", "set"), 0.6, 1000)
+    assert "array_intersect" not in plan(found) and plan(found).count("MapInArrow") == 1
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(distinct, 2)}
+    want = {p: x for p, x in want.items() if x >= 0.6}
+    monkeypatch.setattr(L, "AT_ONCE", 50)
+    monkeypatch.setattr(L, "COMPARED", 7)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows_at_once, meeting in (("3", 1000), ("10000", 25)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
+            got = [tuple(x) for x in L._near_sets(df.where(F.col("id").isin(distinct)).withColumnRenamed("tokens", "set"), 0.6, meeting).collect()]
+            assert len(got) == len(want) > 20 and {(a, b): x for a, b, x in got} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
