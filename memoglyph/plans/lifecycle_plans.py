@@ -102,13 +102,19 @@ w AS (SELECT num, len(t) AS n, unnest(t) AS term FROM sets), c AS (SELECT a.num
 pairs AS (SELECT a, b, k / (m + n - k)::DOUBLE AS overlap FROM c WHERE k / (m + n - k)::DOUBLE >= 0.7 UNION ALL SELECT s.num, f.num, 1.0 FROM fp f JOIN sets s ON f.t = s.t AND f.num > s.num)"""
 
 
+def _fingerprints(spark, sf):
+    return records(spark, sf).select(F.col("num").alias("id"), X.fingerprint_tokens("content").alias("tokens"))
+
+
 def _pairs(spark, sf):
-    return L.overlapping_pairs(records(spark, sf).select(F.col("num").alias("id"), X.fingerprint_tokens("content").alias("tokens")))
+    return L.overlapping_pairs(_fingerprints(spark, sf))
 
 
-@query("jaccard_conflicts", f",{_PAIRS} SELECT a, b, round(overlap, 6) AS overlap FROM pairs", records=True)
+@query("jaccard_conflicts", f""",{_PAIRS}, f AS (SELECT s.num AS of, fp.num FROM fp JOIN sets s ON fp.t = s.t)
+SELECT least(x.num, y.num) AS a, greatest(x.num, y.num) AS b, round(k / (m + n - k)::DOUBLE, 6) AS overlap FROM c JOIN f x ON x.of = c.a JOIN f y ON y.of = c.b WHERE k / (m + n - k)::DOUBLE >= 0.7
+UNION ALL SELECT x.num, y.num, 1.0 FROM f x JOIN f y ON x.of = y.of AND x.num < y.num""", records=True)
 def conflicts(spark, sf):
-    return _pairs(spark, sf).select("a", "b", F.round("overlap", 6).alias("overlap"))
+    return L.every_pair(_fingerprints(spark, sf)).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
 @query("conflict_components", f",{_PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y) SELECT x AS id, min(y) AS component FROM r GROUP BY x", records=True)

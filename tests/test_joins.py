@@ -89,3 +89,18 @@ def test_pairs_are_compared_in_place_and_not_joined(spark, monkeypatch):
             assert len(got) == len(want) > 20 and {(a, b): x for a, b, x in got} == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_every_pair_is_there_with_copies_and_at_the_threshold(spark):
+    r = random.Random(4)
+    base = [tuple(sorted(r.sample([f"w{j}" for j in range(12)], r.randint(1, 8)))) for _ in range(40)]
+    rows = [(i, list(r.choice(base)) * r.randint(1, 2)) for i in range(160)] + [(i, []) for i in range(200, 203)]
+    rows += [(300, [f"a{j}" for j in range(15)] + ["b"]), (301, [f"a{j}" for j in range(11)] + ["c", "d", "e", "f"])]  # 11 of 20
+    df, sets = spark.createDataFrame(rows, "id long, tokens array<string>"), {i: frozenset(t) for i, t in rows}
+    for least in (0.5, 0.55, 0.7):
+        share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b]}
+        want = {p: x for p, x in share.items() if x >= least}
+        assert ((300, 301) in want) == (least <= 0.55)
+        for meeting in (3, 1000):
+            got = [tuple(x) for x in L.every_pair(df, least, meeting).collect()]
+            assert len(got) == len(want) and {(a, b): x for a, b, x in got} == want
